@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, idfile, packing, rules, sharding, simhash, warc
+from . import decontam, idfile, packing, pii, rules, sharding, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,12 +38,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_read(spark, sf_dir, "documents"))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_verdicts(_read(spark, sf_dir, "documents")).drop("n_lines")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_sharding, op4_warc, op5_simhash, op6_token_ids, op8_decontamination, op10_rules)}
+    return {f.__name__: f for f in (op2_packing, op3_sharding, op4_warc, op5_simhash, op6_token_ids, op8_decontamination, op9_pii, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
