@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, idfile, packing, pii, rules, sharding, simhash, warc
+from . import decontam, idfile, packing, pii, quality, rules, sharding, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.token_id_round_trip(_read(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -47,7 +51,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_sharding, op4_warc, op5_simhash, op6_token_ids, op8_decontamination, op9_pii, op10_rules)}
+    return {f.__name__: f for f in (op2_packing, op3_sharding, op4_warc, op5_simhash, op6_token_ids, op7_quality, op8_decontamination, op9_pii, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
