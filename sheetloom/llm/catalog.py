@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, idfile, packing, pii, quality, rules, sharding, simhash, warc
+from . import decontam, html_extract, idfile, packing, pii, quality, rules, sharding, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_sharding, op4_warc, op5_simhash, op6_token_ids, op7_quality, op8_decontamination, op9_pii, op10_rules)}
+    return {f.__name__: f for f in (op1_html, op2_packing, op3_sharding, op4_warc, op5_simhash, op6_token_ids, op7_quality, op8_decontamination, op9_pii, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

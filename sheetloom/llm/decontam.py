@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
@@ -250,6 +252,6 @@ def contaminated(
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item, with their columns as they are."""
-    hits = contaminated(docs, benchmark).select(F.col("doc_id").alias("hit_id")).where("hit_id is not null").distinct()
+    """The documents that hold no test item, with their columns as they are; rows with a null doc_id can't be named and stay."""
+    hits = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("hit_id")).where("hit_id is not null").distinct(), "hits")
     return docs.join(hits, docs["doc_id"] == hits["hit_id"], "left_anti")
