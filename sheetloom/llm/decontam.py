@@ -24,7 +24,9 @@ from .shared import materialize
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
-OVERLAP = 0.8
+OVERLAP = 0.8  # of all words of an item
+PART_OVERLAP = 0.5  # of the question's words, and of the answer's
+ANSWER_WORDS = 4  # an answer reaches back over sentences until it has so many
 BLOCK_ITEMS = 8
 BLOCKS = 64
 STRETCH_NUMBERS = 1 << 21  # bounds held at a time: cells of a text times blocks
@@ -41,12 +43,16 @@ def words_of(text: str) -> list[str]:
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """An item's words before its last sentence, and those of the last sentence; of one sentence, the later half is the answer."""
+    """An item's words before its last sentence, and those of the last sentence.
+
+    A last sentence of fewer than ``ANSWER_WORDS`` words reaches back; of one sentence, the later half is the answer.
+    """
     parts = [w for s in re.split(r"(?<=[.?!:])\s+|\n", text) if (w := words_of(s))]
-    if len(parts) > 1:
-        return [w for p in parts[:-1] for w in p], parts[-1]
-    words = parts[0] if parts else []
-    return words[: (len(words) + 1) // 2], words[(len(words) + 1) // 2 :]
+    words, k = [w for p in parts for w in p], len(parts) - 1
+    while k > 0 and sum(map(len, parts[k:])) < ANSWER_WORDS:
+        k -= 1
+    cut = sum(map(len, parts[:k])) if k > 0 else (len(words) + 1) // 2
+    return words[:cut], words[cut:]
 
 
 class ItemIndex:
@@ -197,7 +203,8 @@ class Matcher:
                 continue
             for item, score in index.search(held.tolist(), self.threshold, block):
                 q, a, i = coverage(window, index.questions[item], index.answers[item])
-                if q >= self.overlap and a >= self.overlap:
+                n, m = len(index.questions[item]), len(index.answers[item])
+                if q * n + a * m >= self.overlap * (n + m) and min(q, a) >= PART_OVERLAP:
                     got = (item, score, q, a, first * index.cell + i)
                     if item not in best or (q + a, score, -got[4]) > (best[item][2] + best[item][3], best[item][1], -best[item][4]):
                         best[item] = got
