@@ -1,15 +1,839 @@
-"""Queries of the engine's own operators and their oracle SQL."""
+"""Queries of the engine's operators over the driver's tables, and the same in SQL for an independent engine.
+
+The tables hold no sheets, so each operator runs on stand-ins: embeddings are shape signatures by sheet (label), events are readings and log
+records, parts and line items are points, boxes, segments and pixels. Every query runs over its whole tables. Compared doubles are rounded to six places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import dimensions
+from .functions import geometry as G
+from .functions import text as X
+from .operators import aggregates, filters, fitting, graph, joins, matching, raster, ranks, sets, signal
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its oracle if SQL can express it."""
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(c, name: str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, 6).alias(name)
+
+
+# shapes
+
+
+def _shapes(spark, d) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("parcel_id"), "label", F.exp(4 * F.col("embedding")[0].cast("double")).alias("area"), F.transform("embedding", lambda x: x.cast("double")).alias("signature"))
+
+
+def _label_pairs(spark, d) -> DataFrame:
+    labels = _t(spark, d, "embeddings").select(F.col("label").alias("map_num"))
+    return joins.sheet_pairs(labels)
+
+
+def _shape_costs(spark, d) -> DataFrame:
+    e, pairs = _shapes(spark, d), _label_pairs(spark, d)
+    side = lambda s: e.join(F.broadcast(pairs), F.col("label") == F.col(f"map_{s}")).drop("label")
+    costs = joins.signature_costs(side("a").select("map_a", "map_b", "parcel_id", "area", "signature"), side("b").select("map_a", "map_b", "parcel_id", "area", "signature"), ["map_a", "map_b"])
+    return costs.select(F.col("map_a").alias("label_a"), F.col("map_b").alias("label_b"), F.col("a.parcel_id").alias("vec_a"), F.col("b.parcel_id").alias("vec_b"), "cost")
+
+
+_COSTS = """
+e AS (SELECT vec_id, label, embedding::DOUBLE[] AS emb, exp(4 * embedding[1]::DOUBLE) AS area FROM embeddings),
+c AS (SELECT a.label AS label_a, b.label AS label_b, a.vec_id AS vec_a, b.vec_id AS vec_b, list_distance(a.emb, b.emb) + 0.4 * abs(ln(a.area / b.area)) AS cost
+      FROM e a JOIN e b ON a.label < b.label AND abs(ln(a.area) - ln(b.area)) <= ln(1.8)),
+r AS (SELECT *, row_number() OVER (PARTITION BY label_a, label_b, vec_a ORDER BY cost, vec_b) AS rank FROM c)"""
+
+
+@query(f"WITH {_COSTS} SELECT label_a, label_b, vec_a, vec_b, round(cost, 6) AS cost, rank::INT AS rank FROM r WHERE rank <= 4")
+def shape_topk_candidates(spark, d):
+    top = ranks.top_k(_shape_costs(spark, d), ["label_a", "label_b", "vec_a"], ["cost", "vec_b"], 4)
+    return top.select("label_a", "label_b", "vec_a", "vec_b", _r("cost", "cost"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"WITH {_COSTS} SELECT label_a, label_b, " + ", ".join(f"round(quantile_cont(cost, {p / 100}), 6) AS p{p}" for p in (10, 25, 50, 75, 90)) + " FROM c GROUP BY ALL")
+def shape_cost_percentiles(spark, d):
+    p = aggregates.percentiles(_shape_costs(spark, d), ["label_a", "label_b"], "cost")
+    return p.select("label_a", "label_b", *[_r(f"p{k}", f"p{k}") for k in (10, 25, 50, 75, 90)])
+
+
+@query(f"WITH {_COSTS} SELECT label_a, label_b, count(DISTINCT vec_a) AS n_a, count(DISTINCT vec_b) AS n_b FROM r WHERE rank <= 4 GROUP BY ALL")
+def shape_distinct_matched(spark, d):
+    top = ranks.top_k(_shape_costs(spark, d), ["label_a", "label_b", "vec_a"], ["cost", "vec_b"], 4)
+    return aggregates.distinct_matched(top, ["label_a", "label_b"], "vec_a", "vec_b")
+
+
+_BEST = f"""{_COSTS},
+o AS (SELECT *, row_number() OVER w AS k, lead(cost) OVER w AS next FROM c WINDOW w AS (PARTITION BY label_a, label_b ORDER BY cost, vec_a * 1000000 + vec_b)),
+b AS (SELECT label_a, label_b, vec_a, vec_b, cost, next - cost AS gap FROM o WHERE k = 1)"""
+
+
+def _best_shapes(spark, d) -> DataFrame:
+    costs = _shape_costs(spark, d).withColumn("idx", F.col("vec_a") * 1_000_000 + F.col("vec_b"))
+    return ranks.best_and_gap(costs, ["label_a", "label_b"], "cost", "idx").drop("idx")
+
+
+@query(f"WITH {_BEST} SELECT label_a, label_b, vec_a, vec_b, round(cost, 6) AS cost, round(gap, 6) AS gap FROM b")
+def label_pair_best_runnerup(spark, d):
+    return _best_shapes(spark, d).select("label_a", "label_b", "vec_a", "vec_b", _r("cost", "cost"), _r("gap", "gap"))
+
+
+@query(f"""WITH {_BEST}, u AS (SELECT label_a AS label, label_b AS other, vec_a AS vec, cost FROM b UNION ALL SELECT label_b, label_a, vec_b, cost FROM b)
+SELECT label, other, vec, round(cost, 6) AS cost, (row_number() OVER (PARTITION BY label ORDER BY cost, other))::INT AS rank FROM u""")
+def per_label_candidate_rank(spark, d):
+    b = _best_shapes(spark, d).select(F.col("label_a").alias("map_a"), F.col("label_b").alias("map_b"), F.col("vec_a").alias("edge_a"), F.col("vec_b").alias("edge_b"), "cost")
+    ranked = ranks.top_k(joins.both_roles(b), ["map_num"], ["cost", "other"], 1 << 30)
+    return ranked.select(F.col("map_num").alias("label"), "other", F.col("edge").alias("vec"), _r("cost", "cost"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("""WITH q AS (SELECT a.label AS label_a, b.label AS label_b, a.vec_id AS q_id, b.vec_id AS t_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d
+  FROM embeddings a JOIN embeddings b ON b.label = a.label + 1),
+r AS (SELECT *, row_number() OVER w AS k, lead(d) OVER w AS d2 FROM q WINDOW w AS (PARTITION BY label_a, q_id ORDER BY d, t_id))
+SELECT label_a, label_b, q_id, t_id, round(d, 6) AS d1, round(d2, 6) AS d2 FROM r WHERE k = 1 AND d < 0.95 * d2""")
+def knn_ratio_test(spark, d):
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("kp_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("descriptor"))
+    q = e.select(F.col("label").alias("label_a"), (F.col("label") + 1).alias("label_b"), "kp_id", "descriptor")
+    t = e.select((F.col("label") - 1).alias("label_a"), F.col("label").alias("label_b"), "kp_id", "descriptor")
+    m = joins.ratio_matches(q, t, ["label_a", "label_b"], 0.95)
+    return m.select("label_a", "label_b", "q_id", "t_id", _r("d1", "d1"), _r("d2", "d2"))
+
+
+@query("""WITH x AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+m AS (SELECT label, min(a) la, max(a) ha, min(b) lb, max(b) hb FROM x GROUP BY label)
+SELECT vec_id, x.label, round((a - la) / greatest(ha - la, 1e-8), 6) AS a, round((b - lb) / greatest(hb - lb, 1e-8), 6) AS b FROM x JOIN m USING (label)""")
+def minmax_normalise(spark, d):
+    x = _t(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+    return aggregates.minmax(x, ["label"], ["a", "b"]).select("vec_id", "label", _r("a", "a"), _r("b", "b"))
+
+
+_SEG = "e AS (SELECT label, embedding[1]::DOUBLE AS dx, embedding[2]::DOUBLE AS dy, embedding[3]::DOUBLE AS response, embedding[4]::DOUBLE AS size FROM embeddings)"
+
+
+def _segments(spark, d) -> DataFrame:
+    e = F.col("embedding")
+    return _t(spark, d, "embeddings").select("label", *[e[i].cast("double").alias(n) for i, n in enumerate(("dx", "dy", "response", "size"))])
+
+
+@query(f"""WITH {_SEG}, h AS (SELECT label, least(floor(((degrees(atan2(dy, dx)) + 360) % 360) / 10), 35) AS bin, count(*) AS n FROM e GROUP BY ALL),
+s AS (SELECT label, n / sum(n) OVER (PARTITION BY label) AS p FROM h) SELECT label, round(-sum(p * log2(p + 1e-9)), 6) AS entropy FROM s GROUP BY label""")
+def angle_entropy(spark, d):
+    return aggregates.angle_entropy(_segments(spark, d), ["label"], F.degrees(F.atan2("dy", "dx"))).select("label", _r("entropy", "entropy"))
+
+
+@query(f"""WITH {_SEG}, a AS (SELECT *, (degrees(atan2(dy, dx)) + 360) % 360 AS angle FROM e),
+h AS (SELECT label, least(floor(angle / 10), 35) AS bin, count(*) AS n FROM a GROUP BY ALL), s AS (SELECT label, n / sum(n) OVER (PARTITION BY label) AS p FROM h),
+t AS (SELECT label, -sum(p * log2(p + 1e-9)) AS entropy FROM s GROUP BY label)
+SELECT label, count(*) AS n_keypoints, round(any_value(entropy), 6) AS angle_entropy, round(avg(response), 6) AS response_mean, round(stddev_pop(response), 6) AS response_std,
+ round(avg(size), 6) AS size_mean, round(stddev_pop(size), 6) AS size_std FROM a JOIN t USING (label) GROUP BY label""")
+def keypoint_stats(spark, d):
+    k = _segments(spark, d).withColumn("angle", F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(360.0)))
+    s = aggregates.keypoint_stats(k, ["label"])
+    return s.select("label", "n_keypoints", *[_r(c, c) for c in ("angle_entropy", "response_mean", "response_std", "size_mean", "size_std")])
+
+
+@query(f"""WITH {_SEG}, k AS (SELECT label, CASE WHEN degrees(atan2(abs(dy), abs(dx))) <= 15 THEN 'horizontal' WHEN abs(degrees(atan2(abs(dy), abs(dx))) - 90) <= 15 THEN 'vertical' ELSE 'diagonal' END AS class FROM e)
+SELECT label, class, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY label), 6) AS percent FROM k GROUP BY label, class""")
+def line_class_counts(spark, d):
+    return aggregates.class_shares(_segments(spark, d), ["label"], G.line_class(F.col("dx"), F.col("dy"))).select("label", "class", "n", _r("percent", "percent"))
+
+
+@query(f"""WITH {_SEG}, a AS (SELECT label, degrees(atan2(dy, dx)) AS a FROM e WHERE dx <> 0),
+f AS (SELECT label, CASE WHEN a > 45 THEN a - 90 WHEN a < -45 THEN a + 90 ELSE a END AS a FROM a), m AS (SELECT label, median(a) AS a FROM f GROUP BY label)
+SELECT label, round(a, 6) AS skew, round(CASE WHEN abs(a) BETWEEN 0.5 AND 10 THEN a ELSE 0 END, 6) AS turn FROM m""")
+def skew_by_label(spark, d):
+    m = _segments(spark, d).groupBy("label").agg(F.median(G.skew_angle(F.col("dx"), F.col("dy"))).alias("a"))
+    return m.select("label", _r("a", "skew"), _r(G.skew_correction(F.col("a")), "turn"))
+
+
+# readings
+
+
+def _readings(spark, d) -> DataFrame:
+    e = _t(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    number = (k * 100 + F.col("user_id") % 100).cast("int")
+    return e.select(F.col("event_type").alias("map_num"), number.alias("number"), F.col("event_id").alias("parcel_id"), F.col("value").alias("cx"), (F.col("user_id") % 1000).cast("double").alias("cy"))
+
+
+_READ = """r AS (SELECT event_type AS map_num, ((props->>'$.k')::INT * 100 + user_id % 100)::INT AS number, event_id AS parcel_id, value AS cx, (user_id % 1000)::DOUBLE AS cy FROM events)"""
+
+
+@query(f"WITH {_READ} SELECT map_num, number, count(*) AS n, array_to_string(list_slice(list_sort(list(parcel_id)), 1, 3), ',') AS first_parcels FROM r WHERE number IS NOT NULL GROUP BY ALL")
+def readings_grouped(spark, d):
+    g = aggregates.readings_by_number(_readings(spark, d), 3)
+    return g.select("map_num", "number", "n", F.array_join(F.col("parcels").cast("array<string>"), ",").alias("first_parcels"))
+
+
+_SHARED = f"""{_READ}, n AS (SELECT map_num, number, count(*) AS n_dup FROM r WHERE number IS NOT NULL GROUP BY ALL HAVING count(*) <= 20),
+u AS (SELECT r.*, n_dup FROM r JOIN n USING (map_num, number)),
+s AS (SELECT a.map_num AS map_a, b.map_num AS map_b, a.number AS number, a.parcel_id AS parcel_a, b.parcel_id AS parcel_b, a.n_dup AS n_dup_a, b.n_dup AS n_dup_b,
+  sqrt((b.cx + 10 - a.cx) ** 2 + (b.cy + 5 - a.cy) ** 2) AS residual FROM u a JOIN u b ON a.number = b.number AND a.map_num < b.map_num)"""
+
+
+def _shared(spark, d) -> DataFrame:
+    r = _readings(spark, d)
+    return joins.shared_numbers(r, joins.sheet_pairs(r))
+
+
+@query(f"WITH {_SHARED} SELECT map_a, map_b, number, parcel_a, parcel_b, n_dup_a, n_dup_b FROM s")
+def cross_reference_numbers(spark, d):
+    return _shared(spark, d).select("map_a", "map_b", "number", F.col("a.parcel_id").alias("parcel_a"), F.col("b.parcel_id").alias("parcel_b"), "n_dup_a", "n_dup_b")
+
+
+def _nearest(spark, d) -> DataFrame:
+    c = F.col
+    residual = joins.prior_residual(G.translation(10.0, 5.0), c("a.cx"), c("a.cy"), c("b.cx"), c("b.cy"), F.lit(0), F.lit(0))
+    return joins.nearest_shared(_shared(spark, d), residual)
+
+
+@query(f"""WITH {_SHARED}, k AS (SELECT *, row_number() OVER (PARTITION BY map_a, map_b, number ORDER BY residual, parcel_a, parcel_b) AS k FROM s)
+SELECT map_a, map_b, number, parcel_a, parcel_b, round(residual, 6) AS residual FROM k WHERE k = 1 AND residual <= 400""")
+def best_pair_per_number(spark, d):
+    return _nearest(spark, d).select("map_a", "map_b", "number", F.col("a.parcel_id").alias("parcel_a"), F.col("b.parcel_id").alias("parcel_b"), _r("residual", "residual"))
+
+
+@query(f"""WITH {_SHARED}, k AS (SELECT *, row_number() OVER (PARTITION BY map_a, map_b, number ORDER BY residual, parcel_a, parcel_b) AS k FROM s)
+SELECT map_a, map_b, round(median(residual), 6) AS median_residual, round(avg(residual), 6) AS mean_residual, count(*) AS n FROM k WHERE k = 1 AND residual <= 400 GROUP BY ALL""")
+def residual_stats(spark, d):
+    return aggregates.residual_stats(_nearest(spark, d), ["map_a", "map_b"]).select("map_a", "map_b", _r("median_residual", "median_residual"), _r("mean_residual", "mean_residual"), "n")
+
+
+@query(f"""WITH {_SHARED}, k AS (SELECT s.*, row_number() OVER (PARTITION BY map_a, map_b, number ORDER BY residual, parcel_a, parcel_b) AS k FROM s)
+SELECT map_a, map_b, round(median(a.cx - b.cx), 6) AS dx, round(median(a.cy - b.cy), 6) AS dy, count(*) AS n
+FROM k JOIN r a ON a.parcel_id = parcel_a JOIN r b ON b.parcel_id = parcel_b WHERE k = 1 AND residual <= 400 GROUP BY ALL""")
+def median_translation(spark, d):
+    p = _nearest(spark, d).select("map_a", "map_b", *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("cx", "cy")])
+    return aggregates.median_translation(p, ["map_a", "map_b"]).select("map_a", "map_b", _r("dx", "dx"), _r("dy", "dy"), "n")
+
+
+@query(f"WITH {_READ} SELECT number FROM r WHERE map_num = 'view' INTERSECT SELECT number FROM r WHERE map_num = 'click'")
+def common_numbers(spark, d):
+    r = _readings(spark, d)
+    return sets.common(r.where("map_num = 'view'"), r.where("map_num = 'click'"), ["number"])
+
+
+@query(f"WITH {_READ} SELECT number FROM r WHERE map_num = 'view' EXCEPT SELECT number FROM r WHERE map_num = 'click'")
+def numbers_only_viewed(spark, d):
+    r = _readings(spark, d)
+    return sets.only_in_first(r.where("map_num = 'view'"), r.where("map_num = 'click'"), ["number"])
+
+
+@query(f"WITH {_READ} SELECT map_num, parcel_id, number, number IN (SELECT r2.number FROM r r2 WHERE r2.map_num = 'purchase') AS is_target FROM r")
+def flagged_targets(spark, d):
+    r = _readings(spark, d)
+    return joins.flag_members(r, r.where("map_num = 'purchase'"), ["number"], "is_target").select("map_num", "parcel_id", "number", "is_target")
+
+
+@query("""SELECT event_type AS map_num, user_id % 50 AS parcel_id, max(event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY ALL""")
+def latest_cache_record(spark, d):
+    from .streaming.cache import latest
+
+    log = _t(spark, d, "events").select(F.col("event_type").alias("map_num"), (F.col("user_id") % 50).alias("parcel_id"), F.col("event_id").alias("seq"), "value")
+    return latest(log, ["map_num", "parcel_id"])
+
+
+_CACHE = """x AS (SELECT event_type AS map_num, event_id AS parcel_id, CASE WHEN event_id % 4 = 0 THEN (props->>'$.k')::INT END AS number,
+ CASE WHEN event_id % 9 = 0 THEN 'SKIP_CROP' WHEN event_id % 5 = 0 THEN 'NONE found' WHEN event_id % 7 = 0 THEN NULL ELSE 'read' END AS raw,
+ CASE WHEN event_id % 11 = 0 THEN 'credit' WHEN event_id % 3 = 0 THEN '' END AS error, CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 90 ELSE 0 END AS rotation FROM events)"""
+
+
+def _cache(spark, d) -> DataFrame:
+    i = F.col("event_id")
+    return _t(spark, d, "events").select(
+        F.col("event_type").alias("map_num"), i.alias("parcel_id"), F.when(i % 4 == 0, F.get_json_object("props", "$.k").cast("int")).alias("number"),
+        F.when(i % 9 == 0, "SKIP_CROP").when(i % 5 == 0, "NONE found").when(i % 7 == 0, None).otherwise("read").alias("raw"),
+        F.when(i % 11 == 0, "credit").when(i % 3 == 0, "").alias("error"), F.when(i % 6 == 0, None).when(i % 2 == 0, 90).otherwise(0).cast("int").alias("rotation"),
+    )
+
+
+@query(f"""WITH {_CACHE}, k AS (SELECT map_num, CASE WHEN coalesce(error, '') <> '' THEN 'error' WHEN raw = 'SKIP_CROP' THEN 'skip' WHEN number IS NOT NULL THEN 'parsed'
+ WHEN starts_with(upper(trim(raw)), 'NONE') THEN 'none' ELSE 'other' END AS kind FROM x)
+SELECT map_num, count(*) AS n, """ + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("parsed", "none", "error", "skip", "other")) + " FROM k GROUP BY map_num")
+def cache_report(spark, d):
+    return aggregates.cache_report(_cache(spark, d), ["map_num"])
+
+
+@query(f"""WITH {_CACHE}, p AS (SELECT event_type AS map_num, event_id AS parcel_id FROM events UNION ALL SELECT event_type, -event_id FROM events),
+ok AS (SELECT map_num, parcel_id FROM x WHERE NOT ((coalesce(error, '') <> '' AND number IS NULL AND coalesce(raw, '') NOT IN ('SKIP_CROP', 'NONE')) OR (coalesce(raw, '') <> 'SKIP_CROP' AND coalesce(rotation, 0) <> 0)))
+SELECT map_num, parcel_id FROM p WHERE (map_num, parcel_id) NOT IN (SELECT (map_num, parcel_id) FROM ok)""")
+def recall_worklist(spark, d):
+    c = _cache(spark, d)
+    parcels = c.select("map_num", "parcel_id").unionAll(c.select("map_num", -F.col("parcel_id")))
+    return filters.recall_worklist(parcels, c)
+
+
+_FUSE = """x AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN (props->>'$.k')::INT END AS n1, (event_id % 100) / 100.0::DOUBLE AS c1,
+ CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN (props->>'$.k')::INT + 1 ELSE (props->>'$.k')::INT END AS n2, (event_id * 7 % 100) / 100.0::DOUBLE AS c2 FROM events)"""
+
+
+@query(f"""WITH {_FUSE} SELECT event_id,
+ CASE WHEN n1 IS NULL THEN n2 WHEN n2 IS NULL OR n1 = n2 THEN n1 WHEN 0.4::DOUBLE * c1 > 0.6::DOUBLE * c2 THEN n1 ELSE n2 END AS number,
+ round(CASE WHEN n1 IS NULL AND n2 IS NULL THEN 0::DOUBLE WHEN n1 IS NULL THEN c2 * 0.7::DOUBLE WHEN n2 IS NULL THEN c1 * 0.7::DOUBLE WHEN n1 = n2 THEN least(0.4::DOUBLE * c1 + 0.6::DOUBLE * c2, 1.0::DOUBLE)
+  WHEN 0.4::DOUBLE * c1 > 0.6::DOUBLE * c2 THEN c1 * 0.56::DOUBLE ELSE c2 * 0.56::DOUBLE END, 6) AS confidence FROM x""")
+def ocr_fusion(spark, d):
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
+    x = _t(spark, d, "events").select(i, F.when(i % 7 != 0, k).alias("n1"), ((i % 100) / 100).alias("c1"), F.when(i % 5 == 0, None).when(i % 3 == 0, k + 1).otherwise(k).alias("n2"), ((i * 7 % 100) / 100).alias("c2"))
+    f = x.select("event_id", X.fuse_readings(F.col("n1"), F.col("c1"), F.col("n2"), F.col("c2")).alias("f"))
+    return f.select("event_id", F.col("f.number").alias("number"), _r("f.confidence", "confidence"))
+
+
+@query("""WITH g AS (SELECT n_nationkey::VARCHAR AS map_num, n_nationkey * 20 AS lo, n_nationkey * 20 + 400 AS hi FROM nation WHERE n_nationkey < 20),
+s AS (SELECT s_nationkey::VARCHAR AS map_num, CASE WHEN s_suppkey % 13 <> 0 THEN s_suppkey END AS number FROM supplier),
+v AS (SELECT s.map_num, CASE WHEN number IS NULL THEN 'NO_NUMBER' WHEN lo IS NULL THEN 'UNKNOWN' WHEN number BETWEEN lo AND hi THEN 'VALID' WHEN number BETWEEN lo - 50 AND hi + 50 THEN 'BORDER' ELSE 'INVALID' END AS v
+ FROM s LEFT JOIN g USING (map_num))
+SELECT map_num, count(*) AS n, count(*) FILTER (v = 'VALID') AS n_valid, count(*) FILTER (v = 'BORDER') AS n_border, count(*) FILTER (v = 'INVALID') AS n_invalid,
+ count(*) FILTER (v IN ('NO_NUMBER', 'UNKNOWN')) AS n_no_number FROM v GROUP BY map_num""")
+def validate_ranges(spark, d):
+    n = _t(spark, d, "nation").where("n_nationkey < 20")
+    g = n.select(F.col("n_nationkey").cast("string").alias("map_num"), (F.col("n_nationkey") * 20).alias("lo"), (F.col("n_nationkey") * 20 + 400).alias("hi"))
+    s = _t(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("map_num"), F.when(F.col("s_suppkey") % 13 != 0, F.col("s_suppkey")).alias("number"))
+    return aggregates.validation_counts(joins.validate_numbers(s, g), ["map_num"])
+
+
+@query("""WITH p AS (SELECT p_brand AS map_num, (p_partkey * 37 % 2000)::INT AS number, p_partkey AS idx FROM part), t AS (SELECT DISTINCT p_brand AS map_num, n_nationkey * 80 AS target FROM part, nation),
+m AS (SELECT t.map_num, target, number, idx, row_number() OVER (PARTITION BY t.map_num, target ORDER BY idx) AS k FROM t JOIN p ON p.map_num = t.map_num AND abs(number - target) <= 2)
+SELECT map_num, target, number, idx FROM m WHERE k = 1""")
+def fuzzy_number_lookup(spark, d):
+    p = _t(spark, d, "part").select(F.col("p_brand").alias("map_num"), (F.col("p_partkey") * 37 % 2000).cast("int").alias("number"), F.col("p_partkey").alias("idx"))
+    t = joins.with_configurations(p.select("map_num").distinct(), _t(spark, d, "nation").select((F.col("n_nationkey") * 80).alias("target")))
+    return joins.fuzzy_number_lookup(t, p, ["map_num"]).select("map_num", "target", "number", "idx")
+
+
+@query("""WITH c AS (SELECT event_type, event_id, (event_id * 31 % 100) / 100.0::DOUBLE AS conf, (props->>'$.k')::INT AS number FROM events)
+SELECT event_type, number, round(max(conf), 6) AS confidence, arg_max(event_id, conf * 1000000 - event_id / 1000000.0) AS idx FROM c WHERE number IS NOT NULL GROUP BY event_type, number""")
+def best_reading_per_number(spark, d):
+    i = F.col("event_id")
+    c = _t(spark, d, "events").select("event_type", i.alias("idx"), ((i * 31 % 100) / 100).alias("confidence"), F.get_json_object("props", "$.k").cast("int").alias("number"))
+    best = aggregates.best_reading(c, ["event_type", "number"])
+    return best.select("event_type", "number", _r("confidence", "confidence"), "idx")
+
+
+@query("SELECT event_type, sum(user_id)::BIGINT AS tokens_in, sum(event_id % 300)::BIGINT AS tokens_out, round(sum(user_id) / 1e6 + sum(event_id % 300) / 1e6 * 5, 6) AS cost FROM events GROUP BY event_type")
+def token_totals(spark, d):
+    c = _t(spark, d, "events").select("event_type", F.col("user_id").alias("tokens_in"), (F.col("event_id") % 300).alias("tokens_out"))
+    return aggregates.token_totals(c, ["event_type"]).select("event_type", "tokens_in", "tokens_out", _r("cost", "cost"))
+
+
+@query("""WITH s AS (SELECT event_type, ['STAGE1', 'STAGE2', 'FAIL', 'SKIP'][1 + event_id % 4] AS status, value AS elapsed FROM events)
+SELECT event_type, """ + ", ".join(f"count(*) FILTER (status = '{k}') AS n_{k.lower()}" for k in ("STAGE1", "STAGE2", "FAIL", "SKIP")) + ", round(sum(elapsed), 4) AS total_elapsed FROM s GROUP BY event_type")
+def status_counts(spark, d):
+    s = _t(spark, d, "events").select("event_type", F.get(F.array(*[F.lit(k) for k in ("STAGE1", "STAGE2", "FAIL", "SKIP")]), F.col("event_id") % 4).alias("status"), F.col("value").alias("elapsed"))
+    return aggregates.status_counts(s, ["event_type"]).withColumn("total_elapsed", F.round("total_elapsed", 4))
+
+
+# numbers in text
+
+
+@query("""WITH x AS (SELECT doc_id, regexp_replace(translate(text, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), '[^0-9]', '', 'g') AS t FROM documents),
+n AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '([0-9]{4})', 1), lambda v: v::INT), lambda v: v BETWEEN 2000 AND 9999) AS n FROM x)
+SELECT doc_id, len(n)::INT AS n, array_to_string(n, ',') AS numbers FROM n""")
+def number_extract_docs(spark, d):
+    n = _t(spark, d, "documents").select("doc_id", X.four_digit_numbers(F.col("text")).alias("n"))
+    return n.select("doc_id", F.size("n").alias("n"), F.array_join(F.col("n").cast("array<string>"), ",").alias("numbers"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, text, regexp_extract(translate(text, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), '(?:^|[^\pL\pN_])([2-9][0-9]{3})(?:$|[^\pL\pN_])', 1) AS f FROM documents)
+SELECT doc_id, CASE WHEN f <> '' AND NOT starts_with(upper(trim(text)), 'NONE') THEN f::INT END AS number FROM x""")
+def first_number_parse(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.first_number(F.col("text")).alias("number"))
+
+
+@query("""WITH x AS (SELECT page_id, ltrim(regexp_replace(url, '[^0-9]', '', 'g'), '0') AS t FROM pages)
+SELECT page_id, CASE WHEN length(t) BETWEEN 3 AND 5 AND t::BIGINT BETWEEN 100 AND 99999 THEN t::INT END AS number FROM x""")
+def url_number_parse(spark, d):
+    return _t(spark, d, "pages").select("page_id", X.normalise_number(F.col("url")).alias("number"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN length(o_orderkey::VARCHAR) = 4 AND o_orderkey BETWEEN 2000 AND 3999 THEN o_orderkey::INT END AS number FROM orders""")
+def single_number_parse(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", X.single_number(F.concat(F.lit("no "), F.col("o_orderkey").cast("string"))).alias("number"))
+
+
+@query(r"SELECT p_partkey, list_extract(string_split_regex(regexp_replace(p_name, '\.[^.]*$', ''), '\s+'), -1) AS map_num FROM part")
+def name_last_token(spark, d):
+    return _t(spark, d, "part").select("p_partkey", X.map_number(F.col("p_name")).alias("map_num"))
+
+
+# points, boxes and graphs
+
+
+def _points(spark, d) -> DataFrame:
+    p = _t(spark, d, "part")
+    return p.select(F.col("p_brand").alias("map_num"), F.col("p_partkey").alias("parcel_id"), (F.col("p_size") * 20).cast("double").alias("cx"), F.col("p_retailprice").alias("cy"))
+
+
+_POINTS = """p AS (SELECT p_brand AS map_num, p_partkey AS parcel_id, (p_size * 20)::DOUBLE AS cx, p_retailprice AS cy FROM part),
+e AS (SELECT a.map_num, a.parcel_id AS src, b.parcel_id AS dst, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS distance
+  FROM p a JOIN p b ON a.map_num = b.map_num AND a.parcel_id < b.parcel_id WHERE sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) <= 25)"""
+
+
+def _edges(spark, d, radius: float = 25.0) -> DataFrame:
+    return joins.radius_pairs(_points(spark, d), radius, ["map_num"]).select("map_num", F.col("a.parcel_id").alias("src"), F.col("b.parcel_id").alias("dst"), "distance")
+
+
+@query(f"WITH {_POINTS} SELECT map_num, src, dst, round(distance, 6) AS distance FROM e")
+def radius_self_join(spark, d):
+    return _edges(spark, d).select("map_num", "src", "dst", _r("distance", "distance"))
+
+
+@query(f"""WITH {_POINTS}, b AS (SELECT map_num, src AS node, dst AS other, distance, src, dst FROM e UNION ALL SELECT map_num, dst, src, distance, src, dst FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY map_num, node ORDER BY distance, other) AS k FROM b)
+SELECT map_num, src, dst, round(any_value(distance), 6) AS distance FROM k WHERE k <= 3 GROUP BY map_num, src, dst HAVING count(*) = 2""")
+def knn_prune_setbased(spark, d):
+    return ranks.prune_neighbours_setbased(_edges(spark, d), 3).select("map_num", "src", "dst", _r("distance", "distance"))
+
+
+@query(f"""WITH {_POINTS}, b AS (SELECT map_num, src AS node, dst AS other FROM e UNION ALL SELECT map_num, dst, src FROM e), g AS (SELECT map_num, node, count(*) AS degree FROM b GROUP BY ALL),
+t AS (SELECT x.map_num, x.node, count(*) AS links FROM b x JOIN b y ON x.map_num = y.map_num AND x.node = y.node AND x.other < y.other JOIN e ON e.map_num = x.map_num AND e.src = x.other AND e.dst = y.other GROUP BY ALL)
+SELECT map_num, node, degree, round(CASE WHEN degree >= 2 THEN coalesce(links, 0) / (degree * (degree - 1) / 2) ELSE 0 END, 6)::DOUBLE AS local_density FROM g LEFT JOIN t USING (map_num, node)""")
+def degree_density(spark, d):
+    return aggregates.degree_density(_edges(spark, d), ["map_num"]).select("map_num", "node", "degree", _r("local_density", "local_density"))
+
+
+@query(f"""WITH {_POINTS}, n AS (SELECT map_num, 1 AS n, 0 AS e FROM p UNION ALL SELECT map_num, 0, 1 FROM e)
+SELECT map_num, sum(n)::BIGINT AS n_nodes, sum(e)::BIGINT AS n_edges, round(2 * sum(e) / sum(n), 6)::DOUBLE AS avg_degree FROM n GROUP BY ROLLUP (map_num)""")
+def graph_stats_rollup(spark, d):
+    return aggregates.graph_summary(_points(spark, d), _edges(spark, d)).withColumn("avg_degree", F.round("avg_degree", 6))
+
+
+@query(f"""WITH RECURSIVE {_POINTS.replace('<= 25)', '<= 6)')}, b AS (SELECT src AS u, dst AS v FROM e UNION SELECT dst, src FROM e),
+c AS (SELECT parcel_id AS node, parcel_id AS reach FROM p UNION SELECT c.node, b.v FROM c JOIN b ON b.u = c.reach) SELECT node, min(reach) AS root FROM c GROUP BY node""")
+def connected_components(spark, d):
+    nodes = _points(spark, d).select(F.col("parcel_id").alias("node"))
+    return graph.connected_components(_edges(spark, d, 6.0), nodes)
+
+
+def _parcels(spark, d) -> DataFrame:
+    p, i = _t(spark, d, "part"), F.col("p_partkey")
+    w, h = (F.col("p_size") + 5).cast("int"), (F.col("p_size") % 17 + 4).cast("int")
+    x, y = (i * 13 % 900).cast("int"), (i * 7 % 500).cast("int")
+    return p.select(
+        F.col("p_brand").alias("map_num"), i.alias("parcel_id"), (x + w / 2).alias("cx"), (y + h / 2).alias("cy"), F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")).alias("bbox"),
+        F.when(i % 5 != 0, (w * h * 0.75)).cast("double").alias("area_px"), F.when(i % 3 != 0, (i % 100) / 100).alias("confidence"),
+        F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]).alias("polygon"),
+    )
+
+
+_PARCELS = """q AS (SELECT p_brand AS map_num, p_partkey AS parcel_id, (p_size + 5)::INT AS w, (p_size % 17 + 4)::INT AS h, (p_partkey * 13 % 900)::INT AS x, (p_partkey * 7 % 500)::INT AS y FROM part),
+b AS (SELECT *, x + w / 2 AS cx, y + h / 2 AS cy, CASE WHEN parcel_id % 5 <> 0 THEN w * h * 0.75::DOUBLE END AS area_px, CASE WHEN parcel_id % 3 <> 0 THEN (parcel_id % 100) / 100.0::DOUBLE END AS confidence FROM q)"""
+
+
+@query(f"""WITH {_PARCELS}, f AS (SELECT *, coalesce(area_px, w * h) AS area, cx / 1000 AS nx, cy / 600 AS ny FROM b)
+SELECT map_num, parcel_id AS id, round(area, 6)::DOUBLE AS area_px, round(area / 600000, 6)::DOUBLE AS norm_area, round(w / greatest(h, 1), 6) AS aspect_ratio, round(least(w, h) / greatest(w, h, 1), 6) AS compactness,
+ (2 * (w + h))::DOUBLE AS perim_estimate, round(nx, 6) AS norm_cx, round(ny, 6) AS norm_cy, round(least(nx, (1000 - cx) / 1000, cy / 1000, (600 - cy) / 1000), 6) AS dist_boundary,
+ round(sqrt((nx - 0.5) ** 2 + (ny - 0.5) ** 2), 6) AS dist_centre, coalesce(confidence, 1)::DOUBLE AS confidence FROM f""".replace("cy / 1000, (600 - cy) / 1000", "cy / 600, (600 - cy) / 600"))
+def node_features(spark, d):
+    f = filters.node_features(_parcels(spark, d), F.lit(1000), F.lit(600))
+    return f.select("map_num", "id", *[_r(c, c) for c in ("area_px", "norm_area", "aspect_ratio", "compactness", "perim_estimate", "norm_cx", "norm_cy", "dist_boundary", "dist_centre", "confidence")])
+
+
+@query(f"""WITH {_PARCELS}, f AS (SELECT *, coalesce(area_px, w * h)::DOUBLE AS area FROM b),
+m AS (SELECT a.map_num, a.parcel_id AS src, c.parcel_id AS dst, a.area AS area_a, c.area AS area_c, c.cx - a.cx AS dx, c.cy - a.cy AS dy,
+  (greatest(least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x), 0) * greatest(least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y), 0))::DOUBLE AS shared, a.w * a.h + c.w * c.h AS total
+  FROM f a JOIN f c ON a.map_num = c.map_num AND a.parcel_id < c.parcel_id AND sqrt((a.cx - c.cx) ** 2 + (a.cy - c.cy) ** 2) <= 30)
+SELECT map_num, src, dst, round(sqrt(dx * dx + dy * dy), 6) AS distance, round(shared / greatest(total - shared, 1), 6) AS iou, round(atan2(dy, dx), 6) AS angle, round(least(area_a, area_c) / greatest(area_a, area_c), 6) AS size_ratio FROM m""")
+def edge_features(spark, d):
+    p = _parcels(spark, d).withColumn("area_px", F.coalesce("area_px", (F.col("bbox.w") * F.col("bbox.h")).cast("double")))
+    e = filters.edge_features(joins.radius_pairs(p, 30.0, ["map_num"]))
+    return e.select("map_num", F.col("a.parcel_id").alias("src"), F.col("b.parcel_id").alias("dst"), *[_r(c, c) for c in ("distance", "iou", "angle", "size_ratio")])
+
+
+@query(f"""WITH {_PARCELS}, e AS (SELECT *, ['left', 'right', 'top', 'bottom', 'none'][1 + parcel_id % 5] AS edge FROM b)
+SELECT map_num, parcel_id, edge FROM e WHERE CASE edge WHEN 'left' THEN cx <= 120 WHEN 'right' THEN cx >= 1000 - 120 WHEN 'top' THEN cy <= 120 WHEN 'bottom' THEN cy >= 600 - 120 ELSE true END""")
+def edge_band_filter(spark, d):
+    p = _parcels(spark, d).withColumn("edge", F.get(F.array(*[F.lit(e) for e in ("left", "right", "top", "bottom", "none")]), F.col("parcel_id") % 5))
+    return filters.edge_band(p, F.lit(1000), F.lit(600), F.col("edge"), 120.0).select("map_num", "parcel_id", "edge")
+
+
+@query(f"""WITH {_PARCELS} SELECT map_num, parcel_id FROM b WHERE least(x + w + 25, 1000) - greatest(x - 25, 0) BETWEEN 50 AND 100 AND least(y + h + 25, 600) - greatest(y - 25, 0) BETWEEN 50 AND 65""")
+def plausible_crops(spark, d):
+    p = filters.plausible_crops(_parcels(spark, d), F.lit(1000), F.lit(600), 25, 50, 100)
+    return filters.plausible_crops(p, F.lit(1000), F.lit(600), 25, 50, 1500).where("least(bbox.y + bbox.h + 25, 600) - greatest(bbox.y - 25, 0) between 50 and 65").select("map_num", "parcel_id")
+
+
+@query(f"""WITH {_PARCELS} SELECT map_num, parcel_id, (2.0 * (w + h))::DOUBLE AS perimeter, (w * h)::DOUBLE AS area, x AS box_x, y AS box_y, w AS box_w, h AS box_h, x + 3 BETWEEN x AND x + w AS has_point, false AS has_far FROM b""")
+def polygon_measures(spark, d):
+    p, g = _parcels(spark, d), F.col("polygon")
+    box = G.polygon_box(g)
+    return p.select(
+        "map_num", "parcel_id", _r(G.polygon_perimeter(g), "perimeter"), _r(G.polygon_area(g), "area"), *[box[c].cast("int").alias(f"box_{c}") for c in "xywh"],
+        G.contains_point(g, F.col("bbox.x") + 3.0, F.col("bbox.y") + 2.0).alias("has_point"), G.contains_point(g, F.col("bbox.x") - 3.0, F.col("bbox.y") + 2.0).alias("has_far"),
+    )
+
+
+@query(f"""WITH {_PARCELS}, h AS (SELECT map_num, parcel_id, w::DOUBLE AS w, h::DOUBLE AS h FROM b) SELECT map_num, parcel_id, round((w * w + h * h) / (12 * w * h), 6) AS h1, round(((w * w - h * h) / (12 * w * h)) ** 2, 6) AS h2 FROM h""")
+def hu_invariants(spark, d):
+    hu = G.hu_moments(F.col("polygon"))
+    return _parcels(spark, d).select("map_num", "parcel_id", hu.alias("hu")).select("map_num", "parcel_id", _r(F.col("hu")[0], "h1"), _r(F.col("hu")[1], "h2"))
+
+
+@query(f"""WITH {_PARCELS}, c AS (SELECT p_brand AS map_num, n_nationkey * 40 AS cx0, n_nationkey * 20 AS cy0, n_nationkey AS click FROM (SELECT DISTINCT p_brand FROM part), nation),
+m AS (SELECT c.map_num, click, parcel_id, (cx - cx0) ** 2 + (cy - cy0) ** 2 AS d2 FROM c JOIN b USING (map_num)),
+k AS (SELECT *, row_number() OVER (PARTITION BY map_num, click ORDER BY d2, parcel_id) AS k FROM m) SELECT map_num, click, parcel_id, round(d2, 6) AS d2 FROM k WHERE k = 1""")
+def nearest_parcel(spark, d):
+    p, n = _parcels(spark, d), F.col("n_nationkey")
+    clicks = joins.with_configurations(p.select("map_num").distinct(), _t(spark, d, "nation").select(n.alias("click"), (n * 40).cast("double").alias("x"), (n * 20).cast("double").alias("y")))
+    return joins.nearest_parcel(clicks, p, ["map_num"], "click").select("map_num", "click", "parcel_id", _r("d2", "d2"))
+
+
+@query(f"""WITH {_PARCELS}, c AS (SELECT p_brand AS map_num, n_nationkey * 40 AS px, n_nationkey * 20 AS py, n_nationkey AS click FROM (SELECT DISTINCT p_brand FROM part), nation),
+m AS (SELECT c.map_num, click, parcel_id, (cx - px) ** 2 + (cy - py) ** 2 AS d2, px BETWEEN x AND x + w AND py BETWEEN y AND y + h AS inside FROM c JOIN b USING (map_num)),
+k AS (SELECT *, row_number() OVER (PARTITION BY map_num, click ORDER BY d2, parcel_id) AS k FROM m)
+SELECT map_num, click, coalesce(min(parcel_id) FILTER (inside), min(parcel_id) FILTER (k = 1)) AS parcel_id, bool_or(inside) AS inside FROM k GROUP BY map_num, click""")
+def clicked_parcel(spark, d):
+    p, n = _parcels(spark, d), F.col("n_nationkey")
+    clicks = joins.with_configurations(p.select("map_num").distinct(), _t(spark, d, "nation").select(n.alias("click"), (n * 40).cast("double").alias("x"), (n * 20).cast("double").alias("y")))
+    return joins.clicked_parcel(clicks, p, ["map_num"]).select("map_num", "click", "parcel_id", "inside")
+
+
+@query("""WITH s AS (SELECT n_nationkey::VARCHAR AS map_num, 300 + n_nationkey * 97 AS height, 200 + n_nationkey * 131 AS width FROM nation)
+SELECT map_num, ty, tx, least(512, height - ty)::INT AS th, least(512, width - tx)::INT AS tw FROM s, LATERAL (SELECT unnest(generate_series(0, height - 1, 384))::INT AS ty), LATERAL (SELECT unnest(generate_series(0, width - 1, 384))::INT AS tx)""")
+def tiles(spark, d):
+    n = F.col("n_nationkey")
+    s = _t(spark, d, "nation").select(n.cast("string").alias("map_num"), (300 + n * 97).alias("height"), (200 + n * 131).alias("width"))
+    return ranks.tiles(s).select("map_num", "ty", "tx", "th", "tw")
+
+
+@query("SELECT a.n_name AS map_a, b.n_name AS map_b FROM nation a JOIN nation b ON a.n_name < b.n_name WHERE abs(a.n_nationkey - b.n_nationkey) <> 1")
+def not_adjacent_pairs(spark, d):
+    n = _t(spark, d, "nation").select(F.col("n_name").alias("map_num"), "n_nationkey")
+    a = n.select(F.col("map_num").alias("map_a"), F.col("n_nationkey").alias("k"))
+    adjacent = a.join(n.select(F.col("map_num").alias("map_b"), (F.col("n_nationkey") - 1).alias("k")), "k").select("map_a", "map_b")
+    return joins.not_adjacent(joins.sheet_pairs(n), adjacent)
+
+
+@query("""SELECT a.n_name AS map_a, b.n_name AS map_b FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_regionkey <> 3 AND b.n_regionkey <> 3""")
+def adjacent_selected_pairs(spark, d):
+    n = _t(spark, d, "nation")
+    a = n.select(F.col("n_name").alias("map_a"), F.col("n_nationkey").alias("k"))
+    adjacent = a.join(n.select(F.col("n_name").alias("map_b"), (F.col("n_nationkey") - 1).alias("k")), "k").select("map_a", "map_b")
+    return joins.adjacent_among(adjacent, n.where("n_regionkey <> 3").select(F.col("n_name").alias("map_num")))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def expected_but_missing(spark, d):
+    found = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.missing_from(_t(spark, d, "customer"), found, ["c_custkey"])
+
+
+@query("""SELECT split, d.doc_id AS id, count(l.doc_id) AS n, coalesce(sum(quality), 0)::BIGINT AS quality FROM (SELECT lang AS split, doc_id FROM documents) d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY ALL""")
+def coco_join(spark, d):
+    from .sources.readers import grouped_annotations
+
+    images = _t(spark, d, "documents").select(F.col("lang").alias("split"), F.col("doc_id").alias("id"))
+    ann = _t(spark, d, "labels").join(images, F.col("doc_id") == F.col("id")).select(
+        "split", F.col("doc_id").alias("id"), F.col("doc_id").alias("image_id"), F.col("quality").alias("category_id"), F.lit(None).cast("array<array<double>>").alias("segmentation"),
+        F.lit(0.0).alias("area"), F.lit(None).cast("array<int>").alias("bbox"), F.lit(0).alias("iscrowd"),
+    )
+    g = grouped_annotations(images, ann)
+    return g.select("split", "id", F.size("annotations").cast("long").alias("n"), F.aggregate("annotations", F.lit(0).cast("long"), lambda s, a: s + a["category_id"]).alias("quality"))
+
+
+@query("""SELECT lang AS split, count(*) AS n_images, count(l.doc_id) AS n_annotations FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang""")
+def split_stats(spark, d):
+    images = _t(spark, d, "documents").select(F.col("lang").alias("split"), "doc_id")
+    return aggregates.split_stats(images, _t(spark, d, "labels").join(images, "doc_id").select("split"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS image_id, l_discount * 10 AS score FROM lineitem),
+g AS (SELECT o_orderkey AS image_id, max(score) AS best, count(*) FILTER (score >= 0.3) AS a, count(*) FILTER (score >= 0.5) AS b, count(*) FILTER (score >= 0.7) AS c FROM orders LEFT JOIN p ON image_id = o_orderkey GROUP BY 1)
+SELECT round(avg(a), 6) AS mean_at_30, round(avg(b), 6) AS mean_at_50, round(avg(c), 6) AS mean_at_70, round(avg(coalesce(best, 0)), 6) AS mean_best, round(avg((best IS NOT NULL)::INT), 6) AS share_with FROM g""")
+def detection_scores(spark, d):
+    p = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), (F.col("l_discount") * 10).alias("score"))
+    s = aggregates.detection_scores(p, _t(spark, d, "orders").select(F.col("o_orderkey").alias("image_id")))
+    return s.select(*[_r(c, c) for c in s.columns])
+
+
+# transforms and placement
+
+
+@query("""WITH e AS (SELECT p_partkey, ['top', 'right', 'bottom', 'left'][1 + p_partkey % 4] AS edge, (p_partkey % 8) * 45 AS alpha, p_size * 10 AS w, p_size * 7 + 3 AS h FROM part),
+t AS (SELECT *, CASE WHEN alpha % 90 = 0 THEN alpha // 90 WHEN (alpha // 90) % 2 = 0 THEN alpha // 90 ELSE alpha // 90 + 1 END % 4 AS n FROM e),
+f AS (SELECT *, ['top', 'left', 'bottom', 'right'][1 + (list_position(['top', 'left', 'bottom', 'right'], edge) - 1 + n) % 4] AS facing FROM t)
+SELECT p_partkey, facing, (CASE facing WHEN 'left' THEN 0 - w + 35 WHEN 'right' THEN 100 - 35 ELSE floor((100 - w) / 2) END)::BIGINT AS x,
+ (CASE facing WHEN 'top' THEN 0 - h + 35 WHEN 'bottom' THEN 80 - 35 ELSE floor((80 - h) / 2) END)::BIGINT AS y FROM f""")
+def edge_placement(spark, d):
+    i = F.col("p_partkey")
+    edge = F.get(F.array(*[F.lit(e) for e in ("top", "right", "bottom", "left")]), i % 4)
+    p = _t(spark, d, "part").select(i, G.edge_facing(edge, (i % 8) * 45).alias("facing"), (F.col("p_size") * 10).alias("w"), (F.col("p_size") * 7 + 3).alias("h"))
+    at = G.place_offset(F.col("facing"), F.lit(0), F.lit(0), F.lit(100), F.lit(80), F.col("w"), F.col("h"))
+    return p.select(i, "facing", at["x"].alias("x"), at["y"].alias("y"))
+
+
+@query("""WITH s AS (SELECT s_nationkey AS nation, (s_suppkey % 4) * 90 AS angle, 100 + s_suppkey % 50 AS w, 80 + s_suppkey % 30 AS h, s_suppkey * 3.0 AS dx, s_suppkey * 2.0 AS dy FROM supplier),
+c AS (SELECT nation, angle, w, h, dx, dy, cx, cy FROM s, LATERAL (SELECT unnest([0, w, w, 0]) AS cx, unnest([0, 0, h, h]) AS cy)),
+p AS (SELECT nation, dx + CASE angle WHEN 0 THEN cx WHEN 90 THEN cy WHEN 180 THEN w - 1 - cx ELSE h - 1 - cy END AS x, dy + CASE angle WHEN 0 THEN cy WHEN 90 THEN w - 1 - cx WHEN 180 THEN h - 1 - cy ELSE cx END AS y FROM c)
+SELECT nation, floor(min(x))::BIGINT AS x_min, floor(min(y))::BIGINT AS y_min, ceil(max(x))::BIGINT AS x_max, ceil(max(y))::BIGINT AS y_max FROM p GROUP BY nation""")
+def panorama_bbox(spark, d):
+    k = F.col("s_suppkey")
+    s = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), ((k % 4) * 90).alias("angle"), (100 + k % 50).alias("width"), (80 + k % 30).alias("height"), k)
+    t = G.multiply(G.translation(k * 3.0, k * 2.0), G.quarter_rotation(F.col("angle"), F.col("width"), F.col("height")))
+    return aggregates.panorama_box(s.withColumn("t", t), ["nation"])
+
+
+_M = "abcdefghi"
+_MUL = ", ".join(" + ".join(f"c.{_M[3 * i + k]} * e.{_M[3 * k + j]}" for k in range(3)) + f" AS {_M[3 * i + j]}" for i in range(3) for j in range(3))
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT n_nationkey AS k, n_nationkey % 2 AS q FROM nation WHERE n_nationkey > 0),
+e AS (SELECT (k - 1) // 2 AS src, k AS dst, (1 - q)::DOUBLE AS a, q::DOUBLE AS b, k::DOUBLE AS c, (-q)::DOUBLE AS d, (1 - q)::DOUBLE AS e, (q * 9 + 2 * k)::DOUBLE AS f, 0::DOUBLE AS g, 0::DOUBLE AS h, 1::DOUBLE AS i FROM n),
+c AS (SELECT 0 AS node, 0 AS hops, {', '.join(f"{float(x in 'aei')}::DOUBLE AS {x}" for x in _M)} UNION ALL SELECT e.dst, c.hops + 1, {_MUL} FROM c JOIN e ON e.src = c.node)
+SELECT node::VARCHAR AS node, hops, {', '.join(f'round({x}, 6) + 0 AS {x}' for x in _M)} FROM c""")
+def bfs_transform_chain(spark, d):
+    k = F.col("n_nationkey")
+    n = _t(spark, d, "nation").where("n_nationkey > 0")
+    h = G.multiply(G.translation(k, 2 * k), G.quarter_rotation(F.when(k % 2 == 1, 90).otherwise(0), F.lit(10), F.lit(10)))
+    t = n.select(F.floor((k - 1) / 2).cast("int").cast("string").alias("map_a"), k.cast("string").alias("map_b"), h.alias("h"))
+    reached = graph.transforms_to_anchor(graph.with_inverses(t), spark.createDataFrame([("0",)], "anchor string"))
+    return reached.select("node", "hops", *[(F.round(F.col("h")[i], 6) + 0.0).alias(x) for i, x in enumerate(_M)])
+
+
+@query("""WITH x AS (SELECT s_suppkey, s_suppkey * 1.5 AS a, 2.0 + s_suppkey % 3 AS b, s_acctbal AS px, s_nationkey * 10.0 AS py FROM supplier)
+SELECT s_suppkey, round(b * px + a, 6)::DOUBLE AS x, round(b * py - a, 6)::DOUBLE AS y, round(px, 6) AS back_x, round(py, 6)::DOUBLE AS back_y, true AS regular FROM x""")
+def project_and_back(spark, d):
+    k = F.col("s_suppkey")
+    s = _t(spark, d, "supplier").select(k, G.matrix(2.0 + k % 3, 0, k * 1.5, 0, 2.0 + k % 3, -k * 1.5, 0, 0, 1).alias("h"), F.col("s_acctbal").alias("px"), (F.col("s_nationkey") * 10.0).alias("py"))
+    s = s.withColumn("p", G.project(F.col("h"), F.col("px"), F.col("py"))).withColumn("q", G.project(G.inverse(F.col("h")), F.col("p.x"), F.col("p.y")))
+    return s.select(k, _r("p.x", "x"), _r("p.y", "y"), _r("q.x", "back_x"), _r("q.y", "back_y"), G.is_finite_matrix(F.col("h")).alias("regular"))
+
+
+@query("""WITH x AS (SELECT p_partkey, p_partkey * 3 % 400 - 50 AS px, p_partkey * 7 % 300 - 50 AS py FROM part), h AS (SELECT *, px BETWEEN 0 AND 199 AND py BETWEEN 0 AND 99 AS a, px - 150 BETWEEN 0 AND 199 AND py - 20 BETWEEN 0 AND 99 AS b FROM x)
+SELECT p_partkey, CASE WHEN a AND b THEN 'overlap' WHEN a THEN 'A' WHEN b THEN 'B' END AS side FROM h""")
+def hit_sides(spark, d):
+    k = F.col("p_partkey")
+    side = filters.hit_side(G.translation(150.0, 20.0), (k * 3 % 400 - 50).cast("double"), (k * 7 % 300 - 50).cast("double"), F.lit(200), F.lit(100), F.lit(200), F.lit(100))
+    return _t(spark, d, "part").select(k, side.alias("side"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey % 1000 AS x1, l_suppkey % 600 AS y1, (l_partkey * 7) % 1000 AS x2, (l_suppkey * 13 + l_linenumber * 50) % 600 AS y2 FROM lineitem),
+c AS (SELECT *, 'left' AS edge, 0 AS pos, x1 AS p, x2 AS q, y1 AS r, y2 AS t, 600 AS n FROM s UNION ALL SELECT *, 'right', 999, x1, x2, y1, y2, 600 FROM s
+ UNION ALL SELECT *, 'top', 0, y1, y2, x1, x2, 1000 FROM s UNION ALL SELECT *, 'bottom', 599, y1, y2, x1, x2, 1000 FROM s),
+k AS (SELECT *, r + (pos - p) / CASE WHEN q = p THEN NULL ELSE q - p END * (t - r) AS crossing FROM c WHERE abs(q - p) >= 5 AND NOT (abs(p - pos) < 3 AND abs(q - pos) < 3) AND pos BETWEEN least(p, q) - 50 AND greatest(p, q) + 50)
+SELECT edge, count(*) AS n, round(sum(crossing), 3) AS total, round(min(crossing), 6) AS least, round(max(crossing), 6) AS most FROM k WHERE crossing > 12 AND crossing < n - 12 GROUP BY edge""")
+def edge_crossings(spark, d):
+    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    g = _t(spark, d, "lineitem").select((p % 1000).alias("x1"), (s % 600).alias("y1"), (p * 7 % 1000).alias("x2"), ((s * 13 + n * 50) % 600).alias("y2"))
+    c = filters.edge_crossings(g, F.lit(1000), F.lit(600))
+    return c.groupBy("edge").agg(F.count("*").alias("n"), F.round(F.sum("crossing"), 3).alias("total"), _r(F.min("crossing"), "least"), _r(F.max("crossing"), "most"))
+
+
+# signals
+
+
+_HIST = """c AS (SELECT event_type, (epoch(ts) % 86400)::DOUBLE AS s FROM events), b AS (SELECT event_type, least(floor(s / 86400 * 200), 199)::INT AS bin, count(*) AS n FROM c GROUP BY ALL),
+h AS (SELECT event_type, bin, n / max(n) OVER (PARTITION BY event_type) AS value FROM b)"""
+
+
+def _histograms(spark, d) -> DataFrame:
+    seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    e = _t(spark, d, "events").select("event_type", seconds.cast("double").alias("s"))
+    return aggregates.crossing_histogram(e, ["event_type"], "s", F.lit(86400.0))
+
+
+@query(f"WITH {_HIST.replace('(epoch(ts) % 86400)::DOUBLE', '(extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + extract(second FROM ts))::DOUBLE')} SELECT event_type, bin, round(value, 6) AS value FROM h")
+def crossing_histogram(spark, d):
+    return _histograms(spark, d).select("event_type", "bin", _r("value", "value"))
+
+
+@query(f"""WITH {_HIST.replace('(epoch(ts) % 86400)::DOUBLE', '(extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + extract(second FROM ts))::DOUBLE')}
+SELECT a.bin - b.bin AS lag, round(sum(a.value * b.value), 6) AS corr FROM h a, h b WHERE a.event_type = 'click' AND b.event_type = 'view' GROUP BY 1""")
+def crossing_histogram_xcorr(spark, d):
+    h = _histograms(spark, d)
+    one = lambda t: h.where(F.col("event_type") == t).select(F.lit("click_view").alias("pair"), "bin", "value")
+    return signal.lag_correlation(one("click"), one("view"), ["pair"]).select("lag", _r("corr", "corr"))
+
+
+@query("""WITH x AS (SELECT p_partkey, (p_partkey % 101) / 100.0 AS n, (p_partkey % 53) / 52.0 AS p, (p_partkey % 17) / 16.0 AS a, (p_partkey % 29) / 28.0 AS b FROM part)
+SELECT p_partkey, round(1 - abs(a - b), 6)::DOUBLE AS density_sim, round(0.8 * n + 0.1 * p + 0.1 * (1 - abs(a - b)), 6)::DOUBLE AS combined_score, round(1 - (0.8 * n + 0.1 * p + 0.1 * (1 - abs(a - b))), 6)::DOUBLE AS error,
+ round(least(greatest((245 - p_partkey % 256) / 15.0, 0), 1), 6)::DOUBLE AS ramp FROM x""".replace("/ 100.0", "/ 100.0::DOUBLE").replace("/ 52.0", "/ 52.0::DOUBLE").replace("/ 16.0", "/ 16.0::DOUBLE").replace("/ 28.0", "/ 28.0::DOUBLE").replace("/ 15.0", "/ 15.0::DOUBLE"))
+def orientation_columns(spark, d):
+    k = F.col("p_partkey")
+    p = _t(spark, d, "part").select(k, *[((k % m) / (m - 1)).alias(c) for c, m in (("n", 101), ("p", 53), ("a", 17), ("b", 29))])
+    p = p.withColumns(signal.orientation_columns(F.col("p"), F.col("n"), F.col("a"), F.col("b")))
+    return p.select(k, _r("density_sim", "density_sim"), _r("combined_score", "combined_score"), _r("error", "error"), _r(G.content_ramp(k % 256), "ramp"))
+
+
+# pixels
+
+
+def _pixels(spark, d) -> DataFrame:
+    p = _t(spark, d, "lineitem")
+    return p.select((F.col("l_partkey") % 64).cast("int").alias("y"), (F.col("l_suppkey") % 64).cast("int").alias("x"), (F.col("l_quantity") * 5).alias("v"), F.col("l_discount").alias("w"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+
+
+_PIX = "p AS (SELECT (l_partkey % 64)::INT AS y, (l_suppkey % 64)::INT AS x, l_quantity * 5 AS v, l_discount AS w, l_orderkey * 10 + l_linenumber AS ord FROM lineitem)"
+
+
+@query(f"WITH {_PIX} SELECT y, x, round(CASE WHEN sum(w) > 1e-6 THEN sum(v * w) / sum(w) ELSE 255 END, 6) AS v, round(sum(w), 6) AS weight FROM p GROUP BY y, x")
+def weighted_blend(spark, d):
+    return aggregates.weighted_blend(_pixels(spark, d), ["y", "x"]).select("y", "x", _r("v", "v"), _r("weight", "weight"))
+
+
+@query(f"WITH {_PIX} SELECT y, x, arg_min(v, ord) AS v FROM p GROUP BY y, x")
+def first_writer(spark, d):
+    return aggregates.first_writer(_pixels(spark, d), ["y", "x"], "ord")
+
+
+@query(f"WITH {_PIX} SELECT y, x, floor(sum(v::BIGINT) / count(*))::BIGINT AS v, count(*) AS n FROM p GROUP BY y, x")
+def overlap_average(spark, d):
+    return aggregates.overlap_average(_pixels(spark, d), ["y", "x"])
+
+
+@query(f"""WITH {_PIX}, s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM p), r AS (SELECT y, avg((v < 30)::INT) AS i FROM p GROUP BY y), c AS (SELECT x, avg((v < 30)::INT) AS i FROM p GROUP BY x)
+SELECT 'all' AS map_num, greatest((SELECT min(y) FROM r WHERE i >= 0.12) - 2, 0)::INT AS y0, least((SELECT max(y) FROM r WHERE i >= 0.12) + 3, h)::INT AS y1,
+ greatest((SELECT min(x) FROM c WHERE i >= 0.12) - 2, 0)::INT AS x0, least((SELECT max(x) FROM c WHERE i >= 0.12) + 3, w)::INT AS x1 FROM s""")
+def crop_box(spark, d):
+    p = _pixels(spark, d).withColumn("map_num", F.lit("all"))
+    return aggregates.crop_box(p, ["map_num"], 30, 0.12, 2).select("map_num", *[F.col(c).cast("int").alias(c) for c in ("y0", "y1", "x0", "x1")])
+
+
+@query(f"WITH {_PIX} SELECT y AS pos, round(255 - avg(v), 6) AS value, round(avg((v < 180)::INT), 6) AS density FROM p GROUP BY y")
+def boundary_profile(spark, d):
+    p = _pixels(spark, d)
+    profile = aggregates.boundary_profile(p, [], "y")
+    return profile.join(aggregates.ink_density(p, ["y"]), profile["pos"] == F.col("y")).select("pos", _r("value", "value"), _r("density", "density"))
+
+
+@query(f"WITH {_PIX} SELECT y, count(*) AS n, min(v) AS least, max(v) AS most, round(median(v), 6) AS median FROM p GROUP BY y")
+def size_stats(spark, d):
+    return aggregates.size_stats(_pixels(spark, d), ["y"], "v").withColumn("median", F.round("median", 6))
+
+
+@query(f"WITH {_PIX} SELECT y, round(count(*) FILTER (w > 0) / 100, 6) AS coverage, round(median(v) FILTER (w > 0), 6) AS tone FROM p GROUP BY y")
+def coverage_and_tone(spark, d):
+    p = _pixels(spark, d).withColumn("written", F.col("w"))
+    return aggregates.coverage(p, ["y"], F.lit(100)).join(aggregates.paper_tone(p, ["y"]), "y").select("y", _r("coverage", "coverage"), _r("tone", "tone"))
+
+
+# beyond SQL: kernels, robust fits, sequential operators; the tests hold them against plain versions
+
+
+@query()
+def phase_offset(spark, d):
+    h = _histograms(spark, d)
+    full = joins.with_configurations(h.select("event_type").distinct(), spark.range(200).select(F.col("id").cast("int").alias("bin"))).join(h, ["event_type", "bin"], "left")
+    p = full.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", F.coalesce("value", F.lit(0.0)).alias("value")))), lambda x: x["value"]).alias("profile"))
+    pairs = joins.sheet_pairs(p, "event_type")
+    side = lambda s: p.select(F.col("event_type").alias(f"map_{s}"), F.col("profile").alias(s))
+    met = pairs.join(side("a"), "map_a").join(side("b"), "map_b").withColumn("r", signal.phase_offset("a", "b"))
+    return met.select("map_a", "map_b", _r("r.score", "score"), F.col("r.offset").alias("offset"), F.array_join(signal.profile_peaks("a").cast("array<string>"), ",").alias("peaks_a"))
+
+
+@query()
+def shape_assignment(spark, d):
+    c = _shape_costs(spark, d).select(F.concat_ws("_", "label_a", "label_b").alias("pair"), F.col("vec_a").alias("parcel_a"), F.col("vec_b").alias("parcel_b"), "cost")
+    return matching.assign_pairs(c, 1e5)
+
+
+@query()
+def soft_matches(spark, d):
+    e = _t(spark, d, "embeddings")
+    one = lambda k: e.select((F.col("label") - k).alias("pair"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec")).withColumn("pair", F.col("pair").cast("string"))
+    return matching.soft_match(matching.embedding_scores(one(0), one(1), ["pair"]))
+
+
+@query()
+def robust_fits(spark, d):
+    k = F.col("l_linenumber")
+    p = _t(spark, d, "lineitem").select((F.col("l_suppkey") % 50).cast("string").alias("pair"), (F.col("l_partkey") % 997).cast("double").alias("cx_b"), (F.col("l_orderkey") % 991).cast("double").alias("cy_b"), k)
+    p = p.withColumns({"cx_a": F.when(k <= 4, F.col("cx_b") + 10).otherwise(F.col("cy_b")), "cy_a": F.when(k <= 4, F.col("cy_b") - 5).otherwise(F.col("cx_b"))})
+    fits = fitting.fit_pairs(p, "similarity", 3.0)
+    return fits.select("pair", "n", "n_inliers", _r(F.col("h")[2], "dx"), _r(F.col("h")[5], "dy"))
+
+
+@query()
+def sequential_prune(spark, d):
+    return graph.prune_neighbours(_edges(spark, d), 3)
+
+
+@query()
+def greedy_layout(spark, d):
+    from .plans.panorama import layout
+
+    n = F.col("n_nationkey")
+    sheets = _t(spark, d, "nation").select(n.cast("string").alias("map_num"), (300 + n * 3).alias("w"), (200 + n * 5).alias("h"))
+    pairs = joins.sheet_pairs(sheets)
+    seed = F.pmod(F.xxhash64("map_a", "map_b"), F.lit(1000))
+    edges = [F.get(F.array(*[F.lit(p[k]) for p in dimensions.EDGE_PAIRS]), seed % 4) for k in (0, 1)]
+    scores = pairs.select("map_a", "map_b", edges[0].alias("edge_a"), edges[1].alias("edge_b"), ((seed % 4) * 90.0).alias("total_rot"), (seed / 1000).alias("combined_score"))
+    return layout(scores, sheets).select("map_num", "rot", "x", "y", "w", "h", "how", "place")
+
+
+def synthetic_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """A drawing cut into sheets, one a nation: lines at positions that suppliers give."""
+    import numpy as np
+
+    s = _t(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("keys"))
+
+    def draw(batches):
+        import pandas as pd
+
+        for b in batches:
+            for nation, keys in zip(b["s_nationkey"], b["keys"], strict=True):
+                rng = np.random.default_rng(int(nation))
+                a = np.full((180, 240), 255, np.uint8)
+                for k in keys:
+                    a[(int(k) * 37) % 180, :] = 0
+                    a[:, (int(k) * 53) % 240] = 0
+                a[rng.random(a.shape) < 0.01] = 0
+                yield pd.DataFrame([raster.as_row(str(nation), a)], columns=["map_num", "height", "width", "n_channels", "data"])
+
+    return s.mapInPandas(draw, raster.IMAGE_SCHEMA)
+
+
+@query()
+def orientation_scores(spark, d):
+    from .plans.orientation import discover, ranked_neighbours
+
+    sheets = synthetic_sheets(spark, d)
+    n = _t(spark, d, "nation")
+    pairs = n.select(F.col("n_nationkey").cast("string").alias("map_a"), (F.col("n_nationkey") + 1).cast("string").alias("map_b")).join(sheets.select(F.col("map_num").alias("map_b")), "map_b", "left_semi").join(sheets.select(F.col("map_num").alias("map_a")), "map_a", "left_semi")
+    best, _ = discover(sheets, pairs.select("map_a", "map_b"))
+    return ranked_neighbours(best)
+
+
+@query()
+def sheet_parcels(spark, d):
+    return raster.parcels_of(synthetic_sheets(spark, d), least=20).select("map_num", "id", "area_px", "cx", "cy", "bbox_w", "bbox_h", "hull_area", F.size("polygon").alias("corners"))
+
+
+@query()
+def sheet_metrics(spark, d):
+    return raster.image_metrics(synthetic_sheets(spark, d))
+
+
+@query()
+def blended_tiles(spark, d):
+    sheets = synthetic_sheets(spark, d)
+    t = sheets.select("map_num").select(F.lit("all").alias("component"), "map_num", G.translation(F.col("map_num").cast("int") % 5 * 200.0, F.floor(F.col("map_num").cast("int") / 5) * 150.0).alias("h"))
+    return raster.blend_tiles(sheets, t, tile=256, ramp=20).select("component", "ty", "tx", F.sha2("data", 256).alias("sha"), F.length("data").alias("n"))
