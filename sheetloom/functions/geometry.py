@@ -164,9 +164,11 @@ def bind(value: Column, body) -> Column:
 
 
 def multiply(a: Column, b: Column) -> Column:
+    """The product of two transforms; null if one is."""
     def product(v):
         m, n = v["m"], v["n"]
-        return F.array(*[m[3 * i] * n[j] + m[3 * i + 1] * n[3 + j] + m[3 * i + 2] * n[6 + j] for i in range(3) for j in range(3)])
+        cells = [m[3 * i] * n[j] + m[3 * i + 1] * n[3 + j] + m[3 * i + 2] * n[6 + j] for i in range(3) for j in range(3)]
+        return F.when(m.isNotNull() & n.isNotNull(), F.array(*cells))
 
     return bind(F.struct(a.alias("m"), b.alias("n")), product)
 
