@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import hash_share
+
 #: The bound of the training sample: pages, and characters of one of them.
 SAMPLE_PAGES, SAMPLE_CHARS = 500, 200_000
 FURNITURE_WORDS = 8  # words of furniture inside the content that count against bridging it
@@ -233,7 +235,7 @@ def main_text(page: str | None, weights: Weights) -> str:
 def labelled_pages(pages: DataFrame, rows: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
     """Up to ``rows`` pages with an article or main element, by a hash of their content."""
     known = pages.select(F.col("html").cast("string").alias("html")).where(F.length("html") <= chars).where(F.col("html").rlike("(?i)<(?:article|main)[\\s>]"))
-    return [r.html for r in known.orderBy(F.xxhash64("html"), "html").limit(rows).collect()]
+    return [r.html for r in hash_share(known, F.col("html"), rows).orderBy(F.xxhash64("html"), "html").limit(rows).collect()]
 
 
 def extract(pages: DataFrame) -> DataFrame:

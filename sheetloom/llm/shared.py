@@ -72,3 +72,14 @@ def unboxed(df: DataFrame, like: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_share(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About twice ``rows`` rows of ``df``, or all if it has few, by a hash of ``key``.
+
+    The first ``rows`` of them by any order are then found without every task offering that many.
+    """
+    n = df.count()
+    if n <= 4 * rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit("share"), key), F.lit(1 << 40)) < int(2 * rows / n * (1 << 40)))
