@@ -34,7 +34,7 @@ LEAST_CELL = 16
 CELLS = 5  # a window is so many cells, one more than the longest item needs
 LEAST_WORDS = 5
 SLICE_BYTES = 4 << 20
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 WORD = re.compile(r"\w+")
 
 
@@ -211,7 +211,7 @@ class Matcher:
         return [best[k] for k in sorted(best)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _matcher(items: tuple, threshold: float, overlap: float) -> Matcher:
     return Matcher(ItemIndex(list(items)), threshold, overlap)
 

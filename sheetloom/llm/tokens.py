@@ -10,7 +10,7 @@ from functools import lru_cache
 from pathlib import Path
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-CHUNK_ENTRIES, WORD_ENTRIES = 200_000, 400_000
+CHUNK_ENTRIES, WORD_ENTRIES = 150_000, 250_000
 #: Letters that are letters in every version of Unicode and lower-case to one letter, then signs that begin no contraction.
 WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-Þà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
