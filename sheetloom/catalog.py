@@ -735,6 +735,110 @@ def coverage_and_tone(spark, d):
     return aggregates.coverage(p, ["y"], F.lit(100)).join(aggregates.paper_tone(p, ["y"]), "y").select("y", _r("coverage", "coverage"), _r("tone", "tone"))
 
 
+# further filters and aggregates
+
+
+@query(f"""WITH {_PARCELS}, f AS (SELECT map_num, parcel_id, w, h, w * h AS area FROM b)
+SELECT map_num, parcel_id, area BETWEEN 500 AND 0.85 * 1200 AS v1, area BETWEEN 800 AND 0.80 * 1500 AND w >= 25 AND h >= 15 AS v2, area BETWEEN 1000 AND 300000 AND w >= 20 AND h >= 20 AS crop,
+ w >= 10 AND h >= 8 AND area <= 900 AS small FROM f""")
+def contour_filters(spark, d):
+    p = _parcels(spark, d).withColumns({"area_px": (F.col("bbox.w") * F.col("bbox.h")).cast("double"), "parent": F.lit(-1), "m00": F.lit(1.0), "m10": F.col("cx"), "m01": F.col("cy")})
+    ids = lambda df, name: df.select("map_num", "parcel_id", F.lit(True).alias(name))
+    base = p.select("map_num", "parcel_id")
+    v2 = filters.contours_v2(p.withColumn("bbox", F.struct(F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"), F.col("bbox.w").alias("w"), (F.col("bbox.h") + 10).alias("h"))), F.lit(1500))
+    parts = {"v1": filters.contours_v1(p, F.lit(1200)), "v2": v2, "crop": filters.crop_parcels(p), "small": filters.plausible_crop_areas(p, 8, 900).where("bbox.w >= 10")}
+    for name, df in parts.items():
+        base = base.join(ids(df, name), ["map_num", "parcel_id"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return base
+
+
+@query(f"""WITH {_PARCELS} SELECT map_num, parcel_id, round(w * h / 600000.0::DOUBLE, 6) AS area_frac, (2 * (w + h))::DOUBLE AS perimeter_px, round(w / h, 6) AS aspect_ratio, round(4 * pi() * w * h / (4 * (w + h) * (w + h)), 6) AS compactness,
+ CASE WHEN parcel_id % 4 = 0 THEN 0 ELSE round(w * h / (w * h * 1.25::DOUBLE), 6) END::DOUBLE AS solidity FROM b""")
+def parcel_stats(spark, d):
+    p = _parcels(spark, d).withColumn("area_px", (F.col("bbox.w") * F.col("bbox.h")).cast("double"))
+    p = p.withColumn("hull_area", F.when(F.col("parcel_id") % 4 == 0, 0.0).otherwise(F.col("area_px") * 1.25))
+    s = filters.parcel_stats(p, F.lit(600_000))
+    return s.select("map_num", "parcel_id", *[_r(c, c) for c in ("area_frac", "perimeter_px", "aspect_ratio", "compactness", "solidity")])
+
+
+@query(f"WITH {_PIX}, c AS (SELECT y FROM p GROUP BY y HAVING count(*) >= 900) SELECT y, x, count(*) AS n FROM p WHERE y IN (SELECT y FROM c) GROUP BY y, x")
+def component_size_filter(spark, d):
+    return filters.by_component_size(_pixels(spark, d), ["y"], 900).groupBy("y", "x").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE (turn * 37 % 100) / 100.0 >= 0.3 AND trim(text) <> ''")
+def confident_lines(spark, d):
+    c = _t(spark, d, "conversations").withColumn("confidence", F.col("turn") * 37 % 100 / 100)
+    return filters.confident_lines(c).select("conv_id", "turn")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def id_list_filter(spark, d):
+    ids = _t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return filters.only_ids(_t(spark, d, "orders"), ids, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT n_regionkey AS value, array_to_string(list_sort(list(n_nationkey)), ',') AS keys FROM nation GROUP BY n_regionkey")
+def inverted_map(spark, d):
+    m = _t(spark, d, "nation").select("n_nationkey", F.array("n_regionkey").alias("maps"))
+    return aggregates.invert_map(m, "n_nationkey", "maps").select("value", F.array_join(F.col("keys").cast("array<string>"), ",").alias("keys"))
+
+
+@query("SELECT event_type, count((props->>'$.k')::INT) AS n_numbers, count(*) FILTER (event_id % 3 = 0) AS n_csv_hits FROM events GROUP BY event_type")
+def reading_summary(spark, d):
+    r = _t(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").cast("int").alias("recognised_number"), (F.col("event_id") % 3 == 0).alias("is_csv_target"))
+    return aggregates.reading_summary(r, ["event_type"])
+
+
+@query("SELECT round(avg(l_extendedprice - l_quantity), 4) AS sharpness_gain, round(avg(l_tax - l_discount), 6) AS contrast_gain, round(avg(l_quantity), 6) AS mean_elapsed, sum(l_quantity) AS total_elapsed, count(*) AS n FROM lineitem")
+def run_means(spark, d):
+    m = _t(spark, d, "lineitem").select(*[F.col(a).alias(b) for a, b in (("l_quantity", "sharpness_before"), ("l_extendedprice", "sharpness_after"), ("l_discount", "contrast_before"), ("l_tax", "contrast_after"))], F.col("l_quantity").alias("elapsed"))
+    return aggregates.run_means(m).select(F.round("sharpness_gain", 4).alias("sharpness_gain"), _r("contrast_gain", "contrast_gain"), _r("mean_elapsed", "mean_elapsed"), "total_elapsed", "n")
+
+
+@query("SELECT p_brand, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS k FROM part) WHERE k = 1")
+def largest_by_group(spark, d):
+    return ranks.largest(_t(spark, d, "part"), ["p_brand"], "p_size", "p_partkey").select("p_brand", "p_partkey", "p_size")
+
+
+@query("SELECT p_brand, p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) - 1)::INT AS id FROM part")
+def sequential_ids(spark, d):
+    return ranks.sequential_ids(_t(spark, d, "part"), ["p_brand"], ["p_retailprice", "p_partkey"]).select("p_brand", "p_partkey", F.col("id").cast("int").alias("id"))
+
+
+@query("""WITH a AS (SELECT 0 AS l, s_nationkey AS k, s_acctbal AS error, s_suppkey AS idx FROM supplier), b AS (SELECT 1 AS l, c_nationkey AS k, c_acctbal AS error, c_custkey AS idx FROM customer)
+SELECT k, error, idx FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY error, l, idx) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE r = 1""")
+def best_of_union(spark, d):
+    a = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("error"), F.col("s_suppkey").alias("idx"))
+    b = _t(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("error"), F.col("c_custkey").alias("idx"))
+    return ranks.best_of_union(a, b, ["k"], "error", "idx")
+
+
+@query("""WITH s AS (SELECT c_nationkey AS k, c_mktsegment AS a, c_custkey AS b, c_acctbal / 10000 AS score FROM customer)
+SELECT k, a, b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY k, a ORDER BY score DESC, b) AS r FROM s) WHERE r = 1 AND score >= 0.2""")
+def confident_row_best(spark, d):
+    s = _t(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("a"), F.col("c_custkey").alias("b"), (F.col("c_acctbal") / 10000).alias("score"))
+    return ranks.confident_row_best(s, ["k"], "a", "b").select("k", "a", "b", _r("score", "score"))
+
+
+@query("""WITH o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer), n AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_acctbal FROM supplier)
+SELECT k, v FROM o WHERE k NOT IN (SELECT k FROM n) UNION ALL SELECT k, v FROM n""")
+def keyed_upsert(spark, d):
+    from .sources.writers import upserted
+
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    new = s.unionAll(s.select((F.col("k") + 1_000_000).alias("k"), "v"))
+    return upserted(_t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), new, ["k"])
+
+
+@query("""WITH m AS (SELECT min(x - 0) - 200 AS min_x, min(y) - 200 AS min_y, max(x + w) + 200 AS max_x, max(y + h) + 200 AS max_y, map_num FROM (SELECT p_brand AS map_num, (p_partkey * 13 % 900)::INT AS x, (p_partkey * 7 % 500)::INT AS y, (p_size + 5)::INT AS w, (p_size % 17 + 4)::INT AS h FROM part) GROUP BY map_num)
+SELECT map_num, min_x, min_y, max_x, max_y, round(least(1.0, 800.0 / greatest(max_x - min_x, max_y - min_y)), 6)::DOUBLE AS scale FROM m""")
+def placed_canvas(spark, d):
+    p = _parcels(spark, d).select("map_num", "bbox.*")
+    c = aggregates.canvas_of(p, ["map_num"])
+    return c.select("*", _r(G.down_scale(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), 800), "scale"))
+
+
 # beyond SQL: kernels, robust fits, sequential operators; the tests hold them against plain versions
 
 

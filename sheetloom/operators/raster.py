@@ -564,3 +564,72 @@ def training_crops(images: DataFrame, parcels: DataFrame, per_sheet: int, size:
 
     met = images.join(labels, "map_num", "left").select("map_num", "height", "width", "n_channels", "data", "polygons")
     return met.mapInPandas(make, "map_num string, crop int, y int, x int, n_parcels int, data binary, polygons array<array<struct<x:int,y:int>>>")
+
+
+# whole-sheet preparation
+
+
+def warp(img: np.ndarray, h: np.ndarray, height: int, width: int, paper: int = 255) -> np.ndarray:
+    """An image under a transform from its points to the canvas."""
+    from .fitting import apply
+
+    y, x = np.mgrid[:height, :width]
+    p = apply(np.linalg.inv(h), np.c_[x.ravel(), y.ravel()].astype(float))
+    return np.clip(np.rint(sample(img, p[:, 0], p[:, 1], paper)), 0, 255).astype(np.uint8).reshape(height, width)
+
+
+def detect_skew(img: np.ndarray) -> float:
+    """Median angle, within 45 degrees of level, of the straight segments along edges; upright ones are left out, 0 without any."""
+    angles = []
+    for x1, y1, x2, y2 in line_segments(gradient_edges(img, 50, 150), votes=max(30, min(img.shape) // 6), least=max(20, min(img.shape) // 8)):
+        if x1 != x2:
+            a = math.degrees(math.atan2(y2 - y1, x2 - x1))
+            a = a - 180 if a > 90 else a + 180 if a < -90 else a
+            angles.append(a - 90 if a > 45 else a + 90 if a < -45 else a)
+    return float(np.median(angles)) if angles else 0.0
+
+
+def correct_skew(img: np.ndarray, least: float = 0.5, most: float = 10.0) -> np.ndarray:
+    """The image turned level, if its skew is neither too small to matter nor too large to be one."""
+    angle = detect_skew(img)
+    return rotate(img, angle) if least <= abs(angle) <= most else img
+
+
+def correct_perspective(img: np.ndarray, least: float = 0.30) -> np.ndarray:
+    """A sheet's largest outline drawn out to a rectangle, if it is large enough and has four corners."""
+    from .fitting import fit_perspective
+
+    label = components(img >= otsu(img))
+    size = np.bincount(label.ravel())
+    size[0] = 0
+    if not size.any() or size.max() < least * img.size:
+        return img
+    corners = mask_polygon(label == size.argmax(), 0.02) or []
+    if len(corners) != 4:
+        return img
+    p = np.array(corners, float)
+    s, d = p.sum(axis=1), p[:, 1] - p[:, 0]
+    src = p[[s.argmin(), d.argmin(), s.argmax(), d.argmax()]]
+    w, h = (int(max(np.hypot(*(src[a] - src[b])), np.hypot(*(src[c] - src[e])))) + 1 for a, b, c, e in ((0, 1, 3, 2), (0, 3, 1, 2)))
+    t = fit_perspective(src, np.array([[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]], float))
+    return img if t is None else warp(img, t, h, w)
+
+
+def fill_gaps(img: np.ndarray, written: np.ndarray) -> np.ndarray:
+    """Interior pixels that no sheet covers get the median tone of covered ones; gaps open to the border stay."""
+    label = components(~written)
+    open_ = np.unique(np.r_[label[0], label[-1], label[:, 0], label[:, -1]])
+    inner = ~written & ~np.isin(label, open_[open_ > 0])
+    out = img.copy()
+    if inner.any() and written.any():
+        out[inner] = int(np.median(img[written]))
+    return out
+
+
+def separate_ink(img: np.ndarray) -> np.ndarray:
+    """A colour sheet with everything but its blue drawing set to paper; a gray one as it is."""
+    if img.ndim == 2:
+        return img
+    out = img.copy()
+    out[~blueprint_mask(img)] = 255
+    return out
