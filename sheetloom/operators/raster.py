@@ -599,7 +599,7 @@ def correct_perspective(img: np.ndarray, least: float = 0.30) -> np.ndarray:
     """A sheet's largest outline drawn out to a rectangle, if it is large enough and has four corners."""
     from .fitting import fit_perspective
 
-    label = components(img >= otsu(img))
+    label = components(img > otsu(img))
     size = np.bincount(label.ravel())
     size[0] = 0
     if not size.any() or size.max() < least * img.size:
