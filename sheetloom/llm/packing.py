@@ -139,10 +139,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = best_fit_plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(F.col("length").alias("of_length"), F.col("salt").alias("of_salt"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # merged, never broadcast: a row for each length and salt; the ranked side is sorted by them already
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         salted.withColumn("own", F.row_number().over(own) - 1)
-        .join(bases, (F.col("length") == F.col("of_length")) & (F.col("salt") == F.col("of_salt")))
+        .join(bases.hint("merge"), (F.col("length") == F.col("of_length")) & (F.col("salt") == F.col("of_salt")))
         .withColumn("rank", F.col("base") + F.col("own"))
         .select(*pieces.columns, "rank")
     )
