@@ -10,17 +10,17 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import held, materialize
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -211,11 +211,6 @@ class Matcher:
         return [best[k] for k in sorted(best)]
 
 
-@lru_cache(maxsize=1)
-def _matcher(items: tuple, threshold: float, overlap: float) -> Matcher:
-    return Matcher(ItemIndex(list(items)), threshold, overlap)
-
-
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
@@ -243,8 +238,8 @@ def contaminated(
     for part in slices:
         items = spark.sparkContext.broadcast(tuple(part))
 
-        def search(batches, items=items):
-            matcher = _matcher(items.value, threshold, overlap)
+        def search(batches, items=items, name=uuid.uuid4().hex):
+            matcher = held(("matcher", name), lambda: Matcher(ItemIndex(list(items.value)), threshold, overlap))
             for b in batches:
                 out = []
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -175,22 +175,21 @@ def write_ids(
     cuts = np.unique(np.array(cuts, np.int64))
 
     def encode(batches):
-        get = tokens.encoder(path).encode
+        get, end = tokens.encoder(path).encode, np.array([end_id], "<u4").tobytes()
         for b in batches:
-            ids, made = b.column(0), [np.frombuffer(get(t), np.uint32).astype(kind).tobytes() for t in b.column(1).to_pylist()]
+            ids, made = b.column(0), [np.frombuffer(get(t) + end, "<u4").astype(kind).tobytes() for t in b.column(1).to_pylist()]
             files = np.searchsorted(cuts, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(files), ids, pa.array(made, pa.binary())], ["file_no", "id", "ids"])
 
     def write(batches):
         out, at, counts = None, None, {}
-        end = np.array([end_id], np.uint32)
         for b in batches:
             for no, doc_id, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if no != at:
                     if out:
                         out.close()
                     out, at = IdFileWriter(f"{folder}/ids-{no:06d}.bin", bits), no
-                out.add(doc_id, np.concatenate([np.frombuffer(data, kind).astype(np.uint32), end]))
+                out.add(doc_id, np.frombuffer(data, kind))
                 counts[no] = (len(out.doc_ids), out.n_ids)
         if out:
             out.close()

@@ -6,11 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_held: dict[tuple, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,3 +85,11 @@ def hash_share(df: DataFrame, key: Column, rows: int) -> DataFrame:
     if n <= 4 * rows:
         return df
     return df.where(F.pmod(F.xxhash64(F.lit("share"), key), F.lit(1 << 40)) < int(2 * rows / n * (1 << 40)))
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this worker until another key is asked for, so that a worker holds one large cache at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

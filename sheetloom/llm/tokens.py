@@ -9,8 +9,10 @@ from array import array
 from functools import lru_cache
 from pathlib import Path
 
+from .shared import held
+
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-CHUNK_ENTRIES, WORD_ENTRIES = 150_000, 250_000
+CHUNK_ENTRIES, WORD_ENTRIES = 200_000, 400_000
 #: Letters that are letters in every version of Unicode and lower-case to one letter, then signs that begin no contraction.
 WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-Þà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -93,9 +95,8 @@ class ChunkEncoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+    return held(("encoder", path), lambda: ChunkEncoder(path))
 
 
 @lru_cache(maxsize=4)
