@@ -151,9 +151,17 @@ def overlaps_heavily(x: Column, y: Column, w: Column, h: Column, px: Column, py:
     return (ox > share * w) & (oy > share * h)
 
 
+PLACED_MOST = 100_000
+
+
 def free_places(candidates: DataFrame, placed: DataFrame) -> DataFrame:
-    """Candidate boxes (x, y, w, h) that overlap no placed box heavily. ``placed`` is one panorama's boxes, some tens of rows."""
-    p = F.broadcast(placed.select(*[F.col(c).alias(f"p{c}") for c in ("x", "y", "w", "h")]).limit(10_000))
+    """Candidate boxes (x, y, w, h) that overlap no placed box heavily.
+
+    ``placed`` is one panorama's boxes, some tens of rows, and is sent to all tasks; more than ``PLACED_MOST`` are no single panorama and raise.
+    """
+    if placed.count() > PLACED_MOST:
+        raise ValueError(f"more than {PLACED_MOST} placed boxes: test components one by one")
+    p = F.broadcast(placed.select(*[F.col(c).alias(f"p{c}") for c in ("x", "y", "w", "h")]))
     return candidates.join(p, overlaps_heavily(*[F.col(c) for c in ("x", "y", "w", "h", "px", "py", "pw", "ph")]), "left_anti")
 
 

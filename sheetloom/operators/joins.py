@@ -149,10 +149,11 @@ def common_clicks(clicks_a: DataFrame, clicks_b: DataFrame) -> DataFrame:
 def ratio_matches(queries: DataFrame, train: DataFrame, keys: list[str], ratio: float = 0.75, block: int = 2048) -> DataFrame:
     """Two-nearest-neighbour matches of descriptors under the ratio test, exact.
 
-    Descriptors are gathered in blocks of ``block`` train rows within the keys; a query meets each block once and keeps its two nearest
+    Train descriptors are gathered in blocks of about ``block`` rows within the keys; a query meets each block once and keeps its two nearest
     there, so what is shuffled is two rows a query and block.
     """
-    blocks = train.withColumn("_block", F.pmod(F.xxhash64("kp_id"), F.lit(64)).cast("int"))
+    counts = train.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    blocks = train.join(counts, keys).withColumn("_block", F.pmod(F.xxhash64("kp_id"), F.col("_blocks")))
     blocks = blocks.groupBy(*keys, "_block").agg(F.collect_list(F.struct("kp_id", "descriptor")).alias("held"))
     met = queries.select(*keys, F.col("kp_id").alias("q_id"), F.col("descriptor").alias("q")).join(blocks, keys)
     near = F.slice(F.array_sort(F.transform("held", lambda t: F.struct(G.vector_distance(F.col("q"), t["descriptor"]).alias("d"), t["kp_id"].alias("t_id")))), 1, 2)

@@ -203,8 +203,12 @@ def without_small(mask: np.ndarray, least: int = 8) -> np.ndarray:
 
 
 def hull_area(x: np.ndarray, y: np.ndarray) -> float:
-    """Area of the convex hull of pixels' centres."""
-    p = np.unique(np.c_[x, y], axis=0)
+    """Area of the convex hull of pixels' centres; only the ends of each row can be corners."""
+    rows, row = np.unique(y, return_inverse=True)
+    low, high = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), np.iinfo(np.int64).min)
+    np.minimum.at(low, row, x)
+    np.maximum.at(high, row, x)
+    p = np.unique(np.c_[np.r_[low, high], np.r_[rows, rows]], axis=0)
 
     def chain(points):
         out: list = []
@@ -332,7 +336,7 @@ def blueprint_mask(img: np.ndarray) -> np.ndarray:
     return dilate((hue >= 180) & (hue <= 320) & (saturation >= 20) & (top >= 20), ellipse(5))
 
 
-def median_denoise(img: np.ndarray, spread: float = 40.0, size: int = 5) -> np.ndarray:
+def bilateral(img: np.ndarray, spread: float = 40.0, size: int = 5) -> np.ndarray:
     """Bilateral smoothing: near pixels of like value are averaged."""
     p, a = np.pad(img.astype(float), size // 2, mode="reflect"), img.astype(float)
     total, weight = np.zeros_like(a), np.zeros_like(a)
@@ -439,8 +443,9 @@ def transformed(images: DataFrame, kernel) -> DataFrame:
 
 
 def pixels(images: DataFrame) -> DataFrame:
-    """One row a pixel: map_num, y, x, v. For operators that work on pixels as rows."""
-    return map_images(images, lambda m, a: ((m, int(y), int(x), int(a[y, x])) for y in range(a.shape[0]) for x in range(a.shape[1])), "map_num string, y int, x int, v int")
+    """One row a pixel: map_num, y, x, v. Images come row by row from the kernel and are taken apart by Spark."""
+    rows = map_images(images, lambda m, a: ((m, y, a[y].tolist()) for y in range(a.shape[0])), "map_num string, y int, line array<int>")
+    return rows.select("map_num", "y", F.posexplode("line").alias("x", "v"))
 
 
 def image_metrics(images: DataFrame) -> DataFrame:
@@ -451,13 +456,17 @@ def image_metrics(images: DataFrame) -> DataFrame:
 def parcels_of(images: DataFrame, ink_below: int = 128, least: int = 500, most_share: float = 0.85) -> DataFrame:
     """Parcels as components of paper between the lines: map_num, id, area_px, m00, cx, cy, bbox fields, hull_area, polygon corners."""
     def find(m, a):
-        label = components(gray(a) >= ink_below)
-        for k in range(1, label.max() + 1):
-            ys, xs = np.nonzero(label == k)
-            if least <= len(ys) <= most_share * a.shape[0] * a.shape[1]:
+        label = components(gray(a) >= ink_below).ravel()
+        size = np.bincount(label)
+        order, stops = np.argsort(label, kind="stable"), np.cumsum(size)
+        for k in range(1, len(size)):
+            if least <= size[k] <= most_share * a.shape[0] * a.shape[1]:
+                ys, xs = np.divmod(order[stops[k] - size[k] : stops[k]], a.shape[1])
                 y0, x0 = ys.min(), xs.min()
-                polygon = mask_polygon((label == k)[y0 : ys.max() + 1, x0 : xs.max() + 1]) or []
-                yield m, k, float(len(ys)), float(xs.mean()), float(ys.mean()), int(x0), int(y0), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1, hull_area(xs, ys), [{"x": int(x + x0), "y": int(y + y0)} for x, y in polygon]
+                mask = np.zeros((int(np.ptp(ys)) + 1, int(np.ptp(xs)) + 1), bool)
+                mask[ys - y0, xs - x0] = True
+                polygon = [{"x": int(x + x0), "y": int(y + y0)} for x, y in mask_polygon(mask) or []]
+                yield m, k, float(size[k]), float(xs.mean()), float(ys.mean()), int(x0), int(y0), mask.shape[1], mask.shape[0], hull_area(xs, ys), polygon
 
     return map_images(images, find, "map_num string, id int, area_px double, cx double, cy double, bbox_x int, bbox_y int, bbox_w int, bbox_h int, hull_area double, polygon array<struct<x:int,y:int>>")
 

@@ -17,7 +17,7 @@ def prepare(images: DataFrame, denoise: bool = True) -> DataFrame:
         began = time.time()
         before = raster.gray(a)
         g = raster.gray(raster.separate_ink(a))
-        g = raster.median_denoise(g) if denoise else g
+        g = raster.bilateral(g) if denoise else g
         g = raster.correct_perspective(raster.correct_skew(raster.equalize_tiles(g)))
         binary = ~raster.clean_mask(raster.adaptive_threshold(g) == 0)
         yield (

@@ -99,7 +99,7 @@ def test_filters():
     lines = np.zeros((100, 200), bool)
     lines[50, 10:190] = True
     assert raster.line_segments(lines) == [(189, 50, 10, 50)] or raster.line_segments(lines) == [(10, 50, 189, 50)]
-    assert raster.equalize_tiles(a).shape == a.shape and raster.median_denoise(a[:50, :50]).shape == (50, 50)
+    assert raster.equalize_tiles(a).shape == a.shape and raster.bilateral(a[:50, :50]).shape == (50, 50)
     blue = np.zeros((20, 20, 3), np.uint8)
     blue[5:9, 5:9] = (200, 60, 40)
     assert raster.blueprint_mask(blue)[6, 6] and not raster.blueprint_mask(blue)[15, 15]
@@ -146,6 +146,14 @@ def test_crops(spark):
     assert all(0 <= p.x < 128 and 0 <= p.y < 128 for r in rows for poly in r.polygons for p in poly)
 
 
+def test_pixels(spark):
+    a = drawing(20, 30)
+    got = np.zeros((20, 30), int)
+    for r in raster.pixels(frame(spark, {"1": a})).collect():
+        got[r.y, r.x] = r.v
+    assert (got == a).all()
+
+
 def test_image_files(spark, tmp_path):
     a = drawing(60, 80)
     b = np.where(a > 128, 255, 0).astype(np.uint8)
