@@ -231,11 +231,11 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Of overlapping spans the first one counts, and at one start the longest. Other columns stay as they are, and so does a text without spans.
     """
-    text = docs.select(F.col("text").cast("string").alias("text"))
-    model = fit(materialize(with_spans(text).select(_alone(F.col("spans")).alias("spans")).where(F.size("spans") > 0), "pii-spans"))
-    own = F.col("text").cast("string")
-    decided = F.transform(_decided(_alone(F.col("spans")), model), lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("less"), x["kind"].alias("kind")))
-    found = with_spans(boxed(docs, text=own)).select("row", "text", F.array_sort(decided).alias("spans"))
+    # the texts are searched once: rows and their spans are one table, from which the classifier's counts and the new texts come
+    boxes = boxed(docs, text=F.col("text").cast("string"))
+    searched = materialize(with_spans(boxes).select("row", _alone(F.col("spans")).alias("spans")), "pii-rows")
+    decided = F.transform(_decided(F.col("spans"), fit(searched)), lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("less"), x["kind"].alias("kind")))
+    found = searched.select("row", F.col("row").getField("text").cast("string").alias("text"), F.array_sort(decided).alias("spans"))
     apart = F.aggregate(
         "spans", F.array().cast("array<struct<start:int,less:int,kind:int>>"),
         lambda got, x: F.when((F.size(got) == 0) | (x["start"] >= -F.element_at(got, -1)["less"]), F.concat(got, F.array(x))).otherwise(got),
