@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _held: dict[tuple, object] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,16 +51,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any longer."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = shared_dir(spark)
-    for f in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if root.removeprefix("file://") in path.toString():
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            return
+    for path in {p for f in df.inputFiles() for p in _made if p.rsplit("/", 1)[1] in f}:
+        _made.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def made() -> frozenset[str]:
+    """Paths of all tables and files that operators have made so far."""
+    return frozenset(_made)
+
+
+def release(spark: SparkSession, keep: DataFrame, before: frozenset[str]) -> None:
+    """Delete the tables and files that operators have made since ``before``, except those that ``keep`` reads."""
+    read = keep.inputFiles()
+    for path in [p for p in _made if p not in before and not any(p.rsplit("/", 1)[1] in f for f in read)]:
+        _made.remove(path)
+        _delete(spark, path)
 
 
 def boxed(df: DataFrame, **columns: Column) -> DataFrame:
