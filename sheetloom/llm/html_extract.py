@@ -47,9 +47,9 @@ FURNITURE_TAGS = frozenset("head nav footer aside form fieldset button select op
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id attributes that tell furniture.
 FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus"
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus"
     " footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup popular promo promoted promotion"
-    " recommended related respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    " rail recommended related respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 #: Such words that count only where no word of CONTENT stands beside them.
 WEAK = frozenset("alert header topbar info bar".split())
@@ -60,7 +60,7 @@ UNLESS_AFTER = frozenset("has with no without not show hide".split())
 @lru_cache(maxsize=1 << 14)
 def is_furniture(tag: str, attributes: str) -> bool:
     """Whether an element is page furniture by its name, role or class words; a header is judged where it stands."""
-    if tag in FURNITURE_TAGS:
+    if tag in FURNITURE_TAGS or "-" in tag and not FURNITURE.isdisjoint(tag.split("-")):
         return True
     if not attributes or tag in ("html", "body"):
         return False
@@ -121,7 +121,7 @@ def parse(page: str) -> list[Block]:
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
-            if m[1] and m[1].lower() != "svg" and now.n_words:
+            if m[1] and m[1].lower() not in ("script", "style", "svg") and now.n_words:
                 blocks.append(now)
                 now = Block()
             continue
