@@ -202,7 +202,7 @@ def write_ids(
     fs, inner = open_fs(folder)
     fs.create_dir(inner, recursive=True)
     encoded = rows.mapInArrow(encode, "file_no int, id long, ids binary")
-    dealt = encoded.repartition(n, "file_no").sortWithinPartitions("file_no", F.col("id").asc_nulls_first(), "ids")
+    dealt = encoded.repartitionById(n, F.col("file_no")).sortWithinPartitions("file_no", F.col("id").asc_nulls_first(), "ids")
     return materialize(dealt.mapInArrow(write, "file_no int, path string, n_docs long, n_ids long"), "idfiles")
 
 
