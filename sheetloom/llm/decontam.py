@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +35,9 @@ LEAST_CELL = 16
 CELLS = 5  # a window is so many cells, one more than the longest item needs
 LEAST_WORDS = 5
 SLICE_BYTES = 4 << 20
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 250_000
 WORD = re.compile(r"\w+")
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"  # no letters, digits or underscores
 
 
 def words_of(text: str) -> list[str]:
@@ -128,7 +130,11 @@ class TermChunks(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, chunk: str) -> bytes:
-        got = np.array([self.vocabulary.get(w, 0) for w in words_of(chunk)], np.int32).tobytes()
+        word = chunk.strip(SIGNS).lower()
+        if word.isalnum():  # one word, as nearly all chunks are
+            got = self.vocabulary.get(word, 0).to_bytes(4, "little")
+        else:
+            got = array("i", [self.vocabulary.get(w, 0) for w in words_of(chunk)]).tobytes()
         if len(self) < CACHE_ENTRIES and len(chunk) <= 64:
             self[chunk] = got
         return got
