@@ -20,7 +20,7 @@ MOST_REPEATED_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
-HOST_LIMIT = 0.5
+HOST_LIMIT = 0.9  # a host goes only if nearly all its documents fail
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 #: Document-level rules whose failures are counted by host.
 RULES = ("few_words", "repetition", "symbols", "repeated_lines")

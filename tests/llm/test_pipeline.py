@@ -45,3 +45,26 @@ def test_catalog():
     names = set(catalog.queries())
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
     assert set(catalog.oracle_sql()) <= names
+
+
+def test_stages_on_edge_cases(spark, edge_documents, no_documents, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns, and an empty table go through every stage."""
+    for kind, docs in (("edge", edge_documents), ("none", no_documents)):
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, docs, DATA)
+            after.write.parquet(path := str(tmp_path / kind / name))
+            after = spark.read.parquet(path)
+            if name != "best_fit_packing":
+                assert after.columns == docs.columns and after.dtypes == docs.dtypes
+                assert after.count() <= docs.count()
+                docs = after
+            else:
+                assert sorted({str(r.doc_id) for r in after.collect()}) == sorted({str(r.doc_id) for r in docs.collect()})
+        assert docs.count() == 0 if kind == "none" else docs.count() > 0
+
+
+def test_each_stage_alone_on_edge_cases(spark, edge_documents):
+    rows = edge_documents.count()
+    counts = {name: stage(spark, edge_documents, DATA).count() for name, stage in corpus_pipeline.STAGES}
+    assert counts["benchmark_decontamination"] == counts["personal_data"] == rows
+    assert 0 < counts["quality_rules"] < rows and 0 < counts["near_duplicates"] < rows and counts["best_fit_packing"] >= rows
