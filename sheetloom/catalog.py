@@ -197,7 +197,7 @@ def readings_grouped(spark, d):
 _SHARED = f"""{_READ}, n AS (SELECT map_num, number, count(*) AS n_dup FROM r WHERE number IS NOT NULL GROUP BY ALL HAVING count(*) <= 20),
 u AS (SELECT r.*, n_dup FROM r JOIN n USING (map_num, number)),
 s AS (SELECT a.map_num AS map_a, b.map_num AS map_b, a.number AS number, a.parcel_id AS parcel_a, b.parcel_id AS parcel_b, a.n_dup AS n_dup_a, b.n_dup AS n_dup_b,
-  sqrt((b.cx + 10 - a.cx) ** 2 + (b.cy + 5 - a.cy) ** 2) AS residual FROM u a JOIN u b ON a.number = b.number AND a.map_num < b.map_num)"""
+  round(sqrt((b.cx + 10 - a.cx) ** 2 + (b.cy + 5 - a.cy) ** 2), 6) AS residual FROM u a JOIN u b ON a.number = b.number AND a.map_num < b.map_num)"""
 
 
 def _shared(spark, d) -> DataFrame:
@@ -213,7 +213,7 @@ def cross_reference_numbers(spark, d):
 def _nearest(spark, d) -> DataFrame:
     c = F.col
     residual = joins.prior_residual(G.translation(10.0, 5.0), c("a.cx"), c("a.cy"), c("b.cx"), c("b.cy"), F.lit(0), F.lit(0))
-    return joins.nearest_shared(_shared(spark, d), residual)
+    return joins.nearest_shared(_shared(spark, d), F.round(residual, 6))  # rounded, so that both engines see the same ties
 
 
 @query(f"""WITH {_SHARED}, k AS (SELECT *, row_number() OVER (PARTITION BY map_a, map_b, number ORDER BY residual, parcel_a, parcel_b) AS k FROM s)
