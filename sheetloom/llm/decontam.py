@@ -35,7 +35,7 @@ LEAST_CELL = 16
 CELLS = 5  # a window is so many cells, one more than the longest item needs
 LEAST_WORDS = 5
 SLICE_BYTES = 4 << 20
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 80_000
 WORD = re.compile(r"\w+")
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"  # no letters, digits or underscores
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,5 +108,7 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     """What ``make`` gives, kept in this worker until another key is asked for, so that a worker holds one large cache at a time."""
     if key not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _held[key] = make()
     return _held[key]
