@@ -12,7 +12,7 @@ from pathlib import Path
 from .shared import held
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-CHUNK_ENTRIES, WORD_ENTRIES = 200_000, 400_000
+CHUNK_ENTRIES, WORD_ENTRIES = 120_000, 300_000
 #: Letters that are letters in every version of Unicode and lower-case to one letter, then signs that begin no contraction.
 WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-Þà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
