@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetloom.llm import decontam, packing, pii, rules, simhash
+from sheetloom.llm import decontam, near_text, packing, pii, rules
 from sheetloom.llm.shared import made, materialize, release
 
 
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by SimHash, the one with the least doc_id stays."""
-    return simhash.one_of_each_group(docs)
+    """Of each group of documents linked by a similarity of four fifths of their five-word shingles, the one with the least doc_id stays."""
+    return near_text.one_of_each_group(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SimHash fingerprints and tokenizer ids are beyond SQL; the tests hold the stages against brute force.
+#: Shingle sets and tokenizer ids are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
