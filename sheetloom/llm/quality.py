@@ -24,7 +24,8 @@ from .shared import hash_share, held
 
 BUCKETS, DIM = 1 << 18, 16
 NGRAMS = (3, 4)
-LONGEST = 40  # n-grams of a longer word are those of its first and last characters
+PIECE = 1 << 16  # characters of a longer word are scored by pieces
+KEPT = 256  # longer words are not kept in the cache
 EPOCHS, RATE, SEED = 3, 2.0, 17
 #: The bound of the training sample: labelled rows, and characters of one of them.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 200_000
@@ -36,24 +37,50 @@ def _shape(word: str) -> str:
     return f"\0{word.isupper():d}{word.islower():d}{word.isalpha():d}{'' if word[-1].isalnum() else word[-1]}"
 
 
+def _gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all n-grams of the characters."""
+    keys = np.full(max(0, len(codes) - n + 1), n, np.uint64)
+    for k in range(n):
+        keys = keys * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(keys)]
+    keys ^= keys >> np.uint64(29)
+    return keys * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return 1 + (hashes % np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _whole_hashes(words: list[str]) -> list[np.ndarray]:
+    return [np.array([zlib.crc32(f(w).encode("utf-8", "surrogatepass")) for w in words], np.uint64) for f in (str, _shape)]
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, index of its word) of all subwords of the words: each word itself, its shape, its character n-grams."""
-    words = [w if len(w) <= LONGEST else w[: LONGEST // 2] + "…" + w[-LONGEST // 2 :] for w in words]
-    whole = [np.array([zlib.crc32(f(w).encode("utf-8", "surrogatepass")) for w in words], np.uint64) for f in (str, _shape)]
-    owners = [np.arange(len(words))] * 2
-    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    whole, owners = _whole_hashes(words), [np.arange(len(words))] * 2
+    codes = _codes("".join([f"<{w}>" for w in words]))
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     owner, left = np.repeat(np.arange(len(words)), lengths), np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
     for n in NGRAMS:
-        keys = np.full(max(0, len(codes) - n + 1), n, np.uint64)
-        for k in range(n):
-            keys = keys * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(keys)]
-        keys ^= keys >> np.uint64(29)
-        keys *= np.uint64(0xBF58476D1CE4E5B9)
+        keys = _gram_hashes(codes, n)
         inside = left[: len(keys)] >= n
-        whole.append(keys[inside] >> np.uint64(32))
+        whole.append(keys[inside])
         owners.append(owner[: len(keys)][inside])
-    return 1 + (np.concatenate(whole) % np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(owners)
+    return _buckets(np.concatenate(whole)), np.concatenate(owners)
+
+
+def long_word_score(word: str, table: np.ndarray) -> float:
+    """The mean over all subwords of one word, whose n-grams are made a piece at a time."""
+    total, count = float(table[_buckets(np.concatenate(_whole_hashes([word])))].sum(dtype=np.float64)), 2
+    spelt = f"<{word}>"
+    for i in range(0, len(spelt), PIECE):
+        for n in NGRAMS:
+            got = table[_buckets(_gram_hashes(_codes(spelt[i : i + PIECE + n - 1]), n))]
+            total, count = total + float(got.sum(dtype=np.float64)), count + len(got)
+    return total / count
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +137,8 @@ class Scorer:
         if len(self.known) + len(fresh) > CACHE_ENTRIES:
             self.known.clear()
             fresh = list(words)
-        for i in range(0, len(fresh), 1 << 14):
-            part = fresh[i : i + (1 << 14)]
+        self.known.update((w, long_word_score(w, self.table)) for w in fresh if len(w) > PIECE)
+        for part in by_size([w for w in fresh if len(w) <= PIECE], 1 << 17):
             ids, owner = subwords(part)
             self.known.update(zip(part, (np.bincount(owner, self.table[ids]) / np.bincount(owner)).tolist(), strict=True))
 
@@ -126,6 +153,8 @@ class Scorer:
                 twice = sum(map(eq, words, words[1:]))
                 x += (math.fsum(map(self.known.__getitem__, words)) + twice * self.twice) / (len(words) + twice)
             made.append(1 / (1 + math.exp(-max(-60.0, min(60.0, x)))))
+        for w in [w for w in seen if len(w) > KEPT]:
+            del self.known[w]
         return made
 
 
