@@ -1,10 +1,11 @@
-"""Near-duplicate texts: an exact join of shingle sets at a Jaccard similarity, by their prefixes.
+"""Near-duplicate texts: SimHash fingerprints of word shingles, joined in binary tries, and each candidate checked on its whole text.
 
-Two sets that share four fifths of their union share one of the first n - ceil(4 n / 5) + 1 members of each, in any
-order that all sets share. Members go by their hash, those that many sets have in their prefixes last, so few sets meet that
-aren't alike. Sets that meet in a member are pairs; those whose parity bitmaps differ in more bits than two sets that are alike have
-members apart are none, and each other pair is checked on its whole sets. A member that is in the prefixes of
-too many sets is first paired with a few of them; once those links are known, its sets of different components are paired.
+Texts whose sets of shingles have a similarity (Jaccard) of four fifths have an angle of 27 degrees between their sets, so about 10 of
+64 bits of a fingerprint apart. A text has two fingerprints, and a pair within ``BUDGET`` bits in either of them is a candidate
+if the sizes of the sets allow the similarity. A candidate is a link only if the whole sets are alike.
+
+A dense group's candidates are not all checked: first every text with the one that has most candidates beside it, and once
+those links are known, candidates of different components only.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import boxed, discard, materialize, unboxed
+from .trie import join_units
 
 WORDS = 5
 #: The least similarity, as a fraction.
 ALIKE, OF = 4, 5
-#: A member in more prefixes than this goes last; of such members the order knows this many, which bounds the broadcast and no result.
-OFTEN, OFTEN_MOST = 16, 200_000
-#: Up to so many sets all pairs are made at once.
-CROWD, PIVOTS = 64, 4
-BITMAP = 1024
+PRINTS, BUDGET = 2, 11
+#: A text with more candidates in a unit than this gives only the first of them at once.
+CROWD = 16
+NODE_LEAST, NODE_MOST, NODES = 4096, 1 << 20, 4
+PIECE, HELD_PAIRS = 1 << 16, 1 << 22
+_SALTS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _MIX, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -52,14 +55,18 @@ def set_key(members: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(members.tobytes(), 7)).view(np.int64))
 
 
-def prefix(members: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The members by which a set meets all that are alike; ``often`` are the sorted ones that go last."""
-    n = len(members)
-    most = n - -(-ALIKE * n // OF) + 1 if n else 0
-    if len(often) and n:
-        last = often[np.minimum(np.searchsorted(often, members), len(often) - 1)] == members
-        members = np.concatenate([members[~last], members[last]])
-    return members[:most]
+def set_prints(members: np.ndarray) -> list[int]:
+    """``PRINTS`` signed fingerprints of a set: a bit is 1 if set in over half the members' hashes."""
+    made = []
+    for salt in _SALTS[:PRINTS]:
+        counts = np.zeros(64, np.int64)
+        for i in range(0, len(members), PIECE):
+            x = (members[i : i + PIECE] ^ salt) * _LAST
+            x = (x ^ (x >> np.uint64(31))) * _MIX
+            bits = np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.uint32)
+        made.append(int(np.packbits(2 * counts > len(members), bitorder="little").view(np.int64)[0]))
+    return made
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -67,214 +74,176 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= ALIKE * (len(a) + len(b) - both)
 
 
-def bitmap(members: np.ndarray) -> bytes:
-    """The parity of the members at each of ``BITMAP`` bits: two sets have at least as many members apart as their bitmaps have bits."""
-    return np.packbits(np.bincount((members >> np.uint64(7)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1).tobytes()
-
-
 def text_id(text) -> object:
     return F.xxhash64(text.cast("string"))
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id, key, n (size), bits and prefix of the set of every row."""
+def _prints(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id, key, n (size) and fingerprints of the set of every row."""
+    names = [f"fp{k}" for k in range(PRINTS)]
 
     def make(batches):
-        none = np.zeros(0, np.uint64)
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
                 sets = [shingle_set(t) for t in b.column(2).to_pylist()]
-                parts = [prefix(s, none).view(np.int64) for s in sets]
-                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
-                keys, sizes = pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
-                bits = pa.array([bitmap(s) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys, sizes, bits, lists], ["doc_id", "text_id", "key", "n", "bits", "prefix"])
+                prints = zip(*[set_prints(s) for s in sets], strict=True)
+                made = [[set_key(s) for s in sets], [len(s) for s in sets], *prints]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.int64()) for x in made]], ["doc_id", "text_id", "key", "n", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id(F.col("text")).alias("text_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(make, "doc_id long, text_id long, key long, n long, bits binary, prefix array<long>")
+    return rows.mapInArrow(make, "doc_id long, text_id long, key long, n long, " + ", ".join(f"{c} long" for c in names))
 
 
-def _members(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """(member, key, n) for the prefix of every row, with members in ``often`` last."""
-    held = docs.sparkSession.sparkContext.broadcast(often)
+def _fitting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be alike."""
+    return ALIKE * np.maximum(x, y) <= OF * np.minimum(x, y)
 
-    def make(batches):
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                sets = [shingle_set(t) for t in whole.column(0).slice(i, 1024).to_pylist()]
-                parts = [prefix(s, held.value).view(np.int64) for s in sets]
-                size = [len(p) for p in parts]
-                keys, n = (np.repeat(np.array(x, np.int64), size) for x in ([set_key(s) for s in sets], [len(s) for s in sets]))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(parts), keys, n)], ["member", "key", "n"])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(make, "member long, key long, n long")
-
-
-def _runs(batches, names):
-    """Tables of whole members from batches sorted by member."""
-    rest = None
-    for b in batches:
-        rows = [b.column(names.index(x)).to_numpy(zero_copy_only=False) for x in names]
-        rest = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-        cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
-        if cut:
-            yield [x[:cut] for x in rest]
-            rest = [x[cut:] for x in rest]
-    if rest is not None and len(rest[0]):
-        yield rest
-
-
-def _bounds(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]])
-
-
-def _meet(batches):
-    """Pairs (u, v) of the sets that share a member; of crowds pairs with a few pivots, and (u, null, member, n) for the crowd itself."""
-    for member, key, n in _runs(batches, ["member", "key", "n"]):
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (member[1:] != member[:-1]) | (key[1:] != key[:-1])
-        member, key, n = member[fresh], key[fresh], n[fresh]
-        at = _bounds(member)
-        us, vs, crowds = [], [], []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if b - a < 2:
-                continue
-            if b - a <= CROWD:
-                i, j = np.triu_indices(b - a, 1)
-                i, j = i + a, j + a
-            else:
-                crowds.append((a, b))
-                # the same few orders for all members, so that crowds of the same sets have the same pivots
-                order = np.argsort((key[a:b].view(np.uint64) ^ (member[a : a + 1].view(np.uint64) % np.uint64(PIVOTS))) * _MIX, kind="stable") + a
-                left, i, j = order, [], []
-                while len(left) > 1:
-                    fit = (ALIKE * n[left] <= OF * n[left[0]]) & (ALIKE * n[left[0]] <= OF * n[left])
-                    j.append(left[fit][1:])
-                    i.append(np.full(len(j[-1]), left[0]))
-                    left = left[~fit]
-                i, j = np.concatenate(i), np.concatenate(j)
-            fit = ALIKE * np.maximum(n[i], n[j]) <= OF * np.minimum(n[i], n[j])
-            us.append(np.minimum(key[i[fit]], key[j[fit]]))
-            vs.append(np.maximum(key[i[fit]], key[j[fit]]))
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            none = pa.nulls(len(u), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none, none], ["u", "v", "member", "n"])
-        for a, b in crowds:
-            yield pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.nulls(b - a, pa.int64()), pa.array(member[a:b]), pa.array(n[a:b])], ["u", "v", "member", "n"])
-
-
-def _meet_across(batches):
-    """All pairs (u, v) of the sets that share a member and are of different components."""
-    for member, key, n, root in _runs(batches, ["member", "key", "n", "root"]):
-        at = _bounds(member)
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if (root[a:b] == root[a]).all():
-                continue
-            for i in range(a, b - 1):
-                rest = slice(i + 1, b)
-                fit = (root[rest] != root[i]) & (ALIKE * np.maximum(n[rest], n[i]) <= OF * np.minimum(n[rest], n[i]))
-                if fit.any():
-                    other = key[rest][fit]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, key[i])), pa.array(np.maximum(other, key[i]))], ["u", "v"])
-
-
-def _possible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs without those whose bitmaps rule out that they are alike."""
-
-    def sift(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (3, 5))
-                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                n = b.column(2).to_numpy() + b.column(4).to_numpy()
-                good = pa.array((OF + ALIKE) * apart <= (OF - ALIKE) * n)
-                yield pa.RecordBatch.from_arrays([b.column(k).filter(good) for k in range(2)], ["u", "v"])
 
-    one = classes.select("key", "n", "bits")
-    first = materialize(pairs.join(one.toDF("ku", "nu", "bu"), F.col("u") == F.col("ku")).select("u", "v", "nu", "bu"), "half-pairs")
-    both = first.join(one.toDF("kv", "nv", "bv"), F.col("v") == F.col("kv")).select("u", "v", "nu", "bu", "nv", "bv")
-    left = materialize(both.mapInArrow(sift, "u long, v long"), "possible")
-    discard(first)
-    return left
+def _sides(a: dict, b: dict | None, pairs, keep):
+    """The nodes of a unit by column, and a generator of its pairs (as indices of nodes) that fit and that ``keep`` lets through."""
+    nodes = {c: a[c] if b is None else np.concatenate([a[c], b[c]]) for c in a}
+    shift = 0 if b is None else len(a["key"])
+
+    def found():
+        for i, j in pairs():
+            j = j + shift
+            left = (nodes["key"][i] != nodes["key"][j]) & _fitting(nodes["n"][i], nodes["n"][j]) & keep(nodes, i, j)
+            if left.any():
+                yield i[left], j[left]
 
+    return nodes, found
 
-def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are alike; sets are made again for the rows that are in a pair."""
+
+def _ordered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _meet(a: dict, b: dict | None, pairs) -> pa.Table:
+    """(u, v, first): candidates of a unit, ``first`` those of a node with its neighbour of most candidates; (u, null, false) for a node in a crowd.
+
+    Pairs of two nodes of a crowd are left out but for the first ones.
+    """
+    nodes, found = _sides(a, b, pairs, lambda nodes, i, j: True)
+    key, held, size = nodes["key"], [], 0
+    degree = np.zeros(len(key), np.int64)
+    for i, j in found():
+        degree += np.bincount(i, minlength=len(key)) + np.bincount(j, minlength=len(key))
+        size += len(i)
+        if size <= HELD_PAIRS:
+            held.append((i, j))
+    again = (lambda: iter(held)) if size <= HELD_PAIRS else found
+    # of the neighbours with most candidates the one of the least key
+    rank = np.empty(len(key), np.int64)
+    rank[np.lexsort((-key, degree))] = np.arange(len(key))
+    hub, us, vs = np.full(len(key), -1, np.int64), [], []
+    by_rank = np.argsort(rank)
+    for i, j in again():
+        np.maximum.at(hub, i, rank[j])
+        np.maximum.at(hub, j, rank[i])
+        sparse = np.minimum(degree[i], degree[j]) <= CROWD
+        us.append(key[i[sparse]])
+        vs.append(key[j[sparse]])
+    own = np.flatnonzero(hub >= 0)
+    crowd = key[degree > CROWD]
+    first = _ordered(key[own], key[by_rank[hub[own]]])
+    rest = _ordered(np.concatenate(us), np.concatenate(vs)) if us else (key[:0], key[:0])
+    flags = np.repeat([True, False], [len(first[0]), len(rest[0]) + len(crowd)])
+    v = pa.concat_arrays([pa.array(first[1], pa.int64()), pa.array(rest[1], pa.int64()), pa.nulls(len(crowd), pa.int64())])
+    return pa.table({"u": pa.array(np.concatenate([first[0], rest[0], crowd]), pa.int64()), "v": v, "first": pa.array(flags)})
+
+
+def _meet_across(a: dict, b: dict | None, pairs) -> pa.Table:
+    """(u, v): all candidates of a unit between nodes of different roots."""
+    nodes, found = _sides(a, b, pairs, lambda nodes, i, j: nodes["root"][i] != nodes["root"][j])
+    key = nodes["key"]
+    made = [_ordered(key[i], key[j]) for i, j in found()]
+    u, v = (np.concatenate([x[k] for x in made]) if made else key[:0] for k in (0, 1))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _joined(classes: DataFrame, work, schema: str) -> DataFrame:
+    most = max(NODE_LEAST, min(NODE_MOST, -(-classes.count() // NODES)))
+    return join_units(classes, PRINTS, BUDGET, most, work, schema)
+
+
+def _checked(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets are alike; sets are made again, for one text of each key in a pair."""
 
     def make(batches):
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                sets = [shingle_set(t) for t in whole.column(0).slice(i, 1024).to_pylist()]
+            for i in range(0, whole.num_rows, 256):
+                sets = [shingle_set(t) for t in whole.column(0).slice(i, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "members"])
 
     def check(batches):
         for b in batches:
-            pairs = zip(b.column(2), b.column(3), strict=True)
-            good = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in pairs]
+            each = zip(b.column(2), b.column(3), strict=True)
+            good = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in each]
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(good, pa.bool_())) for k in range(2)], ["u", "v"])
 
-    pairs = _possible(classes, pairs)
     ends = pairs.select(F.col("u").alias("end")).unionAll(pairs.select(F.col("v").alias("end"))).distinct()
-    one = classes.select("key", F.col("text_id").alias("of_text"))
-    wanted = materialize(one.join(ends, F.col("key") == F.col("end"), "left_semi").select("of_text").distinct(), "paired-texts")
-    texts = docs.select(F.col("text").cast("string").alias("text"), text_id(F.col("text")).alias("own_text"))
-    texts = texts.join(wanted, F.col("own_text") == F.col("of_text"), "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(make, "key long, members binary").dropDuplicates(["key"]), "paired-sets")
-    first = materialize(pairs.join(sets.withColumnsRenamed({"key": "ku", "members": "mu"}), F.col("u") == F.col("ku")).select("u", "v", "mu"), "half-pairs")
-    both = first.join(sets.withColumnsRenamed({"key": "kv", "members": "mv"}), F.col("v") == F.col("kv")).select("u", "v", "mu", "mv")
+    wanted = materialize(texts.join(ends, F.col("key") == F.col("end"), "left_semi").select(F.col("text_id").alias("of_text")).distinct(), "paired-texts")
+    rows = docs.select(F.col("text").cast("string").alias("text"), text_id(F.col("text")).alias("own_text"))
+    rows = rows.join(wanted, F.col("own_text") == F.col("of_text"), "left_semi").select("text")
+    sets = materialize(rows.mapInArrow(make, "key long, members binary").dropDuplicates(["key"]), "paired-sets")
+    half = materialize(pairs.join(sets.toDF("ku", "mu"), F.col("u") == F.col("ku")).select("u", "v", "mu"), "half-pairs")
+    both = half.join(sets.toDF("kv", "mv"), F.col("v") == F.col("kv")).select("u", "v", "mu", "mv")
     good = materialize(both.mapInArrow(check, "u long, v long"), "alike")
-    discard(sets)
-    discard(first)
+    for x in (wanted, sets, half):
+        discard(x)
     return good
 
 
+def _with_roots(nodes: DataFrame, rooted: DataFrame) -> DataFrame:
+    return nodes.join(rooted.toDF("of_node", "of_root"), F.col("key") == F.col("of_node"), "left").withColumn("root", F.coalesce("of_root", "key")).drop("of_node", "of_root")
+
+
 def near_text_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id (a hash of the text) and component of every row: rows with equal sets of shingles, or sets of a similarity of four fifths, are linked.
+    """doc_id, text_id (a hash of the text) and component of every row: rows with equal sets of shingles, or alike ones that are candidates, are linked.
 
-    Texts without words have the empty set; repeated rows are kept.
+    Texts without words have the empty set; repeated rows are kept; an empty table gives an empty table.
     """
-    full = materialize(_prefixes(docs), "prefixes")
-    counts = full.select(F.explode("prefix").alias("member")).groupBy("member").count().where(F.col("count") > OFTEN)
-    often = np.array([r.member for r in counts.orderBy(F.desc("count"), "member").limit(OFTEN_MOST).collect()], np.int64).view(np.uint64)
-    often = np.sort(often)
-    named = materialize(full.select("doc_id", "text_id", "key"), "named")
-    classes = materialize(full.select("key", "n", "bits", "text_id").dropDuplicates(["key"]), "classes")  # a key is of one set, whichever text
-    discard(full)
-    met = _members(docs, often).repartition("member").sortWithinPartitions("member", "key").mapInArrow(_meet, "u long, v long, member long, n long")
-    met = materialize(met, "met")
-    pairs = materialize(met.where("v is not null").select("u", "v").distinct(), "pairs")
-    links = _checked(docs, classes, pairs)
+    prints = materialize(_prints(docs), "prints")
+    fps = [f"fp{k}" for k in range(PRINTS)]
+    one = materialize(prints.select(*fps, "key", "n", "text_id").dropDuplicates(["key"]), "classes")  # a key is of one set, whichever text
+    classes, texts = one.select(*fps, "key", "n"), one.select("key", "text_id")
+    met = materialize(_joined(classes, _meet, "u long, v long, first boolean"), "met")
+    pairs = materialize(met.where("v is not null").groupBy("u", "v").agg(F.max("first").alias("first")), "pairs")
+    links = _checked(docs, texts, pairs.where("first").select("u", "v"))
     rooted = materialize(components(links), "rooted")
-    crowds = met.where("v is null").select("member", F.col("u").alias("key"), "n")
-    placed = crowds.join(rooted, F.col("key") == F.col("node"), "left").select("member", "key", "n", F.coalesce("root", "key").alias("root"))
-    across = placed.repartition("member").sortWithinPartitions("member", "key").mapInArrow(_meet_across, "u long, v long")
-    across = materialize(across.distinct().join(pairs, ["u", "v"], "left_anti"), "across")
-    if not across.isEmpty():
-        rooted = materialize(components(links.unionAll(_checked(docs, classes, across))), "rooted")
-    joined = named.join(rooted, F.col("key") == F.col("node"), "left")
+    # what is left: the other pairs, and those of two nodes of a crowd, where the ends are not of one component yet
+    left = _with_roots(_with_roots(pairs.where("not first").withColumnRenamed("u", "key"), rooted).withColumnsRenamed({"key": "u", "root": "root_u", "v": "key"}), rooted)
+    left = left.where("root <> root_u").select("u", F.col("key").alias("v"))
+    crowd = met.where("v is null").select(F.col("u").alias("of_crowd")).distinct()
+    crowd = materialize(_with_roots(classes.join(crowd, F.col("key") == F.col("of_crowd"), "left_semi"), rooted), "crowd")
+    if not crowd.isEmpty():
+        left = left.unionAll(_joined(crowd, _meet_across, "u long, v long")).distinct()
+    left = materialize(left.join(pairs.where("first"), ["u", "v"], "left_anti"), "left-pairs")
+    if not left.isEmpty():
+        rooted = materialize(components(links.unionAll(_checked(docs, texts, left))), "rooted")
+    joined = prints.select("doc_id", "text_id", "key").join(rooted, F.col("key") == F.col("node"), "left")
     return joined.select("doc_id", "text_id", F.coalesce("root", "key").alias("component"))
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component of ``groups`` the least (doc_id, text_id), once.
+    """The rows of ``docs`` that stay: of each component of ``groups`` the least (doc_id, text_id), once; a null doc_id comes last.
 
-    Rows with a null doc_id stay.
+    A row is named by its id and text, so of rows that share an id only those go whose own text is in a group with a lesser one.
     """
-    named = materialize(groups.where("doc_id is not null"), "groups")
-    first = materialize(named.groupBy("component").agg(F.min(F.struct("doc_id", "text_id")).alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_id").alias("kept_text")), "kept")
+    named = materialize(groups, "groups")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_id")).alias("kept"))
+    first = materialize(first.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_id").alias("kept_text")), "kept")
     gone = named.select(F.col("doc_id").alias("gone_id"), F.col("text_id").alias("gone_text")).distinct()
-    gone = materialize(gone.join(first, (F.col("gone_id") == F.col("kept_id")) & (F.col("gone_text") == F.col("kept_text")), "left_anti"), "dropped")
+    gone = materialize(gone.join(first, F.col("gone_id").eqNullSafe(F.col("kept_id")) & (F.col("gone_text") == F.col("kept_text")), "left_anti"), "dropped")
     rows = boxed(docs, own_id=F.col("doc_id").cast("long"), own_text=text_id(F.col("text")))
-    kept = rows.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_text") == F.col("gone_text")), "left_anti")
+    kept = rows.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_text") == F.col("gone_text")), "left_anti")
     repeated = named.groupBy("doc_id", "text_id").count().where("count > 1").limit(1).count()
     if repeated:
-        kept = kept.where("own_id is null").unionAll(kept.where("own_id is not null").dropDuplicates(["own_id", "own_text"]))
+        kept = kept.dropDuplicates(["own_id", "own_text"])
     return unboxed(kept, docs)
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicate texts the row with the least doc_id, once; rows with a null doc_id stay."""
+    """Of each group of near-duplicate texts the row with the least doc_id, once; rows without an id come after those with one."""
     return keep_one(docs, near_text_groups(docs))

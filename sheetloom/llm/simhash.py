@@ -1,10 +1,7 @@
 """SimHash fingerprints and their near-duplicate groups, by a self-join of the binary trie of fingerprints.
 
-The trie's upper nodes are found from counts by prefix: a node with too many fingerprints is split further, so
-every node is of bounded size. Pairs of nodes whose prefixes differ in few enough bits are the units of work;
-each is one group of rows. Within a unit the two subtries are traversed together, a level at a time, adding up differing
-bits and dropping pairs beyond the budget. A unit returns no pairs but a spanning forest of its links, so
-a dense group of near copies stays linear.
+The tries and their units of work are those of ``trie.py``. A unit returns no pairs but a spanning forest of its links, so a dense
+group of near copies stays linear.
 """
 
 from __future__ import annotations
@@ -16,11 +13,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import materialize
+from .trie import join_units
 
-BITS, BUDGET, WORDS = 64, 3, 3
-NODE_LEAST, NODE_MOST, NODES = 4096, 1 << 20, 12
-PREFIX_STEP = 12
-LEAF, FRONTIER = 16, 1 << 17
+BUDGET, WORDS = 3, 3
+NODE_LEAST, NODE_MOST, NODES = 4096, 1 << 18, 12
 PIECE = 1 << 16
 
 
@@ -57,53 +53,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "doc_id long, fp long")
 
 
-def _expand(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For ranges of n items from lo: which range each item is of, and the item."""
-    which = np.repeat(np.arange(len(n)), n)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-
-
-def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int = BUDGET):
-    """Yield arrays (i, j) with a[i] and b[j] (or a[j], i < j) at ``budget`` differing bits or fewer.
-
-    ``a`` and ``b`` are sorted distinct uint64 arrays: the leaves of two tries. A node is a range of leaves.
-    """
-    same, b = b is None, a if b is None else b
-    one = np.ones(1, np.int64)
-    stack = [(0, one * 0, one * len(a), one * 0, one * len(b), one * 0)]
-    while stack:
-        depth, al, ah, bl, bh, diff = stack.pop()
-        if len(al) > FRONTIER:
-            half = len(al) // 2
-            stack.append((depth, *(x[half:] for x in (al, ah, bl, bh, diff))))
-            stack.append((depth, *(x[:half] for x in (al, ah, bl, bh, diff))))
-            continue
-        small = ((ah - al) * (bh - bl) <= LEAF) | (depth == BITS)
-        if small.any():
-            k, i = _expand(al[small], (ah - al)[small])
-            m, j = _expand(bl[small][k], (bh - bl)[small][k])
-            i = i[m]
-            near = np.bitwise_count(a[i] ^ b[j]) <= budget
-            if same:
-                near &= i < j
-            if near.any():
-                yield i[near], j[near]
-        wide = ~small
-        if not wide.any():
-            continue
-        al, ah, bl, bh, diff = (x[wide] for x in (al, ah, bl, bh, diff))
-        bit = np.uint64(1 << (BITS - 1 - depth))
-        upper = np.uint64(((1 << depth) - 1) << (BITS - depth))
-        am = np.searchsorted(a, (a[al] & upper) | bit)
-        bm = np.searchsorted(b, (b[bl] & upper) | bit)
-        own = (al == bl) & (ah == bh) if same else np.zeros(len(al), bool)
-        parts = [(al, am, bl, bm, diff, ~np.zeros_like(own)), (am, ah, bm, bh, diff, ~np.zeros_like(own)), (al, am, bm, bh, diff + 1, ~np.zeros_like(own)), (am, ah, bl, bm, diff + 1, ~own)]
-        kept = [[x[(p[1] > p[0]) & (p[3] > p[2]) & (p[4] <= budget) & p[5]] for x in p[:5]] for p in parts]
-        stack.append((depth + 1, *(np.concatenate(x) for x in zip(*kept, strict=True))))
-        if not len(stack[-1][1]):
-            stack.pop()
-
-
 def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
     r = parent[x]
     while (up := parent[r]).shape and (up != r).any():
@@ -122,96 +71,28 @@ def merge_links(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(parent, hi, lo)
 
 
-def _split_nodes(classes: DataFrame, most: int) -> list[tuple[int, int]]:
-    """Trie nodes (prefix, bits) in order, none of more than ``most`` fingerprints; only counts come to the driver."""
-    done, ask = [], [(0, 0)]
-    bits = 0
-    while ask:
-        step = min(PREFIX_STEP, BITS - bits)
-        prefix = F.shiftrightunsigned("fp", BITS - bits - step)
-        rows = classes
-        if bits:
-            rows = rows.where(F.shiftrightunsigned("fp", BITS - bits).isin([p for p, _ in ask]))
-        counts = {(r.p, step): r.n for r in rows.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
-        counts = {(p & ((1 << bits + step) - 1), k): n for (p, k), n in counts.items()}
-        for k in range(step, 0, -1):
-            for (p, at), n in [x for x in counts.items() if x[0][1] == k]:
-                key = (p >> 1, k - 1)
-                counts[key] = counts.get(key, 0) + n
-        deeper = []
-
-        def walk(p, k, counts=counts, step=step, deeper=deeper, bits=bits):
-            n = counts.get((p, k), 0)
-            if n <= most or bits + k == BITS:
-                done.append((p, bits + k))
-            elif k == step:
-                deeper.append((p, bits + k))
-            else:
-                walk(2 * p, k + 1)
-                walk(2 * p + 1, k + 1)
-
-        for p, _ in ask:
-            walk(p, 0)
-        ask, bits = deeper, bits + step
-    return sorted(done, key=lambda x: x[0] << (BITS - x[1]))
-
-
 def link_fingerprints(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Links (u, v) that connect the nodes of all fingerprints within ``budget`` bits, as forests of the units.
 
     ``classes`` has fp (distinct) and node (a long that names it); a node of a forest is linked to the least node of its tree.
     """
-    spark = classes.sparkSession
     most = max(NODE_LEAST, min(NODE_MOST, -(-classes.count() // NODES)))
-    nodes = _split_nodes(classes, most)
-    prefix, bits = np.array([n[0] for n in nodes], np.uint64), np.array([n[1] for n in nodes], np.int64)
-    units: list[list[tuple[int, bool]]] = [[] for _ in nodes]
-    count = 0
-    for k in range(len(nodes)):
-        m = np.minimum(bits[k], bits[k:])
-        mine = np.where(m > 0, prefix[k] >> (bits[k] - m).astype(np.uint64), 0).astype(np.uint64)
-        theirs = np.where(m > 0, prefix[k:] >> (bits[k:] - m).astype(np.uint64), 0).astype(np.uint64)
-        for other in (k + np.flatnonzero(np.bitwise_count(mine ^ theirs) <= budget)).tolist():
-            units[k].append((count, False))
-            if other != k:
-                units[other].append((count, True))
-            count += 1
-    starts = np.array([p << (BITS - n) for p, n in nodes], np.uint64)
-    sizes = np.array([len(u) for u in units], np.int64)
-    offsets = np.cumsum(sizes) - sizes
-    unit, second = (np.array([x[i] for u in units for x in u]) for i in (0, 1))
-    held = spark.sparkContext.broadcast((starts, sizes, offsets, unit.astype(np.int64), second.astype(bool)))
-
-    def deal(batches):
-        starts, sizes, offsets, unit, second = held.value
-        for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False)
-            node = np.searchsorted(starts, fp.view(np.uint64), "right") - 1
-            row, at = _expand(offsets[node], sizes[node])
-            for i in range(0, max(1, len(row)), 1 << 18):
-                r, t = row[i : i + (1 << 18)], at[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(unit[t]), pa.array(second[t]), pa.array(fp[r]), b.column(1).take(pa.array(r))], ["unit", "second", "fp", "node"])
-
-    def link(table):
-        second = table.column("second").to_numpy()
-        fp, node = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy()
-        order = np.lexsort((fp, second))
-        fp, node, n = fp[order], node[order], int((~second).sum())
+
+    def forest(a, b, pairs):
+        node = a["node"] if b is None else np.concatenate([a["node"], b["node"]])
         # roots are least indices, so indices must go by node
         by_node = np.argsort(node, kind="stable")
         rank = np.empty_like(by_node)
         rank[by_node] = np.arange(len(node))
         parent = np.arange(len(node))
-        pairs = trie_links(fp[:n], fp[n:], budget) if n < len(fp) else trie_links(fp, None, budget)
-        for i, j in pairs:
-            merge_links(parent, rank[i], rank[j + (n if n < len(fp) else 0)])
+        for i, j in pairs():
+            merge_links(parent, rank[i], rank[j + (0 if b is None else len(a["node"]))])
         root = _roots(parent, np.arange(len(node)))
         child = np.flatnonzero(root != np.arange(len(node)))
         named = node[by_node]
         return pa.table({"u": pa.array(named[child]), "v": pa.array(named[root[child]])})
 
-    dealt = classes.select("fp", "node").mapInArrow(deal, "unit long, second boolean, fp long, node long")
-    return dealt.groupBy("unit").applyInArrow(link, "u long, v long")
+    return join_units(classes.select(F.col("fp").alias("fp0"), "node"), 1, budget, most, forest, "u long, v long")
 
 
 def near_duplicate_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -234,17 +115,3 @@ def near_duplicate_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     )
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", hexed, "component_id")
-
-
-def one_of_each_group(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` that stay: of each near-duplicate group the document with the least doc_id, once.
-
-    Rows with a null doc_id can't be named in a group and stay.
-    """
-    groups = materialize(near_duplicate_groups(docs, budget).select("doc_id", "component_id"), "groups")
-    dropped = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    kept = docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        kept = kept.where("doc_id is null").unionAll(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept

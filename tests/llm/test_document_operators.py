@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from brute import archive, base_spans, fingerprint, groups, text_stats
 
-from sheetloom.llm import components, decontam, html_extract, pii, quality, rules, simhash, warc
+from sheetloom.llm import components, decontam, html_extract, pii, quality, rules, simhash, trie, warc
 from sheetloom.llm.shared import fresh_path
 
 
@@ -24,17 +24,32 @@ TABLES = pytest.mark.parametrize("table", ["small", "edge_documents", "no_docume
 # SimHash
 
 
-def test_trie_self_join_finds_all_links():
+def turned(x, k):
+    return x << np.uint64(16 * k) | x >> np.uint64(64 - 16 * k) if k else x
+
+
+@pytest.mark.parametrize("budget", [3, 11])
+def test_trie_self_join_finds_all_links(budget):
+    """In one rotation or another every pair within the budget keeps to its shares; a plain budget finds all at once."""
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
-    near = base[:400] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
-    a = np.unique(np.concatenate([base, near, np.array([0, 1, 3, (1 << 64) - 1], np.uint64)]))
-    got = {(i, j) for x, y in simhash.trie_links(a, None) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
-    want = {(i, i + 1 + j) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[i] ^ a[i + 1 :]) <= 3).tolist()}
+    near = [int(v) ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for v, k in zip(base[:400], [1, 2, 3, 4, 9, 10, 11, 12] * 50, strict=True)]
+    a = np.unique(np.concatenate([base, np.array(near, np.uint64), base[:5], np.array([0, 1, 3, (1 << 64) - 1], np.uint64)]))
+    want = {(int(a[i]), int(a[i + 1 + j])) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[i] ^ a[i + 1 :]) <= budget).tolist()}
+    flat = [(int(a[i]), int(a[j])) for x, y in trie.trie_links(a, None, [budget] * 65) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+    assert len(flat) == len(want) and set(flat) == want
+    got = set()
+    for k in range(trie.BLOCKS):
+        b = np.sort(turned(a, k))
+        back = turned(b, (trie.BLOCKS - k) % trie.BLOCKS)
+        for x, y in trie.trie_links(b, None, trie.shares(budget)):
+            got |= {(min(u, v), max(u, v)) for u, v in zip(back[x].tolist(), back[y].tolist(), strict=True)}
     assert got == want
     x, y = a[::2], a[1::2]
-    got = {(i, j) for p, q in simhash.trie_links(x, y) for i, j in zip(p.tolist(), q.tolist(), strict=True)}
-    assert got == {(i, j) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x[i] ^ y) <= 3).tolist()}
+    got = {(i, j) for p, q in trie.trie_links(x, y, [budget] * 65) for i, j in zip(p.tolist(), q.tolist(), strict=True)}
+    assert got == {(i, j) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x[i] ^ y) <= budget).tolist()}
+    same = np.zeros(50, np.uint64)
+    assert sum(len(i) for i, _ in trie.trie_links(same, None, trie.shares(budget))) == 50 * 49 // 2
 
 
 def test_fingerprints_link_across_all_units(spark, monkeypatch):
@@ -63,14 +78,6 @@ def test_near_duplicate_groups(table, request):
             assert r.component_id == named[r.doc_id]
 
 
-def test_one_of_each_group(edge_documents):
-    left = simhash.one_of_each_group(edge_documents)
-    assert left.columns == edge_documents.columns
-    ids = [r.doc_id for r in left.collect() if r.doc_id is not None]
-    named = groups(sorted({(r.doc_id, fingerprint(r.text)) for r in edge_documents.collect() if r.doc_id is not None}))
-    assert sorted(ids) == sorted(set(named.values()))
-
-
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(1, 2), (2, 1), (3, 2)], [(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 100)] + [(500, 99), (501, 502)]])
 def test_components(spark, edges):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
