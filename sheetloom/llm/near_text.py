@@ -27,6 +27,8 @@ PRINTS, BUDGET = 2, 11
 CROWD = 16
 NODE_LEAST, NODE_MOST, NODES = 4096, 1 << 20, 4
 PIECE, HELD_PAIRS = 1 << 16, 1 << 22
+#: Longs of a set's parity bitmap.
+BITMAP = 32
 _SALTS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _MIX, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -74,6 +76,12 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= ALIKE * (len(a) + len(b) - both)
 
 
+def bitmap(members: np.ndarray) -> np.ndarray:
+    """The parity of the members at each of 64 * ``BITMAP`` bits, as signed longs: two sets have at least as many members apart as their bitmaps have bits."""
+    counts = np.bincount((members >> np.uint64(7)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP)
+    return np.packbits(counts & 1, bitorder="little").view(np.int64)
+
+
 def text_id(text) -> object:
     return F.xxhash64(text.cast("string"))
 
@@ -154,10 +162,17 @@ def _meet(a: dict, b: dict | None, pairs) -> pa.Table:
 
 
 def _meet_across(a: dict, b: dict | None, pairs) -> pa.Table:
-    """(u, v): all candidates of a unit between nodes of different roots."""
+    """(u, v): the candidates of a unit between nodes of different roots, without those that are not alike by their bitmaps."""
     nodes, found = _sides(a, b, pairs, lambda nodes, i, j: nodes["root"][i] != nodes["root"][j])
-    key = nodes["key"]
-    made = [_ordered(key[i], key[j]) for i, j in found()]
+    key, n = nodes["key"], nodes["n"]
+    bits = np.stack([nodes[f"bits{k}"] for k in range(BITMAP)], axis=1).view(np.uint64)
+    made = []
+    for i, j in found():
+        for at in range(0, len(i), PIECE):
+            x, y = i[at : at + PIECE], j[at : at + PIECE]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            near = (OF + ALIKE) * apart <= (OF - ALIKE) * (n[x] + n[y])
+            made.append(_ordered(key[x[near]], key[y[near]]))
     u, v = (np.concatenate([x[k] for x in made]) if made else key[:0] for k in (0, 1))
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
@@ -167,14 +182,24 @@ def _joined(classes: DataFrame, work, schema: str) -> DataFrame:
     return join_units(classes, PRINTS, BUDGET, most, work, schema)
 
 
-def _checked(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole sets are alike; sets are made again, for one text of each key in a pair."""
+def _of_sets(docs: DataFrame, texts: DataFrame, keys: DataFrame, made, columns: str) -> DataFrame:
+    """key and ``columns``, which ``made`` gives for a list of sets; the sets are made again, for one text of each key in ``keys``."""
+    names = ["key", *(c.split()[0] for c in columns.split(", "))]
 
     def make(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 sets = [shingle_set(t) for t in whole.column(0).slice(i, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), *made(sets)], names)
+
+    wanted = materialize(texts.join(keys, "key", "left_semi").select(F.col("text_id").alias("of_text")).distinct(), "wanted-texts")
+    rows = docs.select(F.col("text").cast("string").alias("text"), text_id(F.col("text")).alias("own_text"))
+    rows = rows.join(wanted, F.col("own_text") == F.col("of_text"), "left_semi").select("text")
+    return rows.mapInArrow(make, f"key long, {columns}").dropDuplicates(["key"])
+
+
+def _checked(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets are alike; sets are made again, for one text of each key in a pair."""
 
     def check(batches):
         for b in batches:
@@ -182,15 +207,13 @@ def _checked(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
             good = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in each]
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(good, pa.bool_())) for k in range(2)], ["u", "v"])
 
-    ends = pairs.select(F.col("u").alias("end")).unionAll(pairs.select(F.col("v").alias("end"))).distinct()
-    wanted = materialize(texts.join(ends, F.col("key") == F.col("end"), "left_semi").select(F.col("text_id").alias("of_text")).distinct(), "paired-texts")
-    rows = docs.select(F.col("text").cast("string").alias("text"), text_id(F.col("text")).alias("own_text"))
-    rows = rows.join(wanted, F.col("own_text") == F.col("of_text"), "left_semi").select("text")
-    sets = materialize(rows.mapInArrow(make, "key long, members binary").dropDuplicates(["key"]), "paired-sets")
+    ends = pairs.select(F.col("u").alias("key")).unionAll(pairs.select(F.col("v").alias("key"))).distinct()
+    made = lambda sets: [pa.array([s.tobytes() for s in sets], pa.binary())]
+    sets = materialize(_of_sets(docs, texts, ends, made, "members binary"), "paired-sets")
     half = materialize(pairs.join(sets.toDF("ku", "mu"), F.col("u") == F.col("ku")).select("u", "v", "mu"), "half-pairs")
     both = half.join(sets.toDF("kv", "mv"), F.col("v") == F.col("kv")).select("u", "v", "mu", "mv")
     good = materialize(both.mapInArrow(check, "u long, v long"), "alike")
-    for x in (wanted, sets, half):
+    for x in (sets, half):
         discard(x)
     return good
 
@@ -218,7 +241,9 @@ def near_text_groups(docs: DataFrame) -> DataFrame:
     crowd = met.where("v is null").select(F.col("u").alias("of_crowd")).distinct()
     crowd = materialize(_with_roots(classes.join(crowd, F.col("key") == F.col("of_crowd"), "left_semi"), rooted), "crowd")
     if not crowd.isEmpty():
-        left = left.unionAll(_joined(crowd, _meet_across, "u long, v long")).distinct()
+        made = lambda sets: [pa.array(x, pa.int64()) for x in np.stack([bitmap(s) for s in sets], axis=1)]
+        bitmaps = _of_sets(docs, texts, crowd.select("key"), made, ", ".join(f"bits{k} long" for k in range(BITMAP)))
+        left = left.unionAll(_joined(materialize(crowd.join(bitmaps, "key"), "crowd"), _meet_across, "u long, v long")).distinct()
     left = materialize(left.join(pairs.where("first"), ["u", "v"], "left_anti"), "left-pairs")
     if not left.isEmpty():
         rooted = materialize(components(links.unionAll(_checked(docs, texts, left))), "rooted")
