@@ -15,6 +15,7 @@ from . import dimensions
 from .functions import geometry as G
 from .functions import text as X
 from .operators import aggregates, filters, fitting, graph, joins, matching, raster, ranks, sets, signal
+from .shared import broadcast_if_small
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
@@ -62,8 +63,8 @@ def _label_pairs(spark, d) -> DataFrame:
 
 
 def _shape_costs(spark, d) -> DataFrame:
-    e, pairs = _shapes(spark, d), _label_pairs(spark, d)
-    side = lambda s: e.join(F.broadcast(pairs), F.col("label") == F.col(f"map_{s}")).drop("label")
+    e, pairs = _shapes(spark, d), broadcast_if_small(_label_pairs(spark, d))
+    side = lambda s: e.join(pairs, F.col("label") == F.col(f"map_{s}")).drop("label")
     costs = joins.signature_costs(side("a").select("map_a", "map_b", "parcel_id", "area", "signature"), side("b").select("map_a", "map_b", "parcel_id", "area", "signature"), ["map_a", "map_b"])
     return costs.select(F.col("map_a").alias("label_a"), F.col("map_b").alias("label_b"), F.col("a.parcel_id").alias("vec_a"), F.col("b.parcel_id").alias("vec_b"), "cost")
 
@@ -513,7 +514,7 @@ SELECT map_num, click, coalesce(min(parcel_id) FILTER (inside), min(parcel_id) F
 def clicked_parcel(spark, d):
     p, n = _parcels(spark, d), F.col("n_nationkey")
     clicks = joins.with_configurations(p.select("map_num").distinct(), _t(spark, d, "nation").select(n.alias("click"), (n * 40).cast("double").alias("x"), (n * 20).cast("double").alias("y")))
-    return joins.clicked_parcel(clicks, p, ["map_num"]).select("map_num", "click", "parcel_id", "inside")
+    return joins.clicked_parcel(clicks, p, ["map_num"], "click").select("map_num", "click", "parcel_id", "inside")
 
 
 @query("""WITH s AS (SELECT n_nationkey::VARCHAR AS map_num, 300 + n_nationkey * 97 AS height, 200 + n_nationkey * 131 AS width FROM nation)
@@ -890,7 +891,7 @@ def greedy_layout(spark, d):
     seed = F.pmod(F.xxhash64("map_a", "map_b"), F.lit(1000))
     edges = [F.get(F.array(*[F.lit(p[k]) for p in dimensions.EDGE_PAIRS]), seed % 4) for k in (0, 1)]
     scores = pairs.select("map_a", "map_b", edges[0].alias("edge_a"), edges[1].alias("edge_b"), ((seed % 4) * 90.0).alias("total_rot"), (seed / 1000).alias("combined_score"))
-    return layout(scores, sheets).select("map_num", "rot", "x", "y", "w", "h", "how", "place")
+    return layout(scores, sheets, None).select("map_num", "rot", "x", "y", "w", "h", "how", "place")
 
 
 def synthetic_sheets(spark: SparkSession, d: str) -> DataFrame:

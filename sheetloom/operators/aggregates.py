@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..shared import broadcast_if_small, materialize
 
 
 def readings_by_number(readings: DataFrame, most_listed: int | None = None) -> DataFrame:
@@ -30,8 +31,27 @@ def distinct_matched(matches: DataFrame, keys: list[str], a: str = "parcel_a", b
 
 
 def percentiles(df: DataFrame, keys: list[str], column: str, at: tuple[float, ...] = (0.10, 0.25, 0.50, 0.75, 0.90)) -> DataFrame:
-    """Exact percentiles with linear interpolation, one column each."""
-    return df.groupBy(*keys).agg(*[F.percentile(column, F.lit(p)).alias(f"p{round(100 * p)}") for p in at])
+    """Exact percentiles with linear interpolation, one column each; null and not-a-number values are left out.
+
+    Values are counted in bins that grow with their size; the bins that hold the wanted ranks are then ranked value by value, so no
+    task holds a whole group, but at most a bin of one (about a thousandth of the values' magnitude).
+    """
+    own = df.select(*[F.col(k) for k in keys], F.col(column).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    own = own.withColumn("_bin", F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * 1024).cast("long"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy(*keys, "_bin").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    # for each percentile the ranks (from 0) below and above its place, and how far it is between them
+    place = lambda p: (F.col("_all") - 1) * F.lit(p)
+    wanted = F.array(*[F.struct(F.lit(p).alias("p"), r.cast("long").alias("rank"), (F.lit(1.0) - F.abs(place(p) - r)).alias("share")) for p in at for r in (F.floor(place(p)), F.floor(place(p)) + 1)])
+    bins = counts.select("*", F.inline(wanted)).where("share > 0 and rank >= _before and rank < _before + _n")
+    bins = materialize(bins.select(*keys, "_bin", "p", "share", (F.col("rank") - F.col("_before") + 1).alias("_own")), "wanted-ranks")
+    few = broadcast_if_small(bins.select(*keys, "_bin").distinct())
+    same = lambda a, b: reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in [*keys, "_bin"]])
+    ranked = own.join(few, same(own, few), "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy("_v")))
+    met = ranked.alias("v").join(broadcast_if_small(bins).alias("b"), reduce(Column.__and__, [F.col(f"v.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_bin"]]) & (F.col("_r") == F.col("_own")))
+    summed = [F.sum(F.when(F.col("p") == p, F.col("_v") * F.col("share"))).alias(f"p{round(100 * p)}") for p in at]
+    return met.groupBy(*[F.col(f"v.{k}").alias(k) for k in keys]).agg(*summed)
 
 
 def residual_stats(df: DataFrame, keys: list[str], column: str = "residual") -> DataFrame:

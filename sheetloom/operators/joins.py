@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..shared import materialize
 
 
 def _sides(df: DataFrame, side: str, keep: list[str]) -> DataFrame:
@@ -63,10 +64,16 @@ def signature_costs(left: DataFrame, right: DataFrame, keys: list[str], most_rat
     return pairs.withColumn("cost", G.vector_distance(F.col("a.signature"), F.col("b.signature")) + weight * G.log_area_difference(F.col("a.area"), F.col("b.area")))
 
 
-def sheet_pairs(sheets: DataFrame, column: str = "map_num") -> DataFrame:
-    """All unordered pairs of sheets: map_a before map_b. Sheets are a small dimension; their pairs are the work list itself."""
-    a, b = sheets.select(F.col(column).alias("map_a")).distinct(), sheets.select(F.col(column).alias("map_b")).distinct()
-    return a.join(F.broadcast(b), F.col("map_a") < F.col("map_b"))
+def sheet_pairs(sheets: DataFrame, column: str = "map_num", buckets: int = 8) -> DataFrame:
+    """All unordered pairs of sheets: map_a before map_b; their pairs are the work list itself.
+
+    Sheets are dealt to buckets and meet by equal pairs of buckets, so no side has to fit in memory.
+    """
+    names = sheets.select(F.col(column).alias("_name")).where("_name is not null").distinct().withColumn("_own", F.pmod(F.xxhash64("_name"), F.lit(buckets)))
+    every = F.explode(F.array(*[F.lit(k).cast("long") for k in range(buckets)]))
+    a = names.select(F.col("_name").alias("map_a"), F.col("_own").alias("_a"), every.alias("_b"))
+    b = names.select(F.col("_name").alias("map_b"), every.alias("_a"), F.col("_own").alias("_b"))
+    return a.join(b, ["_a", "_b"]).where(F.col("map_a") < F.col("map_b")).select("map_a", "map_b")
 
 
 def not_adjacent(pairs: DataFrame, adjacent: DataFrame) -> DataFrame:
@@ -115,21 +122,63 @@ def with_configurations(pairs: DataFrame, configurations: DataFrame) -> DataFram
     return pairs.join(F.broadcast(configurations))
 
 
+def _cells(parcels: DataFrame, points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """For each key the side of a grid cell that holds some parcels on average, and the extent of all parcels and points."""
+    spots = parcels.select(*keys, F.col("cx").alias("_x"), F.col("cy").alias("_y"), F.lit(1).alias("_n")).unionAll(points.select(*keys, F.col(x).cast("double"), F.col(y).cast("double"), F.lit(0)))
+    boxes = spots.groupBy(*keys).agg(F.sum("_n").alias("_n"), *[f(c).alias(f"{n}{c}") for c in ("_x", "_y") for n, f in (("_lo", F.min), ("_hi", F.max))])
+    w, h = F.col("_hi_x") - F.col("_lo_x"), F.col("_hi_y") - F.col("_lo_y")
+    return boxes.where("_n > 0").select(*keys, F.greatest(F.sqrt(w * h / F.col("_n")), (w + h) / F.col("_n"), F.lit(1e-9)).alias("_side"), (w + h).alias("_extent"))
+
+
 def nearest_parcel(points: DataFrame, parcels: DataFrame, keys: list[str], point_id: str, x: str = "x", y: str = "y") -> DataFrame:
-    """The nearest parcel centroid of each point within the same keys, the first of equals, by parcel_id. Points are clicks, some a sheet."""
-    d2 = (F.col("p")["cx"] - F.col(x)) * (F.col("p")["cx"] - F.col(x)) + (F.col("p")["cy"] - F.col(y)) * (F.col("p")["cy"] - F.col(y))
-    met = points.join(parcels.select(*keys, F.struct("parcel_id", "cx", "cy").alias("p")), keys)
-    return met.groupBy(*points.columns).agg(F.min(F.struct(d2.alias("d2"), F.col("p.parcel_id").alias("parcel_id"))).alias("best")).select(*points.columns, "best.parcel_id", "best.d2")
-
-
-def clicked_parcel(points: DataFrame, parcels: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """The first parcel whose polygon holds a click, else the nearest centroid; polygons of three points at least count."""
-    p = F.col("p")
-    met = points.join(parcels.where(F.size("polygon") >= 3).select(*keys, F.struct("parcel_id", "cx", "cy", "polygon").alias("p")), keys)
-    d2 = (p["cx"] - F.col(x)) * (p["cx"] - F.col(x)) + (p["cy"] - F.col(y)) * (p["cy"] - F.col(y))
-    inside = G.contains_point(p["polygon"], F.col(x).cast("double"), F.col(y).cast("double"))
-    found = met.groupBy(*points.columns).agg(F.min(F.when(inside, p["parcel_id"])).alias("_in"), F.min(F.struct(d2.alias("d2"), p["parcel_id"].alias("id"))).alias("_near"))
-    return found.select(*points.columns, F.coalesce("_in", "_near.id").alias("parcel_id"), F.col("_in").isNotNull().alias("inside"))
+    """The nearest parcel centroid of each point within the same keys, the first of equals, by parcel_id; ``point_id`` names a point within its keys.
+
+    Points look in the nine cells of a grid around them; those that find none within a cell's side look again in cells four times as wide,
+    until all are settled. Each round meets by equal cells, and only the points left take part.
+    """
+    spots = points.select(*keys, F.col(point_id).alias("_id"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).where("_px is not null and _py is not null").distinct()
+    grid = materialize(_cells(parcels, points, keys, x, y), "grid")
+    left = materialize(spots.join(grid, keys), "points")
+    spots_of = materialize(parcels.select(*keys, "parcel_id", "cx", "cy").where("cx is not null and cy is not null").join(grid.drop("_extent"), keys), "centroids")
+    cell = lambda c, width: F.floor(F.col(c) / width).cast("long")
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    settled, times = None, 1.0
+    while True:
+        width = F.col("_side") * times
+        held = spots_of.select(*keys, cell("cx", width).alias("_bx"), cell("cy", width).alias("_by"), "parcel_id", "cx", "cy")
+        asked = left.select("*", cell("_px", width).alias("_ox"), cell("_py", width).alias("_oy"), F.inline(around)).withColumns({"_bx": F.col("_ox") + F.col("dx"), "_by": F.col("_oy") + F.col("dy")})
+        met = asked.join(held, [*keys, "_bx", "_by"], "left")
+        d2 = (F.col("cx") - F.col("_px")) * (F.col("cx") - F.col("_px")) + (F.col("cy") - F.col("_py")) * (F.col("cy") - F.col("_py"))
+        best = met.groupBy(*keys, "_id", "_px", "_py", "_side", "_extent").agg(F.min(F.when(F.col("parcel_id").isNotNull(), F.struct(d2.alias("d2"), "parcel_id"))).alias("best"))
+        best = materialize(best, "nearest")
+        # nothing outside the nine cells is nearer than a cell's side; beyond the extent nothing is outside
+        sure = F.coalesce(F.col("best.d2") < width * width, F.lit(False)) | (width >= F.col("_extent"))
+        found = best.where(sure).select(*keys, "_id", "_px", "_py", "best.parcel_id", "best.d2")
+        settled = found if settled is None else settled.unionAll(found)
+        left, times = best.where(~sure).drop("best"), 4 * times
+        if left.isEmpty():
+            break
+    return points.join(settled.withColumnRenamed("_id", "_of"), [*keys]).where((F.col("_of") == F.col(point_id)) & (F.col("_px") == F.col(x)) & (F.col("_py") == F.col(y))).select(*points.columns, "parcel_id", "d2")
+
+
+def clicked_parcel(points: DataFrame, parcels: DataFrame, keys: list[str], point_id: str, x: str = "x", y: str = "y") -> DataFrame:
+    """The first parcel whose polygon holds a click, else the nearest centroid; polygons of three points at least count.
+
+    A parcel stands in the grid cells that its bounding box touches, so a click meets only parcels about it.
+    """
+    drawn = parcels.where(F.size("polygon") >= 3)
+    near = nearest_parcel(points, drawn, keys, point_id, x, y).drop("d2")
+    box = drawn.select(*keys, "parcel_id", "polygon", *[f(F.col(f"polygon.{c}")).alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    sides = materialize(box.groupBy(*keys).agg(F.greatest(F.avg(F.col("_hix") - F.col("_lox")), F.avg(F.col("_hiy") - F.col("_loy")), F.lit(1.0)).alias("_side")), "box-grid")
+    cell = lambda c: F.floor(c / F.col("_side")).cast("long")
+    spread = lambda c: F.explode(F.sequence(cell(F.col(f"_lo{c}")), cell(F.col(f"_hi{c}"))))
+    held = box.join(sides, keys).select(*keys, "parcel_id", "polygon", "_side", "_loy", "_hiy", spread("x").alias("_bx")).select(*keys, "parcel_id", "polygon", "_bx", spread("y").alias("_by"))
+    asked = near.select(*keys, F.col(point_id).alias("_id"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).distinct().join(sides, keys)
+    asked = asked.select(*keys, "_id", "_px", "_py", cell(F.col("_px")).alias("_bx"), cell(F.col("_py")).alias("_by"))
+    inside = asked.join(held, [*keys, "_bx", "_by"]).where(G.contains_point(F.col("polygon"), F.col("_px"), F.col("_py")))
+    first = inside.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys], "_id", "_px", "_py").agg(F.min("parcel_id").alias("_in"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col(point_id) == F.col("_id"), F.col(x) == F.col("_px"), F.col(y) == F.col("_py")]
+    return near.join(first, same, "left").select(*points.columns, F.coalesce("_in", "parcel_id").alias("parcel_id"), F.col("_in").isNotNull().alias("inside"))
 
 
 def fuzzy_number_lookup(targets: DataFrame, parcels: DataFrame, keys: list[str], tolerance: int = 2, idx: str = "idx") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import aggregates, filters, graph, raster
+from ..operators import aggregates, filters, graph, placement, raster
 
 PLACE = "map_num string, rot double, x long, y long, w long, h long, edges array<string>, how string, place int"
 
@@ -19,8 +19,8 @@ def wanted_pairs(adjacent: DataFrame, selected: DataFrame, done: DataFrame) -> t
     return needed, joins.work_list(needed, done)
 
 
-def layout(scores: DataFrame, sizes: DataFrame, exclude: list[str] | None = None, most_pairs: int = 100_000) -> DataFrame:
-    """Greedy placement of one panorama's sheets; excluded sheets are filtered first. Its pairs come to the driver, as placement is one sequence.
+def layout(scores: DataFrame, sizes: DataFrame, seed: tuple[str, str] | None, exclude: list[str] | None = None, most_pairs: int = 100_000) -> DataFrame:
+    """Placement of one panorama's sheets from the ``seed`` pair on (None: the best pair); excluded sheets are filtered first. Its pairs come to the driver, as placement is one sequence.
 
     More than ``most_pairs`` pairs are no single panorama and raise.
     """
@@ -31,7 +31,7 @@ def layout(scores: DataFrame, sizes: DataFrame, exclude: list[str] | None = None
         raise ValueError(f"more than {most_pairs} pairs: place components one by one")
     dims = {r.map_num: (r.w, r.h) for r in filters.without(sizes, exclude or []).collect()}
     rows = [r.asDict() for r in rows if r.map_a in dims and r.map_b in dims]
-    made = [tuple(p[c.split()[0]] for c in PLACE.split(", ")) for p in graph.greedy_layout(rows, dims)]
+    made = [tuple(p[c.split()[0]] for c in PLACE.split(", ")) for p in placement.layout(rows, dims, seed)]
     return spark.createDataFrame(made, PLACE)
 
 

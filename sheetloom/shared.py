@@ -6,10 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_made: set[str] = set()
+_run: ContextVar[list[str] | None] = ContextVar("tables of the run", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    if (mine := _run.get()) is not None:
+        mine.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -44,3 +54,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _made.discard(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any longer."""
+    folders = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+    for path in [p for p in _made if p.rsplit("/", 1)[1] in folders]:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def tables() -> Iterator[list[str]]:
+    """The paths of all tables and files made inside, by this run alone: another thread or a run around it has a list of its own."""
+    mine: list[str] = []
+    token = _run.set(mine)
+    try:
+        yield mine
+    finally:
+        _run.reset(token)
+
+
+def release(spark: SparkSession, keep: DataFrame, mine: list[str]) -> None:
+    """Delete the tables and files of a run, except those that ``keep`` reads."""
+    read = keep.inputFiles()
+    for path in list(mine):
+        name = path.rsplit("/", 1)[1]
+        if not any(name in f for f in read):
+            mine.remove(path)
+            _delete(spark, path)
+
+
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``most`` rows, which is counted; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import graph_document
-from ..shared import materialize
 
 
 def rounded(df: DataFrame, places: dict[str, int]) -> DataFrame:
@@ -37,29 +37,57 @@ def write_csv(df: DataFrame, path: str, columns: list[str], places: dict[str, in
     flat.write.mode("overwrite").option("header", True).csv(path)
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The old rows whose keys have no new one, and the new rows; of new rows with equal keys the last by all columns."""
-    rest = [c for c in new.columns if c not in keys]
-    w = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(F.to_json(F.struct(c))) for c in rest])
-    once = new.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r") if rest else new.distinct()
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
+    """The old rows whose keys have no new one, and the new rows; of new rows with equal keys the one with the largest ``seq``, then by all columns."""
+    kinds = dict(new.dtypes)
+    rest = [c for c in new.columns if c not in keys and c != seq]
+    order = [F.desc_nulls_last(F.to_json(F.struct(c)) if kinds[c].startswith("map") else F.col(c)) for c in ([seq] if seq else []) + rest]
+    once = new.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r") if order else new.distinct()
     return old.join(once.select(*keys), keys, "left_anti").unionByName(once, allowMissingColumns=True)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], path: str) -> None:
-    """Replace the table at ``path``, read as ``old``, by its upserted rows; they are written aside first, so a failure leaves the table."""
-    materialize(upserted(old, new, keys), "upsert").write.mode("overwrite").parquet(path)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], path: str, seq: str | None = None) -> None:
+    """Replace the table at ``path``, read as ``old``, by its upserted rows.
+
+    They are written beside it and swapped in by renaming, so the table is whole at all times, under its own name or, if the job ends
+    between the two renames, under ``<path>.old-<id>``.
+    """
+    spark, name = old.sparkSession, uuid.uuid4().hex
+    beside, aside = f"{path}.new-{name}", f"{path}.old-{name}"
+    upserted(old, new, keys, seq).write.parquet(beside)
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for a, b in ((path, aside), (beside, path)):
+        if not fs.rename(at(a), at(b)):
+            raise OSError(f"{a} can't be renamed to {b}")
+    fs.delete(at(aside), True)
+    spark.catalog.refreshByPath(path)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     graph_document(nodes, edges).write.mode("overwrite").parquet(path)
 
 
+def _escaped(c: Column) -> Column:
+    for sign, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot")):
+        c = F.replace(c, F.lit(sign), F.lit(f"&{name};"))
+    return c
+
+
 def graphml_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One GraphML text a sheet."""
-    data = lambda df, skip: F.concat(*[F.concat(F.lit(f'<data key="{c}">'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</data>")) for c in df.columns if c not in skip])
-    n = nodes.groupBy("map_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.concat(F.lit('<node id="'), F.col("id").cast("string"), F.lit('">'), data(nodes, ("id", "map_num", "bbox")), F.lit("</node>")).alias("x")))), lambda v: v["x"]), "").alias("n"))
-    e = edges.groupBy("map_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", F.concat(F.lit('<edge source="'), F.col("src").cast("string"), F.lit('" target="'), F.col("dst").cast("string"), F.lit('">'), data(edges, ("src", "dst", "map_num")), F.lit("</edge>")).alias("x")))), lambda v: v["x"]), "").alias("e"))
-    return n.join(e, "map_num", "left").select("map_num", F.concat(F.lit('<graphml><graph edgedefault="undirected">'), "n", F.coalesce("e", F.lit("")), F.lit("</graph></graphml>")).alias("document"))
+    """One GraphML text a sheet, with its keys declared; a null attribute is left out."""
+    kinds = {"int": "int", "bigint": "long", "double": "double", "float": "float", "boolean": "boolean"}
+    fields = lambda df, skip: [(c, kinds.get(t, "string")) for c, t in df.dtypes if c not in skip]
+    text = lambda c: _escaped(F.col(c).cast("string"))
+    data = lambda names: F.concat_ws("", *[F.concat(F.lit(f'<data key="{c}">'), text(c), F.lit("</data>")) for c, _ in names])
+    listed = lambda *order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda v: v["x"]), "")
+    own, of = fields(nodes, ("id", "map_num", "bbox")), fields(edges, ("src", "dst", "map_num"))
+    node = F.concat(F.lit('<node id="'), text("id"), F.lit('">'), data(own), F.lit("</node>")).alias("x")
+    edge = F.concat(F.lit('<edge source="'), text("src"), F.lit('" target="'), text("dst"), F.lit('">'), data(of), F.lit("</edge>")).alias("x")
+    n, e = nodes.groupBy("map_num").agg(listed("id", node).alias("n")), edges.groupBy("map_num").agg(listed("src", "dst", edge).alias("e"))
+    keys = "".join(f'<key id="{c}" for="{side}" attr.name="{c}" attr.type="{t}"/>' for side, names in (("node", own), ("edge", [x for x in of if x not in own])) for c, t in names)
+    head = f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="undirected">'
+    return n.join(e, "map_num", "left").select("map_num", F.concat(F.lit(head), "n", F.coalesce("e", F.lit("")), F.lit("</graph></graphml>")).alias("document"))
 
 
 def manifest(reached: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:

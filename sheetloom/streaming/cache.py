@@ -25,36 +25,61 @@ def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.col("_corrupt").isNull() & F.col("parcel_id").isNotNull()).drop("_corrupt")
 
 
-def run_cache_stream(spark: SparkSession, log: str, table: str, checkpoint: str, keys: tuple[str, ...] = ("map_num", "parcel_id")):
-    """Fold what is new in a log into a table of latest records; each batch writes the next version aside, so a repeated batch changes nothing.
+def run_cache_stream(spark: SparkSession, log: str, table: str, checkpoint: str, keys: tuple[str, ...] = ("map_num", "parcel_id"), buckets: int = 64):
+    """Fold what is new in a log into a table of latest records; a repeated batch changes nothing.
 
-    Versions are folders ``v=<batch>``; the largest is current.
+    Records lie in buckets by a hash of their keys. A batch reads and writes only the buckets that its records are in, as the next
+    version of them (folders ``v=<batch>/bucket=<k>``); a bucket's largest version is current. Versions older than the one before it
+    are deleted, so the table stays within twice its size.
     """
     keys = list(keys)
 
     def fold(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        new = latest(batch, keys)
-        before = current(session, table, below=number)
+        new = latest(batch, keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # at most so many buckets
+        before = current(session, table, number, touched)
         if before is not None:
-            both = before.withColumn("_old", F.lit(0)).unionByName(new.withColumn("_old", F.lit(-1)))
+            both = before.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("_old", F.lit(0)).unionByName(new.withColumn("_old", F.lit(-1)))
             new = best(both, keys, [F.desc_nulls_last("seq"), "_old"]).drop("_old")
-        new.write.mode("overwrite").parquet(f"{table}/v={number:012d}")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v={number:012d}")
+        for bucket, versions in _versions(session, table, number).items():
+            for v in versions[:-1]:  # the last one before this batch is what a repeat of it would read
+                _delete(session, f"{table}/v={v:012d}/bucket={bucket}")
 
     query = read_log_stream(spark, log).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return current(spark, table)
 
 
-def current(spark: SparkSession, table: str, below: int | None = None) -> DataFrame | None:
-    """The newest version of a folded table, or the newest before a batch."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop))
-    names = [n for n in names if n.startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS")) and (below is None or int(n[2:]) < below)]
-    return spark.read.parquet(f"{table}/{names[-1]}") if names else None
+def _at(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _at(spark, path)
+    fs.delete(hadoop, True)
+
+
+def _versions(spark: SparkSession, table: str, below: int | None = None) -> dict[int, list[int]]:
+    """The whole versions of each bucket, ascending, below a batch if one is given."""
+    fs, hadoop = _at(spark, table)
+    found: dict[int, list[int]] = {}
+    for s in fs.listStatus(hadoop) if fs.exists(hadoop) else ():
+        name = s.getPath().getName()
+        if not name.startswith("v=") or below is not None and int(name[2:]) >= below or not fs.exists(_at(spark, f"{table}/{name}/_SUCCESS")[1]):
+            continue
+        for part in fs.listStatus(s.getPath()):
+            if part.getPath().getName().startswith("bucket="):
+                found.setdefault(int(part.getPath().getName()[7:]), []).append(int(name[2:]))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def current(spark: SparkSession, table: str, below: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The newest version of a folded table, or of some of its buckets, or the newest before a batch."""
+    paths = [f"{table}/v={v[-1]:012d}/bucket={k}" for k, v in sorted(_versions(spark, table, below).items()) if buckets is None or k in buckets]
+    return spark.read.parquet(*paths) if paths else None
 
 
 class LatestRecord(StatefulProcessor):
@@ -108,9 +133,13 @@ def fold_edits(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def nearest_to_delete(points: DataFrame, clicks: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    """The id of the nearest point within a radius of each click, strictly."""
+    """The id of the nearest point within a radius of each click, strictly; clicks meet the points of the nine grid cells around them."""
+    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    around = F.array(*[F.struct(F.lit(dx).alias("_dx"), F.lit(dy).alias("_dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    asked = clicks.select("*", F.inline(around)).withColumns({"_bx": cell("click_x") + F.col("_dx"), "_by": cell("click_y") + F.col("_dy")}).drop("_dx", "_dy")
+    held = points.withColumns({"_bx": cell("x"), "_by": cell("y")})
     d = F.hypot(F.col("x") - F.col("click_x"), F.col("y") - F.col("click_y"))
-    met = clicks.join(points, keys).withColumn("d", d).where(F.col("d") < radius)
+    met = asked.join(held, [*keys, "_bx", "_by"]).withColumn("d", d).where(F.col("d") < radius)
     return best(met, [*keys, "click_id"], ["d", "id"]).select(*keys, "click_id", "id")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sheetloom import dimensions
 from sheetloom.functions import geometry as G
-from sheetloom.operators import aggregates, filters, fitting, graph, joins, matching, ranks, sets, signal
+from sheetloom.operators import aggregates, filters, fitting, graph, joins, matching, placement, ranks, sets, signal
 
 
 def test_radius_pairs(spark):
@@ -120,6 +120,12 @@ def test_components_and_transforms(spark):
     assert {r.root: r.anchor for r in anchors.collect()} == {"a": "a", "d": "e"}
     reached = {(r.anchor, r.node): (r.hops, r.h) for r in graph.transforms_to_anchor(both, anchors).collect()}
     assert reached["a", "b"][1][2] == 10 and reached["a", "c"][1][2] == -10 and reached["a", "c"][0] == 1 and reached["e", "d"][1][2] == -10
+    chain = spark.createDataFrame([(str(k), str(k + 1), [1.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]) for k in range(4)], "map_a string, map_b string, h array<double>")
+    start = spark.createDataFrame([("0",)], "anchor string")
+    whole = graph.transforms_to_anchor(graph.with_inverses(chain), start, 4).collect()
+    assert sorted((r.node, r.hops, r.h[2]) for r in whole) == [(str(k), k, float(k)) for k in range(5)]
+    with pytest.raises(ValueError):
+        graph.transforms_to_anchor(graph.with_inverses(chain), start, 3)
     nodes = spark.createDataFrame([("a",), ("z",)], "node string")
     assert [r.node for r in graph.unreachable(nodes, spark.createDataFrame([("a",)], "node string")).collect()] == ["z"]
 
@@ -128,11 +134,37 @@ def test_layout():
     row = lambda a, b, ea, eb, rot, s: {"map_a": a, "map_b": b, "edge_a": ea, "edge_b": eb, "total_rot": rot, "combined_score": s}
     sizes = {m: (100, 80) for m in "ABCDE"}
     scores = [row("A", "B", "right", "left", 0.0, 0.9), row("B", "C", "right", "left", 0.0, 0.8), row("A", "C", "right", "left", 0.0, 0.7), row("C", "D", "bottom", "top", 90.0, 0.6)]
-    got = {p["map_num"]: p for p in graph.greedy_layout(scores, sizes, None)}
-    assert [(got[m]["x"], got[m]["y"]) for m in "AB"] == [(0, 0), (65, 0)] and got["C"]["x"] == 130 and got["C"]["how"] == "heap"
+    got = {p["map_num"]: p for p in placement.layout(scores, sizes, None)}
+    assert [(got[m]["x"], got[m]["y"]) for m in "AB"] == [(0, 0), (65, 0)] and got["C"]["x"] == 130 and got["C"]["how"] == "best"
     assert (got["D"]["w"], got["D"]["h"], got["D"]["rot"]) == (80, 100, 90.0) and got["D"]["y"] == 45
     assert got["E"]["how"] == "row" and got["E"]["y"] > got["D"]["y"] + 100
-    assert graph.greedy_layout([], sizes) == []
+    assert placement.layout([], sizes, None) == []
+    moved = {p["map_num"]: p for p in placement.layout(scores, sizes, ("C", "D"))}
+    assert moved["C"]["how"] == moved["D"]["how"] == "seed" and (moved["C"]["x"], moved["C"]["y"]) == (0, 0) and moved["B"]["x"] == -65
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_layout_keeps_its_rules(seed):
+    """Every sheet has one place; at most one neighbour a side; no box set beside another covers most of one."""
+    rng = np.random.default_rng(seed)
+    names = [str(k) for k in range(14)]
+    sizes = {m: (int(rng.integers(100, 400)), int(rng.integers(100, 400))) for m in names}
+    sides = (("right", "left"), ("left", "right"), ("bottom", "top"), ("top", "bottom"))
+    scores = []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            ea, eb = sides[rng.integers(4)]
+            scores.append({"map_a": a, "map_b": b, "edge_a": ea, "edge_b": eb, "total_rot": float(90 * rng.integers(4)), "combined_score": float(rng.random())})
+    places = placement.layout(scores, sizes, None)
+    assert sorted(p["map_num"] for p in places) == sorted(names) and [p["place"] for p in places] == list(range(14))
+    top = max(scores, key=lambda s: s["combined_score"])
+    assert [p["map_num"] for p in places[:2]] == [top["map_a"], top["map_b"]]
+    for k, p in enumerate(places):
+        assert len(p["edges"]) == len(set(p["edges"]))
+        assert (p["w"], p["h"]) == sizes[p["map_num"]][:: -1 if round(p["rot"] / 90) % 2 else 1]
+        if p["how"] in ("best", "retry"):
+            for q in places[:k]:
+                assert not (min(p["x"] + p["w"], q["x"] + q["w"]) - max(p["x"], q["x"]) > 0.45 * p["w"] and min(p["y"] + p["h"], q["y"] + q["h"]) - max(p["y"], q["y"]) > 0.45 * p["h"])
 
 
 def impulses(at, n=64):
