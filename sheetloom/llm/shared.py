@@ -1,81 +1,19 @@
-"""What the operators share: the shared folder, cut lineage, and column-safe row passing."""
+"""What the operators share: the shared folder and its tables (from the engine), column-safe row passing, and caches of workers."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-_held: dict[tuple, object] = {}
-_made: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Where the session sets none (tests in local mode) a temporary folder of this
-    process is used, and removed when the process ends.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="sheetloom-")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return "file://" + _own["dir"]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
+from ..shared import discard, fresh_path, materialize, release, shared_dir, tables
 
-    The copy cuts lineage, survives lost executors, and has exact sizes, by which
-    Spark decides on broadcasts and skew splits.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any longer."""
-    for path in {p for f in df.inputFiles() for p in _made if p.rsplit("/", 1)[1] in f}:
-        _made.remove(path)
-        _delete(df.sparkSession, path)
+__all__ = ["boxed", "discard", "fresh_path", "hash_share", "held", "materialize", "release", "shared_dir", "shuffle_width", "tables", "unboxed"]
 
-
-def made() -> frozenset[str]:
-    """Paths of all tables and files that operators have made so far."""
-    return frozenset(_made)
-
-
-def release(spark: SparkSession, keep: DataFrame, before: frozenset[str]) -> None:
-    """Delete the tables and files that operators have made since ``before``, except those that ``keep`` reads."""
-    read = keep.inputFiles()
-    for path in [p for p in _made if p not in before and not any(p.rsplit("/", 1)[1] in f for f in read)]:
-        _made.remove(path)
-        _delete(spark, path)
+_held: dict[tuple, object] = {}
 
 
 def boxed(df: DataFrame, **columns: Column) -> DataFrame:
