@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sheetloom.llm import decontam, near_text, packing, pii, rules
-from sheetloom.llm.shared import made, materialize, release
+from sheetloom.llm.shared import materialize, release, tables
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents in ``sf_dir``."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        release(spark, docs, before)  # what the stage and its predecessor have left
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with tables() as mine:
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            release(spark, docs, mine)  # what the stage and its predecessor have left
     return docs
