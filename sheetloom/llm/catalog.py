@@ -68,7 +68,8 @@ def _op10_sql() -> str:
         f"CASE WHEN {r}_m <= 0 OR {r}_m >= 1 THEN NULL ELSE least(greatest({r}_m * (1 - {r}_m) / greatest({r}_v - {r}_z, 1e-12) - 1, 1), CASE WHEN hosts > 1 THEN 1e6 ELSE 1 END) END AS {r}_s" for r in rules.RULES
     )
     prior = ", ".join(f"coalesce({r}_m * {r}_s, 1e-3 + {r}_m) AS {r}_a, coalesce((1 - {r}_m) * {r}_s, 1e-3 + 1 - {r}_m) AS {r}_b" for r in rules.RULES)
-    worst = ", ".join(f"({r} + {r}_a) / (n + {r}_a + {r}_b)" for r in rules.RULES)
+    rates = ", ".join(f"({r} + {r}_a) / (n + {r}_a + {r}_b) AS {r}_p" for r in rules.RULES)
+    bad = " OR ".join(f"{r}_p - 2 * sqrt({r}_p * (1 - {r}_p) / (n + {r}_a + {r}_b + 1)) > greatest({rules.LEAST_RATE}, {rules.TIMES} * {r}_a / ({rules.TIMES} * {r}_a + {r}_b))" for r in rules.RULES)
     return f"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
@@ -80,7 +81,7 @@ s AS (SELECT doc_id, host, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_tr
 h AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (n_words < 20) AS few_words, count(*) FILTER (100 * n_repeat_words > 30 * n_words) AS repetition,
  count(*) FILTER (10 * n_symbols > n_words) AS symbols, count(*) FILTER (3 * n_dup_lines > n_lines) AS repeated_lines FROM s GROUP BY host),
 m AS (SELECT count(*) AS hosts, {moments} FROM h), m2 AS (SELECT *, {strength} FROM m), m3 AS (SELECT {prior} FROM m2),
-v AS (SELECT host, greatest({worst}) > {rules.HOST_LIMIT} AS rejected FROM h, m3)
+q AS (SELECT *, {rates} FROM h, m3), v AS (SELECT host, {bad} AS rejected FROM q)
 SELECT doc_id, s.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT rejected AS kept FROM s JOIN v ON s.host IS NOT DISTINCT FROM v.host"""
 

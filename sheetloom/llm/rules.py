@@ -2,8 +2,9 @@
 
 A document fails of its own accord where it has too few words or repeats itself. Beyond that the method rejects
 hosts, not documents: for each rule, a host's failure rate is drawn towards the rate of all hosts by a beta prior fitted
-to them, so a host with few documents is not judged by one of them; a host whose shrunk rate passes the
-limit is rejected under that rule with all its documents.
+to them, so a host with few documents is not judged by one of them. A host is rejected under a rule, with all its documents, if
+its rate is surely far above that of hosts at large: if the rate, less twice its posterior standard deviation, is above ``LEAST_RATE``, and its
+odds above ``TIMES`` those of the prior's mean.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ MOST_REPEATED_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
-HOST_LIMIT = 0.9  # a host goes only if nearly all its documents fail
+TIMES, LEAST_RATE = 3.0, 0.25
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 #: Document-level rules whose failures are counted by host.
 RULES = ("few_words", "repetition", "symbols", "repeated_lines")
@@ -99,8 +100,8 @@ def beta_prior(hosts: int, mean: float | None, variance: float | None, noise: fl
     return mean * strength, (1 - mean) * strength
 
 
-def host_verdicts(stats: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """One row a host: its documents, each rule's shrunk failure rate, and ``rejected``.
+def host_verdicts(stats: DataFrame, times: float = TIMES, least: float = LEAST_RATE) -> DataFrame:
+    """One row a host: its documents, each rule's shrunk failure rate and what it surely is above, and ``rejected``.
 
     Counts cover all documents and are added up before the shuffle, so a host with a third of them costs no
     more than another; the prior's moments are sums over all hosts.
@@ -113,12 +114,14 @@ def host_verdicts(stats: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
         rate = F.col(r) / F.col("n")
         moments += [F.avg(rate).alias(f"{r}_mean"), F.var_pop(rate).alias(f"{r}_var"), F.avg(rate * (1 - rate) / F.col("n")).alias(f"{r}_noise")]
     m = counts.agg(F.count("*").alias("hosts"), *moments).first()
-    shrunk = []
+    shrunk, bad = [], F.lit(False)
     for r in RULES:
         a, b = beta_prior(m.hosts, m[f"{r}_mean"], m[f"{r}_var"], m[f"{r}_noise"])
-        shrunk.append(((F.col(r) + a) / (F.col("n") + a + b)).alias(f"{r}_rate"))
-    rates = counts.select("host", "n", *shrunk)
-    return rates.withColumn("rejected", F.greatest(*[F.col(f"{r}_rate") for r in RULES]) > limit)
+        rate = (F.col(r) + a) / (F.col("n") + a + b)
+        surely = rate - 2 * F.sqrt(rate * (1 - rate) / (F.col("n") + a + b + 1))
+        shrunk += [rate.alias(f"{r}_rate"), surely.alias(f"{r}_surely")]
+        bad = bad | (surely > max(least, times * a / (times * a + b)))
+    return counts.select("host", "n", *shrunk, bad.alias("rejected"))
 
 
 def _judged(stats: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -131,7 +134,7 @@ def _judged(stats: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def quality_verdicts(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+def quality_verdicts(docs: DataFrame, times: float = TIMES, least: float = LEAST_RATE) -> DataFrame:
     """doc_id, the statistics, base_failed and kept for every row of ``docs``; the host is column ``source``.
 
     A null or empty text has no words and fails. A null source is a host of its own. Repeated rows count as often as
@@ -139,15 +142,15 @@ def quality_verdicts(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     stats = materialize(with_stats(rows), "text-stats")
-    return _judged(stats, host_verdicts(stats, limit))
+    return _judged(stats, host_verdicts(stats, times, least))
 
 
-def kept_documents(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+def kept_documents(docs: DataFrame, times: float = TIMES, least: float = LEAST_RATE) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they are.
 
     The texts are measured twice, for the hosts and for the documents, rather than moved or stored.
     """
     host, text = F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text")
-    verdicts = host_verdicts(materialize(with_stats(docs.select(host, text)), "text-stats"), limit)
+    verdicts = host_verdicts(materialize(with_stats(docs.select(host, text)), "text-stats"), times, least)
     judged = _judged(with_stats(boxed(docs, host=host, text=text)), verdicts)
     return unboxed(judged.where("kept"), docs)
