@@ -1,9 +1,10 @@
 """Main text of web pages as the maximum-scoring contiguous region of blocks and tags.
 
-Words of a block score by the block's surroundings, tags score below zero; the weights are log-odds counted on labelled
-pages, those that mark their content with an article or main element. One linear scan finds the best
-contiguous region; what page furniture lies inside it (adverts, forms, comments and the like, told by elements,
-roles and class names) is left out of the text.
+Words of a block score by what the block is: its element, whether it is mostly links, how long it is, and whether elements, roles or class names
+tell that it is page furniture; tags score below zero. The weights are log-odds counted on labelled pages, those that mark their content with
+an article or main element; the mark labels and is no input of a score, so pages without one are scored alike. One linear
+scan finds the best contiguous region; it bridges furniture that is worth less than what lies behind it (adverts, forms, comments and the
+like), which is left out of the text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from .shared import hash_share
 #: The bound of the training sample: pages, and characters of one of them.
 SAMPLE_PAGES, SAMPLE_CHARS = 500, 200_000
 FURNITURE_WORDS = 8  # words of furniture inside the content that count against bridging it
-TAG_LEAST, WORD_MOST = 0.05, 3.0
+TAG_LEAST, WORD_MOST, UNSURE = 0.05, 3.0, 0.2
+LENGTHS = (4, 12, 40)
+MARKS = frozenset(("article", "/article", "main", "/main"))
 
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?--!?>|.*)"
@@ -164,14 +167,13 @@ def marked_scope(blocks: list[Block]) -> str:
     return ""
 
 
-def surroundings(block: Block, marked: str) -> tuple[str, bool, bool, str]:
-    """What a block's words are scored by: its element, whether it is mostly links, whether it is furniture, and where it stands."""
-    where = "unmarked" if not marked else "inside" if block.scope == marked or block.scope == "article" else "outside"
-    return block.name, 2 * block.n_linked > block.n_words, block.furniture, where
+def kind_of(block: Block) -> tuple[str, bool, int, bool]:
+    """What a block's words are scored by: its element, whether it is mostly links, how long it is, and whether it is furniture."""
+    return block.name, 2 * block.n_linked > block.n_words, sum(block.n_words >= k for k in LENGTHS), block.furniture
 
 
 class Weights:
-    """Log-odds of words by surroundings and of tags, counted on labelled pages."""
+    """Log-odds of words by the kind of their block, and of tags, counted on labelled pages."""
 
     def __init__(self, pages: list[str]):
         words: dict[bool, Counter] = {True: Counter(), False: Counter()}
@@ -181,22 +183,22 @@ class Weights:
             if not (marked := marked_scope(blocks)):
                 continue
             for b in blocks:
-                key = surroundings(b, marked)
-                content = key[3] == "inside" and not b.furniture
-                words[content][key] += b.n_words
-                words[content][*key[:3], "unmarked"] += b.n_words
-                tags[content].update(b.tags)
+                name, linked, length, furniture = kind_of(b)
+                content = b.scope in (marked, "article") and not furniture
+                words[content].update({(name, linked, length, furniture): b.n_words, (name, linked, furniture): b.n_words, (name, linked): b.n_words})
+                tags[content].update(t for t in b.tags if t not in MARKS)
         self.words = {k: max(-WORD_MOST, min(WORD_MOST, math.log((words[True][k] + 1) / (words[False][k] + 1)))) for k in words[True] | words[False]}
         total = {c: sum(t.values()) + 1 for c, t in tags.items()}
         odds = {t: math.log((tags[True][t] + 1) / total[True]) - math.log((tags[False][t] + 1) / total[False]) for t in tags[True] | tags[False]}
         self.tags = {t: -max(TAG_LEAST, min(1.0, -x)) for t, x in odds.items()}
 
-    def word(self, key: tuple[str, bool, bool, str]) -> float:
-        """Of surroundings not seen: for content within the marked element or a page without one, against what stands outside, furniture, and links."""
-        name, linked, furniture, where = key
-        if (found := self.words.get(key)) is not None and (abs(found) > 0.2 or where != "unmarked"):
-            return found
-        return -1.0 if furniture or where == "outside" else -0.5 if linked and where == "unmarked" else 1.0
+    def word(self, kind: tuple[str, bool, int, bool]) -> float:
+        """Of kinds not seen the weight of blocks of any length, then of all such blocks; else for words, against furniture and links."""
+        name, linked, _, furniture = kind
+        for key in (kind, (name, linked, furniture), (name, linked)):
+            if (found := self.words.get(key)) is not None and abs(found) > UNSURE:
+                return found
+        return -1.0 if furniture else -0.5 if linked else 1.0
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -211,23 +213,22 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def block_scores(blocks: list[Block], weights: Weights) -> list[float]:
+    """The scores that the scan goes over: of the tags before each block, and of its words; furniture counts against with its first words only."""
+    scores = []
+    for b in blocks:
+        kind = kind_of(b)
+        scores.append(sum(weights.tags.get(t, -TAG_LEAST) for t in b.tags))
+        scores.append(-abs(weights.word(kind)) * min(b.n_words, FURNITURE_WORDS) if b.furniture else weights.word(kind) * b.n_words)
+    return scores
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """The text of a page's best region without the furniture in it, blocks joined by one space."""
     if not page:
         return ""
     blocks = parse(page)
-    marked = marked_scope(blocks)
-    scores = []
-    for b in blocks:
-        scores.append(sum(weights.tags.get(t, -TAG_LEAST) for t in b.tags))
-        key = surroundings(b, marked)
-        w = weights.word(key)
-        if key[2] and key[3] != "outside":
-            w = -abs(w)
-            scores.append(w * min(b.n_words, FURNITURE_WORDS))
-        else:
-            scores.append(w * b.n_words)
-    start, stop = best_region(scores)
+    start, stop = best_region(block_scores(blocks, weights))
     texts = (" ".join("".join(b.pieces).split()) for i, b in enumerate(blocks) if b.n_words and start <= 2 * i + 1 < stop and not b.furniture)
     return " ".join(t for t in texts if t)
 
