@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings, averaged per document, with a softmax output.
 
-A token is a word, or the bigram of a word with itself. Its vector is the mean of the learned vectors of its hashed
-subwords: the word, its character n-grams, and its shape; a bigram of a word with itself has one
-vector whatever the word. A document is the mean of its tokens. All of it is trained together by
+A token is a word or a word bigram. A word's vector is the mean of the learned vectors of its hashed subwords, the word itself and its
+character n-grams; a bigram has one hashed vector. A document is the mean of its tokens. All of it is trained together by
 numpy stochastic gradient descent on a bounded sample of labelled rows. The output is linear in the mean, so a trained model needs one
-number a subword, and scoring adds one number a word.
+number a bucket, and scoring adds one number a token.
+
+One choice of the hashing is an option: with ``repeats`` the bigrams of a word with itself share a bucket, whatever the word.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import math
 import uuid
 import zlib
 from collections import Counter
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,8 @@ EPOCHS, RATE, SEED = 3, 2.0, 17
 #: The bound of the training sample: labelled rows, and characters of one of them.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 200_000
 CACHE_ENTRIES = 300_000
-TWICE = 0  # the bucket of a word's bigram with itself
-
-
-def _shape(word: str) -> str:
-    return f"\0{word.isupper():d}{word.islower():d}{word.isalpha():d}{'' if word[-1].isalnum() else word[-1]}"
+REPEATS = True
+TWICE = 0  # the bucket of bigrams of a word with itself, where they share one; of an empty text too
 
 
 def _gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
@@ -54,13 +51,24 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
     return 1 + (hashes % np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def _whole_hashes(words: list[str]) -> list[np.ndarray]:
-    return [np.array([zlib.crc32(f(w).encode("utf-8", "surrogatepass")) for w in words], np.uint64) for f in (str, _shape)]
+def word_codes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7) for w in words], np.uint64)
+
+
+def bigram_buckets(codes: np.ndarray, repeats: bool) -> np.ndarray:
+    """The bucket of each pair of neighbouring words, given by their hashes."""
+    first, second = codes[:-1], codes[1:]
+    keys = (first * np.uint64(0x9E3779B97F4A7C15) ^ second) * np.uint64(0xC2B2AE3D27D4EB4F)
+    found = _buckets(keys >> np.uint64(32))
+    return np.where(first == second, TWICE, found) if repeats else found
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, index of its word) of all subwords of the words: each word itself, its shape, its character n-grams."""
-    whole, owners = _whole_hashes(words), [np.arange(len(words))] * 2
+    """(bucket, index of its word) of all subwords of the words: each word itself and its character n-grams."""
+    whole, owners = [word_codes(words) >> np.uint64(32)], [np.arange(len(words))]
     codes = _codes("".join([f"<{w}>" for w in words]))
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     owner, left = np.repeat(np.arange(len(words)), lengths), np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
@@ -74,7 +82,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def long_word_score(word: str, table: np.ndarray) -> float:
     """The mean over all subwords of one word, whose n-grams are made a piece at a time."""
-    total, count = float(table[_buckets(np.concatenate(_whole_hashes([word])))].sum(dtype=np.float64)), 2
+    total, count = float(table[_buckets(word_codes([word]) >> np.uint64(32))[0]]), 1
     spelt = f"<{word}>"
     for i in range(0, len(spelt), PIECE):
         for n in NGRAMS:
@@ -83,26 +91,28 @@ def long_word_score(word: str, table: np.ndarray) -> float:
     return total / count
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, repeats: bool = REPEATS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their weights in its mean."""
     words = (text or "").split()
     if not words:
         return np.array([TWICE]), np.zeros(1, np.float32)
-    twice = sum(map(eq, words, words[1:]))
-    total = len(words) + twice
+    total = 2 * len(words) - 1
     counts = Counter(words)
-    ids, owner = subwords(list(counts))
+    distinct = list(counts)
+    ids, owner = subwords(distinct)
     share = np.fromiter(counts.values(), np.float64, len(counts)) / total / np.bincount(owner)
-    unique, place = np.unique(np.append(ids, TWICE), return_inverse=True)
-    return unique, np.bincount(place, np.append(share[owner], twice / total)).astype(np.float32)
+    place_of = dict(zip(distinct, word_codes(distinct).tolist(), strict=True))
+    pairs = bigram_buckets(np.fromiter(map(place_of.__getitem__, words), np.uint64, len(words)), repeats)
+    unique, place = np.unique(np.concatenate([ids, pairs]), return_inverse=True)
+    return unique, np.bincount(place, np.concatenate([share[owner], np.full(len(pairs), 1 / total)])).astype(np.float32)
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """(score of each bucket, bias): the difference of the two classes' logits for a mean over tokens."""
+def fit_vectors(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED, repeats: bool = REPEATS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector of each bucket, output vectors of the two classes, their biases) by stochastic gradient descent on the softmax loss."""
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, DIM), dtype=np.float32) - 0.5) / DIM).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    rows = [features(t) for t in texts]
+    rows = [features(t, repeats) for t in texts]
     share = np.bincount(np.array(labels, np.int64), minlength=2) / max(1, len(labels))
     bias += np.log(np.maximum(share, 1e-3)).astype(np.float32)
     step, steps = 0, max(1, epochs * len(rows))
@@ -119,28 +129,54 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
             back = out.T @ p
             out -= now * np.outer(p, x)
             bias -= 0.02 * now * p
-            # every row of a mean of n vectors moves by its share; dividing by the largest keeps the step's scale
+            # every row of a mean of n vectors moves by its share; dividing by the norm of the shares keeps the step's scale
             vectors[ids] = at - (now * w / max(float(np.square(w).sum()), 1e-6) ** 0.5)[:, None] * back
             step += 1
+    return vectors, out, bias
+
+
+def fold(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, float]:
+    """(score of each bucket, bias): the difference of the two classes' logits, which is linear in the mean."""
     return vectors @ (out[1] - out[0]), float(bias[1] - bias[0])
 
 
+def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED, repeats: bool = REPEATS) -> tuple[np.ndarray, float]:
+    """(score of each bucket, bias) of the trained model."""
+    return fold(*fit_vectors(texts, labels, epochs, rate, seed, repeats))
+
+
 class Scorer:
-    """Scores of texts, with a cache of word scores that is emptied when full."""
+    """Scores of texts, with a cache of words (their hashes and scores) that is emptied when full."""
+
+    def __init__(self, table: np.ndarray, bias: float, repeats: bool = REPEATS):
+        self.table, self.bias, self.repeats = table, bias, repeats
+        self._empty()
 
-    def __init__(self, table: np.ndarray, bias: float):
-        self.table, self.twice, self.bias = table, float(table[TWICE]), bias
-        self.known: dict[str, float] = {}
+    def _empty(self) -> None:
+        self.known: dict[str, int] = {}
+        self.used = 0
+        self.scored, self.codes = np.zeros(1 << 12), np.zeros(1 << 12, np.uint64)
 
     def _learn(self, words: set[str]) -> None:
         fresh = list(words - self.known.keys())
-        if len(self.known) + len(fresh) > CACHE_ENTRIES:
-            self.known.clear()
+        if self.used + len(fresh) > CACHE_ENTRIES:
+            self._empty()
             fresh = list(words)
-        self.known.update((w, long_word_score(w, self.table)) for w in fresh if len(w) > PIECE)
-        for part in by_size([w for w in fresh if len(w) <= PIECE], 1 << 17):
-            ids, owner = subwords(part)
-            self.known.update(zip(part, (np.bincount(owner, self.table[ids]) / np.bincount(owner)).tolist(), strict=True))
+        first = self.used
+        if first + len(fresh) > len(self.scored):
+            size = 2 * (first + len(fresh))
+            self.scored, self.codes = (np.concatenate([x[:first], np.zeros(size - first, x.dtype)]) for x in (self.scored, self.codes))
+        long = [w for w in fresh if len(w) > PIECE]
+        for part in [[w] for w in long] + list(by_size([w for w in fresh if len(w) <= PIECE], 1 << 17)):
+            at = self.used
+            self.used += len(part)
+            if len(part[0]) > PIECE:
+                self.scored[at] = long_word_score(part[0], self.table)
+            else:
+                ids, owner = subwords(part)
+                self.scored[at : at + len(part)] = np.bincount(owner, self.table[ids]) / np.bincount(owner)
+            self.codes[at : at + len(part)] = word_codes(part)
+            self.known.update(zip(part, range(at, at + len(part)), strict=True))
 
     def scores(self, texts: list[str | None]) -> list[float]:
         split, seen, made = [(t or "").split() for t in texts], set(), []
@@ -150,8 +186,9 @@ class Scorer:
         for words in split:
             x = self.bias
             if words:
-                twice = sum(map(eq, words, words[1:]))
-                x += (math.fsum(map(self.known.__getitem__, words)) + twice * self.twice) / (len(words) + twice)
+                at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                pairs = self.table[bigram_buckets(self.codes[at], self.repeats)]
+                x += (float(self.scored[at].sum()) + float(pairs.sum(dtype=np.float64))) / (2 * len(words) - 1)
             made.append(1 / (1 + math.exp(-max(-60.0, min(60.0, x)))))
         for w in [w for w in seen if len(w) > KEPT]:
             del self.known[w]
@@ -187,7 +224,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     return [once[k][1] for k in sorted(once)], [once[k][2] for k in sorted(once)]
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, repeats: bool = REPEATS) -> DataFrame:
     """doc_id, held_out, score (of label 1) and predicted for the whole text of every row.
 
     A null or empty text gets the score of no evidence, the share of label 1 as the model has learned it. Null labels are not
@@ -195,13 +232,13 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     other columns are not looked at.
     """
     texts, known = training_sample(docs, labels)
-    table, bias = train(texts, known) if known else (np.zeros(BUCKETS, np.float32), 0.0)
+    table, bias = train(texts, known, repeats=repeats) if known else (np.zeros(BUCKETS, np.float32), 0.0)
     model = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32).tobytes())
 
     name = uuid.uuid4().hex
 
     def score(batches):
-        scorer = held(("scorer", name), lambda: Scorer(np.frombuffer(model.value, np.float32), bias))
+        scorer = held(("scorer", name), lambda: Scorer(np.frombuffer(model.value, np.float32), bias, repeats))
         for b in batches:
             made = [x for run in by_size(b.column(2).to_pylist()) for x in scorer.scores(run)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.float64()), pa.array([int(x >= 0.5) for x in made], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
