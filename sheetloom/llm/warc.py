@@ -1,8 +1,9 @@
 """WARC archives through a table of record chunks.
 
-A payload is never built up whole: it moves as rows (record id, chunk number, bytes), each with the running digest of
-the payload up to it, so the last chunk's digest is the payload's. Archives are written and read
-chunk by chunk, one gzip member a record; a record whose payload another holds already is a revisit without payload.
+A payload moves as rows (record id, chunk number, bytes) both ways. On writing Spark cuts it into chunk rows before any Python sees it, and a task
+appends them to its archive, one gzip member a record, with a running digest that must end at the record's; on reading each chunk row
+carries the digest of the payload up to it, so the last one's is the payload's. Python never holds more than a batch of chunks. A record whose payload
+another holds already is a revisit without payload.
 """
 
 from __future__ import annotations
@@ -27,15 +28,6 @@ DATE = "2024-01-01T00:00:00Z"
 CHUNK_SCHEMA = "record_id string, chunk_no int, last boolean, n_bytes long, sha1 string, record_type string, refers_to string, data binary"
 
 
-def chunks(payload: bytes, size: int = CHUNK) -> Iterator[tuple[int, bool, int, str, memoryview]]:
-    """(chunk number, last, bytes so far, running SHA-1, data) of a payload; an empty one has one empty chunk."""
-    view, digest = memoryview(payload), hashlib.sha1(usedforsecurity=False)
-    for no, i in enumerate(range(0, max(1, len(view)), size)):
-        part = view[i : i + size]
-        digest.update(part)
-        yield no, i + size >= len(view), i + len(part), digest.hexdigest(), part
-
-
 def record_uri(page_id: int | None) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
@@ -57,7 +49,7 @@ class WarcWriter:
         self.part = f"{self.path}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.part, compression=None)
 
-    def record(self, page_id: int | None, url: str | None, n_bytes: int, sha1: str, refers_to: int | None, is_revisit: bool, data: Iterator[memoryview]) -> None:
+    def begin(self, page_id: int | None, url: str | None, n_bytes: int, sha1: str, refers_to: int | None, is_revisit: bool) -> None:
         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
         head = [
             "WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_uri(page_id)}", f"WARC-Date: {DATE}",
@@ -67,12 +59,14 @@ class WarcWriter:
         if is_revisit:
             head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_uri(refers_to)}"]
         head.append(f"Content-Length: {len(http) + (0 if is_revisit else n_bytes)}")
-        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-        self.out.write(pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + http))
-        if not is_revisit:
-            for part in data:
-                self.out.write(pack.compress(part))
-        self.out.write(pack.compress(b"\r\n\r\n") + pack.flush())
+        self.pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        self.out.write(self.pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + http))
+
+    def chunk(self, data) -> None:
+        self.out.write(self.pack.compress(data))
+
+    def end(self) -> None:
+        self.out.write(self.pack.compress(b"\r\n\r\n") + self.pack.flush())
 
     def close(self) -> None:
         self.out.close()
@@ -80,11 +74,13 @@ class WarcWriter:
 
 
 class _Inflated:
-    """The bytes of a file of gzip members, read a little at a time."""
+    """The bytes of a file of gzip members, or of a plain one, read a little at a time."""
 
     def __init__(self, path: str, size: int = CHUNK):
         fs, path = open_fs(path)
-        self.file, self.size, self.raw, self.held = fs.open_input_stream(path, compression=None), size, b"", b""
+        self.file, self.size, self.held = fs.open_input_stream(path, compression=None), size, b""
+        self.raw = self.file.read(2)
+        self.plain = self.raw != b"\x1f\x8b"
         self.member = zlib.decompressobj(31)
 
     def _more(self) -> bool:
@@ -95,7 +91,7 @@ class _Inflated:
             self.raw = b""
             if not raw:
                 return False
-            made = self.member.decompress(raw, self.size)
+            made = raw if self.plain else self.member.decompress(raw, self.size)
             if made:
                 self.held += made
                 return True
@@ -107,55 +103,75 @@ class _Inflated:
         made, self.held = self.held[:n], self.held[n:]
         return made
 
-    def line(self) -> bytes:
-        while b"\r\n" not in self.held:
+    def line(self) -> tuple[bytes, int]:
+        """A line without its end, and how many bytes it took."""
+        while b"\n" not in self.held:
             if not self._more():
                 raise EOFError("a record ends before its header does")
-        made, _, self.held = self.held.partition(b"\r\n")
-        return made
-
-    def headers(self) -> dict[str, str]:
-        found = {}
-        while line := self.line():
+        made, _, self.held = self.held.partition(b"\n")
+        return made.removesuffix(b"\r"), len(made) + 1
+
+    def headers(self, most: int | None = None) -> tuple[dict[str, str], int]:
+        """Fields by name in lower case, of repeated ones the first, up to an empty line or ``most`` bytes; and the bytes they took."""
+        found, used = {}, 0
+        while most is None or used < most:
+            line, n = self.line()
+            used += n
+            if not line:
+                break
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            found[name.lower()] = value.strip()
-        return found
+            found.setdefault(name.strip().lower(), value.strip())
+        return found, used
 
     def at_end(self) -> bool:
         return not self.held and not self._more()
 
 
+def told_digest(field: str | None) -> str | None:
+    """The SHA-1 that a digest field tells, in hexadecimal; None for other digests or none."""
+    kind, _, value = (field or "").partition(":")
+    if kind.lower() not in ("sha1", "sha-1"):
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+
+
 def read_chunks(path: str, size: int = CHUNK) -> Iterator[tuple]:
-    """Rows of the chunk table, without building a payload up; a payload that doesn't fit its digest raises."""
+    """Rows of the chunk table, without building a payload up; a payload that doesn't fit its digest raises.
+
+    The payload of a record with HTTP content is what follows the HTTP header, of others (such as warcinfo) the whole block. A digest that is
+    missing or no SHA-1 is not checked. A revisit has one row, with the length that its HTTP header tells (0 if none).
+    """
     source = _Inflated(path, size)
     while not source.at_end():
-        if not source.line().startswith(b"WARC/"):
+        if not source.line()[0].startswith(b"WARC/"):
             raise ValueError(f"{path}: a record doesn't begin with its version")
-        head = source.headers()
-        status, http = source.line(), source.headers()
-        inner = len(status) + 4 + sum(len(k) + len(v) + 4 for k, v in http.items())
-        kind, total = head["warc-type"], int(http["content-length"])
-        told = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
+        head, _ = source.headers()
+        kind, left, name, http = head["warc-type"], int(head["content-length"]), head["warc-record-id"], {}
+        if left and head.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+            left -= source.line()[1]  # the status
+            http, used = source.headers(left)
+            left -= used
+        if left < 0:
+            raise ValueError(f"{path}: the header of {name} is longer than its block")
+        told, digest, no, total = told_digest(head.get("warc-payload-digest")), hashlib.sha1(usedforsecurity=False), 0, left
         if kind == "revisit":
-            yield head["warc-record-id"], 0, True, total, told, kind, head["warc-refers-to"], b""
-        else:
-            left, digest, no = int(head["content-length"]) - inner, hashlib.sha1(usedforsecurity=False), 0
-            if left != total:
-                raise ValueError(f"{path}: the lengths of {head['warc-record-id']} don't agree")
-            while left or not no:
-                part, want = b"", min(left, size)
-                while len(part) < want:
-                    if not (got := source.read(want - len(part))):
-                        raise EOFError(f"{path}: {head['warc-record-id']} ends early")
-                    part += got
-                left -= len(part)
+            length = http.get("content-length", "")
+            yield name, 0, True, int(length) if length.isdigit() else 0, told, kind, head.get("warc-refers-to"), b""
+        while left or not no:
+            part, want = b"", min(left, size)
+            while len(part) < want:
+                if not (got := source.read(want - len(part))):
+                    raise EOFError(f"{path}: {name} ends early")
+                part += got
+            left -= len(part)
+            no += 1
+            if kind != "revisit":
                 digest.update(part)
-                if not left and digest.hexdigest() != told:
-                    raise ValueError(f"{path}: the payload of {head['warc-record-id']} doesn't fit its digest")
-                yield head["warc-record-id"], no, not left, total - left, digest.hexdigest(), kind, None, part
-                no += 1
-        if source.line() or source.line():
-            raise ValueError(f"{path}: {head['warc-record-id']} doesn't end where it should")
+                if not left and told not in (None, digest.hexdigest()):
+                    raise ValueError(f"{path}: the payload of {name} doesn't fit its digest")
+                yield name, no - 1, not left, total - left, digest.hexdigest(), kind, None, part
+        if source.line()[0] or source.line()[0]:
+            raise ValueError(f"{path}: {name} doesn't end where it should")
 
 
 def decide(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -176,29 +192,39 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, si
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
     is_revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    judged = rows.join(decide(pages, least), F.col("sha1") == F.col("of_sha1"), "left").select("page_id", "url", "payload", is_revisit.alias("is_revisit"), "winner")
+    judged = rows.join(decide(pages, least), F.col("sha1") == F.col("of_sha1"), "left").select("page_id", "url", "payload", "sha1", is_revisit.alias("is_revisit"), "winner")
+    n_bytes, last = F.octet_length("payload"), F.when(F.col("is_revisit"), 0).otherwise(F.greatest(F.ceil(F.octet_length("payload") / size) - 1, F.lit(0))).cast("int")
+    # a record's chunks follow one another in its task; they are cut one by one, as the rows go to Python
+    cut = judged.select("*", F.explode(F.sequence(F.lit(0), last)).alias("no"))
+    data = F.when(F.col("is_revisit"), F.lit(b"")).otherwise(F.substring("payload", F.col("no") * size + 1, F.lit(size)))
+    rows = cut.select("page_id", "url", n_bytes.cast("long").alias("n_bytes"), "sha1", "is_revisit", "winner", "no", (F.col("no") == last).alias("last"), data.alias("data"))
 
     def write(batches):
         from pyspark import TaskContext
 
-        path, out, n = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz", None, 0
+        path, out, n, digest = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz", None, 0, None
         for b in batches:
-            for k in range(b.num_rows):
-                page_id, url, is_revisit, winner = (b.column(c)[k].as_py() for c in (0, 1, 3, 4))
-                data = b.column(2)[k].as_buffer()
+            told = zip(*(b.column(c).to_pylist() for c in range(8)), strict=True)
+            for (page_id, url, n_bytes, sha1, is_revisit, winner, no, last), data in zip(told, b.column(8), strict=True):
                 out = out or WarcWriter(path)
-                sha1 = None
-                for _, _, _, sha1, _ in chunks(data, size):
-                    pass
-                out.record(page_id, url, len(data), sha1, winner, is_revisit, (x[4] for x in chunks(data, size)))
-                n += 1
+                if no == 0:
+                    out.begin(page_id, url, n_bytes, sha1, winner, is_revisit)
+                    digest = hashlib.sha1(usedforsecurity=False)
+                if not is_revisit:
+                    digest.update(data.as_buffer())
+                    out.chunk(data.as_buffer())
+                if last:
+                    if not is_revisit and digest.hexdigest() != sha1:
+                        raise ValueError(f"the chunks of page {page_id} don't fit its digest")
+                    out.end()
+                    n += 1
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "n_records"])
 
     fs, inner = open_fs(folder)
     fs.create_dir(inner, recursive=True)
-    return materialize(judged.mapInArrow(write, "path string, n_records long"), "archives")
+    return materialize(rows.mapInArrow(write, "path string, n_records long"), "archives")
 
 
 def read_archives(manifest: DataFrame, with_data: bool = True, size: int = CHUNK) -> DataFrame:
