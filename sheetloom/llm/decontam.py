@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from array import array
 from bisect import bisect_left
 from collections import Counter
@@ -18,10 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held, materialize
+from .idfile import open_fs
+from .shared import boxed, held, materialize, unboxed
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -36,7 +38,11 @@ CELLS = 5  # a window is so many cells, one more than the longest item needs
 LEAST_WORDS = 5
 SLICE_BYTES = 4 << 20
 CACHE_ENTRIES = 80_000
-WORD = re.compile(r"\w+")
+DOCS_CHARS = 1 << 25  # of the documents that a worker holds while it goes through several slices
+#: Scripts that are written without spaces: each of their characters is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD, UNSPACED_SIGN = re.compile(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])\w)+"), re.compile(f"[{UNSPACED}]")
+SENTENCE = re.compile(r"(?<=[.?!:])\s+|(?<=[。！？：])|\n")
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"  # no letters, digits or underscores
 
 
@@ -49,7 +55,7 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
     A last sentence of fewer than ``ANSWER_WORDS`` words reaches back; of one sentence, the later half is the answer.
     """
-    parts = [w for s in re.split(r"(?<=[.?!:])\s+|\n", text) if (w := words_of(s))]
+    parts = [w for s in SENTENCE.split(text) if (w := words_of(s))]
     words, k = [w for p in parts for w in p], len(parts) - 1
     while k > 0 and sum(map(len, parts[k:])) < ANSWER_WORDS:
         k -= 1
@@ -58,12 +64,19 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 class ItemIndex:
-    """Inverted index with impacts, and their maxima over blocks of items: at least ``BLOCK_ITEMS`` each, at most ``BLOCKS`` blocks."""
+    """Inverted index with impacts, and their maxima over blocks of items: at least ``BLOCK_ITEMS`` each, at most ``BLOCKS`` blocks.
+
+    Items of fewer than ``LEAST_WORDS`` words are no part of it; they are kept by their words, for whole sentences of a text.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
-        parts = [(i, question_and_answer(t)) for i, t in items]
-        parts = [(i, q, a) for i, (q, a) in parts if len(q) + len(a) >= LEAST_WORDS]
-        self.item_ids = [p[0] for p in parts]
+        split = [(i, *question_and_answer(t)) for i, t in items]
+        parts = [(i, q, a) for i, q, a in split if len(q) + len(a) >= LEAST_WORDS]
+        short = [(i, tuple(q + a)) for i, q, a in split if 0 < len(q) + len(a) < LEAST_WORDS]
+        self.item_ids = [p[0] for p in parts] + [p[0] for p in short]
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for k, (_, w) in enumerate(short):
+            self.short.setdefault(w, []).append(len(parts) + k)
         self.vocabulary: dict[str, int] = {}
         words = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in q + a] for _, q, a in parts]
         self.questions = [w[: len(p[1])] for w, p in zip(words, parts, strict=True)]
@@ -131,7 +144,7 @@ class TermChunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         word = chunk.strip(SIGNS).lower()
-        if word.isalnum():  # one word, as nearly all chunks are
+        if word.isalnum() and (word.isascii() or not UNSPACED_SIGN.search(word)):  # one word, as nearly all chunks are
             got = self.vocabulary.get(word, 0).to_bytes(4, "little")
         else:
             got = array("i", [self.vocabulary.get(w, 0) for w in words_of(chunk)]).tobytes()
@@ -187,9 +200,26 @@ class Matcher:
 
     def match(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
         """Items in a text: (item number, score, question overlap, answer overlap, first word), the best of each item."""
-        index = self.index
-        if not text or not index.blocks:
+        if not text:
             return []
+        return (self._match_long(text) if self.index.blocks else []) + (self._match_short(text) if self.index.short else [])
+
+    def _match_short(self, text: str) -> list[tuple[int, float, float, float, int]]:
+        """Short items that are one whole sentence or line of the text, or some in a row; the first place of each."""
+        sentences, first, best = [words_of(s) for s in SENTENCE.split(text)], 0, {}
+        for i, sentence in enumerate(sentences):
+            key: tuple[str, ...] = ()
+            for other in sentences[i : i + 2 * LEAST_WORDS] if sentence else ():
+                if len(key) + len(other) >= LEAST_WORDS:
+                    break
+                key += tuple(other)
+                for item in self.index.short.get(key, ()) if other else ():
+                    best.setdefault(item, (item, 1.0, 1.0, 1.0, first))
+            first += len(sentence)
+        return [best[k] for k in sorted(best)]
+
+    def _match_long(self, text: str) -> list[tuple[int, float, float, float, int]]:
+        index = self.index
         terms = np.frombuffer(b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))), np.int32)
         at = np.flatnonzero(terms)
         if not len(at):
@@ -217,49 +247,78 @@ class Matcher:
         return [best[k] for k in sorted(best)]
 
 
+def item_slices(benchmark: DataFrame, slice_bytes: int) -> list[str]:
+    """Files in the shared folder of about ``slice_bytes`` of item text each, with columns i and t; null and empty texts are left out."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where(F.length("t") > 0)
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = -(-size // slice_bytes)
+    return sorted(materialize(items.repartition(n) if n > 1 else items.coalesce(1), "items").inputFiles()) if n else []
+
+
+def _index_of(path: str) -> ItemIndex:
+    fs, inner = open_fs(path)
+    with fs.open_input_file(inner) as file:
+        table = pq.read_table(file)
+    return ItemIndex(sorted(zip(table.column("i").to_pylist(), table.column("t").to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+
+
+def _stretches(batches, chars: int):
+    """Lists of batches of about ``chars`` characters of text."""
+    got, size = [], 0
+    for b in batches:
+        got.append(b)
+        size += pc.sum(pc.binary_length(b.column(2))).as_py() or 0
+        if size >= chars:
+            yield got
+            got, size = [], 0
+    if got:
+        yield got
+
+
+def _search(rows: DataFrame, benchmark: DataFrame, threshold: float, overlap: float, slice_bytes: int) -> DataFrame:
+    """doc_id and text_id of ``rows`` (doc_id, text_id, text) with the items that they hold, in one pass over the rows.
+
+    A worker holds the index of one slice at a time; where there are several it goes through all of them for each stretch of documents.
+    """
+    paths = item_slices(benchmark, slice_bytes)
+    names, kinds = ["doc_id", "text_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"], [pa.int64()] * 3 + [pa.float64()] * 3 + [pa.int64()]
+
+    def search(batches):
+        for stretch in _stretches(batches, DOCS_CHARS if len(paths) > 1 else 0):
+            for path in paths:
+                matcher = held(("matcher", path, threshold, overlap), lambda path=path: Matcher(_index_of(path), threshold, overlap))
+                for b in stretch:
+                    out = []
+                    for doc_id, text_id, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                        out += [(doc_id, text_id, matcher.index.item_ids[m[0]], *m[1:]) for m in matcher.match(text)]
+                    columns = list(zip(*out, strict=True)) or [[]] * 7
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return rows.mapInArrow(search, "doc_id long, text_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
     """The documents that hold test items: doc_id, item_id, score, question_overlap, answer_overlap, first_word.
 
     One row for each document and item it holds; clean documents have none. Whole texts are searched, in windows
-    that overlap by the longest item. Null or empty texts hold nothing; items with a null text or fewer than
-    ``LEAST_WORDS`` words can't be told from ordinary prose and match nothing; of repeated items or documents each
-    gives its rows; null ids are kept. The index is sent to the workers in slices of at most ``slice_bytes`` of
-    item text, and every slice is searched by all documents.
+    that overlap by the longest item. Null or empty texts hold nothing, and items with a null or empty text match nothing; an item of fewer than
+    ``LEAST_WORDS`` words, which windows can't tell from ordinary prose, is held where it stands as a whole sentence or line, or some in a
+    row. In scripts without spaces each character is a word. Of repeated items or documents each gives its rows; null ids are kept.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
-    slices: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
-        if r.t and size + len(r.t) > slice_bytes and slices[-1]:
-            slices.append([])
-            size = 0
-        if r.t:
-            slices[-1].append((r.i, r.t))
-            size += len(r.t)
-    found = None
-    for part in slices:
-        items = spark.sparkContext.broadcast(tuple(part))
-
-        def search(batches, items=items, name=uuid.uuid4().hex):
-            matcher = held(("matcher", name), lambda: Matcher(ItemIndex(list(items.value)), threshold, overlap))
-            for b in batches:
-                out = []
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    out += [(doc_id, matcher.index.item_ids[m[0]], *m[1:]) for m in matcher.match(text)]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-                columns = list(zip(*out, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
-
-        hits = rows.mapInArrow(search, schema)
-        found = hits if found is None else found.unionAll(hits)
-    return found
+    return _search(_named(docs), benchmark, threshold, overlap, slice_bytes).drop("text_id")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item, with their columns as they are; rows with a null doc_id can't be named and stay."""
-    hits = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("hit_id")).where("hit_id is not null").distinct(), "hits")
-    return docs.join(hits, docs["doc_id"] == hits["hit_id"], "left_anti")
+    """The documents that hold no test item, with their columns as they are; a row is named by its id, which may be null, and its text."""
+    hits = _search(_named(docs), benchmark, THRESHOLD, OVERLAP, SLICE_BYTES)
+    hits = materialize(hits.select(F.col("doc_id").alias("hit_id"), F.col("text_id").alias("hit_text")).distinct(), "hits")
+    rows = boxed(docs, own_id=F.col("doc_id").cast("long"), own_text=F.xxhash64(F.col("text").cast("string")))
+    kept = rows.join(hits, F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_text") == F.col("hit_text")), "left_anti")
+    return unboxed(kept, docs)
