@@ -21,7 +21,8 @@ from . import tokens
 from .shared import materialize, shuffle_width
 
 CAPACITY = 4096
-PLAN_BROADCAST_ROWS = 4_000_000
+PLAN_BROADCAST_ROWS = 500_000  # 28 MB
+RANK_BIN = 1 << 10
 
 
 class CapacityTree:
@@ -149,10 +150,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
     names = ("at_length", "first_rank", "n", "each", "first_sequence", "first_offset")
     if len(plan) > PLAN_BROADCAST_ROWS:
+        # a run and a piece meet in one of the run's bins of ranks, so a frequent length meets few of its runs
         runs = spark.createDataFrame(plan, ", ".join(f"{c} long" for c in names))
+        bins = F.sequence(F.floor(F.col("first_rank") / RANK_BIN), F.floor((F.col("first_rank") + F.col("n") - 1) / RANK_BIN))
+        runs = materialize(runs.select("*", F.explode(bins).alias("at_bin")), "runs")
         k = F.col("rank") - F.col("first_rank")
         return (
-            ranked.join(runs, (F.col("length") == F.col("at_length")) & (k >= 0) & (k < F.col("n")))
+            ranked.join(runs, (F.col("length") == F.col("at_length")) & (F.floor(F.col("rank") / RANK_BIN) == F.col("at_bin")) & (k >= 0) & (k < F.col("n")))
             .withColumn("sequence_id", F.col("first_sequence") + F.floor(k / F.col("each")))
             .withColumn("offset", F.col("first_offset") + k % F.col("each") * F.col("length"))
             .select(*pieces.columns, "sequence_id", "offset")
