@@ -16,6 +16,6 @@ def test_middle_of_a_long_word_counts(monkeypatch):
     assert got[0] != got[1]
     assert not scorer.known
     ids, owner = quality.subwords([a])
-    assert len(ids) == 2 + (len(a) + 2 - 2) + (len(a) + 2 - 3)
+    assert len(ids) == 1 + (len(a) + 2 - 2) + (len(a) + 2 - 3)
     monkeypatch.setattr(quality, "PIECE", 100)
     assert quality.Scorer(table, 0.0).scores([a, b]) == pytest.approx(got)

@@ -96,6 +96,16 @@ def test_plan_is_best_fit_decreasing(seed):
     assert len(used) == best_fit_bins(lengths, capacity)
 
 
+def test_packing_by_joined_runs(small, monkeypatch):
+    """Beyond the bound of the broadcast plan the runs are joined, by bins of ranks, and give the same sequences."""
+    docs = small["documents"].unionAll(small["documents"])
+    monkeypatch.setattr(packing, "RANK_BIN", 4)
+    held = {(r.sequence_id, r.offset, r.length) for r in packing.pack_documents(docs).collect()}
+    monkeypatch.setattr(packing, "PLAN_BROADCAST_ROWS", 0)
+    rows = packing.pack_documents(docs).collect()
+    assert len(rows) == len(held) and {(r.sequence_id, r.offset, r.length) for r in rows} == held
+
+
 @pytest.mark.parametrize("table", ["small", "edge_documents", "no_documents"])
 def test_packing(table, request, library):
     docs = request.getfixturevalue(table)
