@@ -32,11 +32,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _whole() -> None:
+    """Registers the queries of the other modules too."""
+    from . import catalog_files, catalog_images  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _whole()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _whole()
     return dict(_oracles)
 
 
@@ -843,15 +850,36 @@ def placed_canvas(spark, d):
 # beyond SQL: kernels, robust fits, sequential operators; the tests hold them against plain versions
 
 
-@query()
-def phase_offset(spark, d):
+_SECONDS = "(extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + extract(second FROM ts))::DOUBLE"
+_PROFILE = f"""{_HIST.replace('(epoch(ts) % 86400)::DOUBLE', _SECONDS)}, p AS (SELECT t.event_type, i::INT AS i, coalesce(value, 0)::DOUBLE AS v FROM (SELECT DISTINCT event_type FROM h) t CROSS JOIN range(200) AS r(i) LEFT JOIN h ON h.event_type = t.event_type AND h.bin = r.i),
+z AS (SELECT event_type, i, v, v - avg(v) OVER (PARTITION BY event_type) AS c FROM p)"""
+
+
+def _profiles(spark, d) -> DataFrame:
     h = _histograms(spark, d)
     full = joins.with_configurations(h.select("event_type").distinct(), spark.range(200).select(F.col("id").cast("int").alias("bin"))).join(h, ["event_type", "bin"], "left")
-    p = full.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", F.coalesce("value", F.lit(0.0)).alias("value")))), lambda x: x["value"]).alias("profile"))
+    return full.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", F.coalesce("value", F.lit(0.0)).alias("value")))), lambda x: x["value"]).alias("profile"))
+
+
+@query(f"""WITH {_PROFILE}, l AS (SELECT a.event_type AS map_a, b.event_type AS map_b, a.i - b.i AS lag, sum(a.c * b.c) AS corr FROM z a JOIN z b ON a.event_type < b.event_type GROUP BY ALL),
+best AS (SELECT map_a, map_b, arg_max(lag, corr) AS lag FROM l GROUP BY ALL),
+m AS (SELECT map_a, map_b, lag, count(*) AS n, sum(a.c * b.c) AS dot, stddev_pop(a.c) AS sa, stddev_pop(b.c) AS sb FROM best JOIN z a ON a.event_type = map_a JOIN z b ON b.event_type = map_b AND a.i - b.i = lag GROUP BY ALL)
+SELECT map_a, map_b, round(CASE WHEN n < 20 OR least(sa, sb) < 1e-6 THEN 0 ELSE least(1, greatest(0, 0.5 + 0.5 * dot / (n * sa * sb))) END, 6) AS score, lag::INT AS "offset" FROM m""")
+def phase_offset(spark, d):
+    p = _profiles(spark, d)
     pairs = joins.sheet_pairs(p, "event_type")
     side = lambda s: p.select(F.col("event_type").alias(f"map_{s}"), F.col("profile").alias(s))
     met = pairs.join(side("a"), "map_a").join(side("b"), "map_b").withColumn("r", signal.phase_offset("a", "b"))
-    return met.select("map_a", "map_b", _r("r.score", "score"), F.col("r.offset").alias("offset"), F.array_join(signal.profile_peaks("a").cast("array<string>"), ",").alias("peaks_a"))
+    return met.select("map_a", "map_b", _r("r.score", "score"), F.col("r.offset").alias("offset"))
+
+
+@query(f"""WITH RECURSIVE {_PROFILE}, t AS (SELECT event_type, i, row_number() OVER (PARTITION BY event_type ORDER BY v DESC, i) AS k FROM z),
+w AS (SELECT event_type, 0 AS k, []::INT[] AS picked FROM (SELECT DISTINCT event_type FROM t)
+ UNION ALL SELECT w.event_type, w.k + 1, CASE WHEN len(picked) < 5 AND len(list_filter(picked, lambda p: abs(p - t.i) < 25)) = 0 THEN list_append(picked, t.i) ELSE picked END FROM w JOIN t ON t.event_type = w.event_type AND t.k = w.k + 1)
+SELECT event_type, array_to_string(list_sort(picked), ',') AS peaks FROM w WHERE k = 200""")
+def profile_peaks(spark, d):
+    """The highest places of a profile that are far enough from each other, taken highest first."""
+    return _profiles(spark, d).select("event_type", F.array_join(signal.profile_peaks("profile").cast("array<string>"), ",").alias("peaks"))
 
 
 @query()
@@ -905,12 +933,12 @@ def synthetic_sheets(spark: SparkSession, d: str) -> DataFrame:
 
         for b in batches:
             for nation, keys in zip(b["s_nationkey"], b["keys"], strict=True):
-                rng = np.random.default_rng(int(nation))
+                y, x = np.mgrid[:180, :240]
                 a = np.full((180, 240), 255, np.uint8)
                 for k in keys:
                     a[(int(k) * 37) % 180, :] = 0
                     a[:, (int(k) * 53) % 240] = 0
-                a[rng.random(a.shape) < 0.01] = 0
+                a[(y * 7919 + x * 104_729 + x * y * 31 + int(nation) * 17) % 97 == 0] = 0
                 yield pd.DataFrame([raster.as_row(str(nation), a)], columns=["map_num", "height", "width", "n_channels", "data"])
 
     return s.mapInPandas(draw, raster.IMAGE_SCHEMA)
@@ -932,9 +960,13 @@ def sheet_parcels(spark, d):
     return raster.parcels_of(synthetic_sheets(spark, d), least=20).select("map_num", "id", "area_px", "cx", "cy", "bbox_w", "bbox_h", "hull_area", F.size("polygon").alias("corners"))
 
 
-@query()
+@query("""WITH s AS (SELECT s_nationkey AS k, list(DISTINCT s_suppkey * 37 % 180) AS ys, list(DISTINCT s_suppkey * 53 % 240) AS xs FROM supplier GROUP BY s_nationkey),
+px AS (SELECT k, y, x, CASE WHEN list_contains(ys, y) OR list_contains(xs, x) OR (y * 7919 + x * 104729 + x * y * 31 + k * 17) % 97 = 0 THEN 0 ELSE 255 END::DOUBLE AS v FROM s, range(180) AS r(y), range(240) AS c(x)),
+n AS (SELECT k, y, x, v, lag(v) OVER h AS l, lead(v) OVER h AS r, lag(v) OVER u AS t, lead(v) OVER u AS b FROM px WINDOW h AS (PARTITION BY k, y ORDER BY x), u AS (PARTITION BY k, x ORDER BY y)),
+f AS (SELECT k, v, coalesce(l, r) + coalesce(r, l) + coalesce(t, b) + coalesce(b, t) - 4 * v AS lap FROM n)
+SELECT k::VARCHAR AS map_num, round(var_pop(lap), 4) AS sharpness, round(stddev_pop(v), 6) AS contrast FROM f GROUP BY k""")
 def sheet_metrics(spark, d):
-    return raster.image_metrics(synthetic_sheets(spark, d))
+    return raster.image_metrics(synthetic_sheets(spark, d)).select("map_num", F.round("sharpness", 4).alias("sharpness"), _r("contrast", "contrast"))
 
 
 @query()

@@ -241,6 +241,16 @@ def full_resolution_transform(back_x, back_y, place_x, place_y, rotation: Column
     return chain(translation(back_x, back_y), translation(place_x, place_y), rotation, translation(uncrop_x, uncrop_y))
 
 
+def to_window(x: Column, y: Column, zoom: Column, left: Column, top: Column) -> Column:
+    """struct(x, y): where a point of the canvas is in a window that shows it from (left, top) on, enlarged by ``zoom``."""
+    return F.struct(((x - left) * zoom).alias("x"), ((y - top) * zoom).alias("y"))
+
+
+def to_canvas(x: Column, y: Column, zoom: Column, left: Column, top: Column) -> Column:
+    """struct(x, y): the point of the canvas that a window shows at a place; null for a zoom of 0."""
+    return F.struct((x / F.nullif(zoom, F.lit(0)) + left).alias("x"), (y / F.nullif(zoom, F.lit(0)) + top).alias("y"))
+
+
 # scores
 
 

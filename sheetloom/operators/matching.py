@@ -109,6 +109,7 @@ def positional_match(nodes_a: DataFrame, nodes_b: DataFrame, n: int = 3, within:
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(a) and len(b):
+            b = b.set_axis(columns, axis=1)
             k = min(2 * n, len(a), len(b))
             a, b = (x.sort_values(["dist_boundary", "id"], kind="stable").head(k) for x in (a, b))
             at, used = b[["norm_cx", "norm_cy"]].to_numpy(), np.zeros(len(b), bool)
@@ -121,4 +122,5 @@ def positional_match(nodes_a: DataFrame, nodes_b: DataFrame, n: int = 3, within:
         return pd.DataFrame(rows, columns=["pair", "a", "b", "distance"])
 
     columns = ["pair", "id", "dist_boundary", "norm_cx", "norm_cy"]
-    return nodes_a.select(*columns).groupBy("pair").cogroup(nodes_b.select(*columns).groupBy("pair")).applyInPandas(match, "pair string, a long, b long, distance double")
+    other = nodes_b.select(*columns).toDF(*[f"{c}_b" for c in columns])  # both sides may be parts of one table
+    return nodes_a.select(*columns).groupBy("pair").cogroup(other.groupBy("pair_b")).applyInPandas(match, "pair string, a long, b long, distance double")

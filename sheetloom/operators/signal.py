@@ -16,24 +16,23 @@ LEAST_OVERLAP = 20
 def aligned_scores(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     """(score, offset): the offset of the largest plain cross-correlation, and the correlation coefficient there, brought to 0..1.
 
-    Uncorrelated signals score a half; fewer than ``LEAST_OVERLAP`` common positions, or a constant stretch, score 0.
+    Uncorrelated signals score a half; fewer than ``LEAST_OVERLAP`` common positions, or a constant stretch, score 0. Of equal
+    correlations the least offset from 0 upwards counts, then the least of the negative ones.
     """
-    a, b = np.asarray(a, float), np.asarray(b, float)
-    if not len(a) or not len(b):
+    a, b = (np.asarray(x, float) for x in (a, b))
+    if not a.size or not b.size:
         return 0.0, 0
     a, b = a - a.mean(), b - b.mean()
-    n = 1 << (len(a) + len(b) - 1).bit_length()
-    lags = np.fft.irfft(np.fft.rfft(a, n) * np.conj(np.fft.rfft(b, n)), n)
-    at = int(np.argmax(lags))
-    offset = at if 2 * at <= n else at - n
-    i, j = max(0, offset), max(0, -offset)
-    m = min(len(a) - i, len(b) - j)
-    if m < LEAST_OVERLAP:
-        return 0.0, offset
-    x, y = a[i : i + m], b[j : j + m]
-    if min(x.std(), y.std()) < 1e-6:
-        return 0.0, offset
-    return float(np.clip((x @ y / (m * x.std() * y.std()) + 1) / 2, 0, 1)), offset
+    by_lag = np.correlate(a, b, "full")  # from lag 1 - len(b) to len(a) - 1
+    behind = len(b) - 1
+    lag = int(np.argmax(np.concatenate([by_lag[behind:], by_lag[:behind]])))
+    lag -= len(by_lag) if lag >= len(a) else 0
+    x, y = a[max(lag, 0) :], b[max(-lag, 0) :]
+    common = min(len(x), len(y))
+    spread = x[:common].std() * y[:common].std() if common else 0.0
+    if common < LEAST_OVERLAP or min(x[:common].std(), y[:common].std()) < 1e-6:
+        return 0.0, lag
+    return float(min(1.0, max(0.0, 0.5 + 0.5 * float(x[:common] @ y[:common]) / (common * spread)))), lag
 
 
 def strip_similarity(a: np.ndarray, b: np.ndarray, offset: int) -> float:

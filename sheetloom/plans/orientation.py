@@ -1,10 +1,12 @@
 """Adjacency discovery: how every pair of sheets fits, in a coarse and a fine search, and each sheet's ranked neighbours.
 
-Each sheet is decoded once; its strips by rotation and edge are small rows, kept as a table that both sides of all pairs share.
+A sheet is decoded once for its four edge strips, which stand for all quarter turns, and once more where the fine search turns it by
+small angles. A pair's strips travel once, and all its configurations are scored together.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,58 +18,67 @@ from ..shared import materialize
 
 STRIP = "map_num string, rotation double, edge string, h int, w int, data binary"
 MEASURES = "phase_score double, best_offset_px int, ncc_2d double, density_a double, density_b double"
+_NAMES = [c.split()[0] for c in MEASURES.split(", ")]
+#: The edge that an edge becomes by a quarter turn counter-clockwise.
+TURNED = {"top": "left", "left": "bottom", "bottom": "right", "right": "top"}
 
 
-def edge_strips(images: DataFrame, rotations: list[float], edges: tuple[str, ...] = ("left", "right", "top", "bottom"), width: int = 200) -> DataFrame:
-    """Strips of all edges of every sheet, cropped and turned by each rotation."""
+def edge_strips(images: DataFrame, edges: tuple[str, ...] = ("left", "right", "top", "bottom"), width: int = 200) -> DataFrame:
+    """Strips of the edges of every sheet, cropped."""
+
     def cut(m, a):
         cropped = raster.auto_crop(raster.gray(a))
-        for r in rotations:
-            turned = raster.rotate(cropped, r)
-            for e in edges:
-                s = raster.edge_strip(turned, e, width)
-                yield m, float(r), e, s.shape[0], s.shape[1], s.tobytes()
+        for e in edges:
+            s = raster.edge_strip(cropped, e, width)
+            yield m, 0.0, e, s.shape[0], s.shape[1], s.tobytes()
 
     return raster.map_images(images, cut, STRIP)
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with strips a and b (structs) scored by the kernel, one row at a time."""
-    names = [c.split()[0] for c in MEASURES.split(", ")]
+def quarter_turned(strips: dict[str, np.ndarray], edge: str, rotation: float) -> np.ndarray:
+    """The strip at an edge of a sheet after quarter turns, from the strips of the sheet as it is."""
+    turns = round(rotation / 90) % 4
+    source = next(e for e in strips if _after(e, turns) == edge)
+    return np.rot90(strips[source], turns)
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                x, y = (raster.to_array(s["h"], s["w"], 1, bytes(s["data"])) for s in (r.a, r.b))
-                rows.append(tuple(signal.strip_scores(x, r.edge_a, y, r.edge_b)[n] for n in names))
-            keep = b.drop(columns=["a", "b"])
-            yield pd.concat([keep, pd.DataFrame(rows, columns=names, index=keep.index)], axis=1)
 
-    kept = [f for f in pairs.schema if f.name not in ("a", "b")]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", " + MEASURES
-    out = pairs.mapInPandas(run, schema)
-    return out.withColumns(signal.orientation_columns(F.col("phase_score"), F.col("ncc_2d"), F.col("density_a"), F.col("density_b")))
+def _after(edge: str, turns: int) -> str:
+    for _ in range(turns):
+        edge = TURNED[edge]
+    return edge
 
 
-def _with_strips(pairs: DataFrame, strips: DataFrame) -> DataFrame:
-    """Pairs with rotation and edges, met with A's strip at rotation 0 and B's at theirs."""
-    s = F.struct("h", "w", "data")
-    a = strips.where("rotation = 0").select(F.col("map_num").alias("map_a"), F.col("edge").alias("edge_a"), s.alias("a"))
-    b = strips.select(F.col("map_num").alias("map_b"), F.col("rotation").alias("total_rot"), F.col("edge").alias("edge_b"), s.alias("b"))
-    return pairs.join(a, ["map_a", "edge_a"]).join(b, ["map_b", "edge_b", "total_rot"])
+def _array(s) -> np.ndarray:
+    return raster.to_array(s["h"], s["w"], 1, bytes(s["data"]))
 
 
-def coarse_search(images: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sixteen scored configurations of every pair."""
-    spark = images.sparkSession
-    strips = materialize(edge_strips(images, list(dimensions.COARSE_ROTATIONS)), "coarse-strips")
-    plan = joins.with_configurations(pairs, dimensions.coarse_configurations(spark)).withColumnRenamed("rotation", "total_rot")
-    scored = _scored(_with_strips(plan, strips))
-    return scored.withColumns({"coarse_rot": F.col("total_rot"), "fine_rot": F.lit(0.0), "stage": F.lit("coarse")})
+def _with_errors(scored: DataFrame) -> DataFrame:
+    return scored.withColumns(signal.orientation_columns(F.col("phase_score"), F.col("ncc_2d"), F.col("density_a"), F.col("density_b")))
+
+
+def coarse_search(strips: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Sixteen scored configurations of every pair; ``strips`` has the four of each sheet."""
+    plan = [(k, float(r), a, b) for k, (r, a, b) in enumerate((r, a, b) for r in dimensions.COARSE_ROTATIONS for a, b in dimensions.EDGE_PAIRS)]
+    own = strips.groupBy("map_num").agg(F.collect_list(F.struct("edge", "h", "w", "data")).alias("s"))
+    side = lambda n: own.select(F.col("map_num").alias(f"map_{n}"), F.col("s").alias(n))
+    names = ["map_a", "map_b", "cfg_idx", "total_rot", "edge_a", "edge_b", *_NAMES]
+
+    def run(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                at_a, at_b = ({s["edge"]: _array(s) for s in x} for x in (r.a, r.b))
+                rows = []
+                for k, rotation, edge_a, edge_b in plan:
+                    got = signal.strip_scores(at_a[edge_a], edge_a, quarter_turned(at_b, edge_b, rotation), edge_b)
+                    rows.append((r.map_a, r.map_b, k, rotation, edge_a, edge_b, *(got[n] for n in _NAMES)))
+                yield pd.DataFrame(rows, columns=names)
+
+    met = pairs.select("map_a", "map_b").join(side("a"), "map_a").join(side("b"), "map_b").select("map_a", "map_b", "a", "b")
+    scored = met.mapInPandas(run, f"map_a string, map_b string, cfg_idx int, total_rot double, edge_a string, edge_b string, {MEASURES}")
+    return _with_errors(scored).withColumns({"coarse_rot": F.col("total_rot"), "fine_rot": F.lit(0.0), "stage": F.lit("coarse")})
 
 
-def fine_search(images: DataFrame, winners: DataFrame) -> DataFrame:
+def fine_search(images: DataFrame, strips: DataFrame, winners: DataFrame) -> DataFrame:
     """Twenty angles around each pair's coarse winner; B alone is turned, and only by the angles its winners ask for."""
     spark = images.sparkSession
     plan = joins.with_configurations(winners.select("map_a", "map_b", "edge_a", "edge_b", "coarse_rot"), dimensions.fine_angles(spark))
@@ -88,16 +99,33 @@ def fine_search(images: DataFrame, winners: DataFrame) -> DataFrame:
                         yield pd.DataFrame([(r.map_num, angle, e, s.shape[0], s.shape[1], s.tobytes())], columns=[c.split()[0] for c in STRIP.split(", ")])
 
     turned = images.join(asked, "map_num").select("map_num", "height", "width", "n_channels", "data", "asked").mapInPandas(cut, STRIP)
-    strips = materialize(turned.unionAll(edge_strips(images, [0.0]).where(F.lit(True))).dropDuplicates(["map_num", "rotation", "edge"]), "fine-strips")
-    return _scored(_with_strips(plan, strips)).withColumn("stage", F.lit("fine"))
+    turned = materialize(turned, "fine-strips").select(F.col("map_num").alias("map_b"), F.col("rotation").alias("total_rot"), F.col("edge").alias("edge_b"), "h", "w", "data")
+    still = strips.select(F.col("map_num").alias("map_a"), F.col("edge").alias("edge_a"), "h", "w", "data")
+    one = winners.select("map_a", "map_b", "edge_a").join(still, ["map_a", "edge_a"]).select(F.col("map_a").alias("of_a"), F.col("map_b").alias("of_b"), "h", "w", "data")
+    many = plan.join(turned, ["map_b", "total_rot", "edge_b"])
+    kept = ["map_a", "map_b", "edge_a", "edge_b", "coarse_rot", "cfg_idx", "fine_rot", "total_rot"]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for _, x in a.head(1).iterrows():
+            still = _array(x)
+            for _, y in b.iterrows():
+                got = signal.strip_scores(still, y["edge_a"], _array(y), y["edge_b"])
+                rows.append((*(y[c] for c in kept), *(got[n] for n in _NAMES)))
+        return pd.DataFrame(rows, columns=[*kept, *_NAMES])
+
+    schema = f"map_a string, map_b string, edge_a string, edge_b string, coarse_rot double, cfg_idx int, fine_rot double, total_rot double, {MEASURES}"
+    scored = one.groupBy("of_a", "of_b").cogroup(many.select(*kept, "h", "w", "data").groupBy("map_a", "map_b")).applyInPandas(run, schema)
+    return _with_errors(scored).withColumn("stage", F.lit("fine"))
 
 
 def discover(images: DataFrame, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(best, all): the best orientation of every pair with its confidence gap, and all scored rows."""
     pairs = joins.sheet_pairs(images) if pairs is None else pairs
-    coarse = materialize(coarse_search(images, pairs), "coarse")
+    strips = materialize(edge_strips(images), "strips")
+    coarse = materialize(coarse_search(strips, pairs), "coarse")
     winners = materialize(ranks.best_and_gap(coarse, ["map_a", "map_b"], "error", "cfg_idx"), "winners")
-    fine = materialize(fine_search(images, winners), "fine")
+    fine = materialize(fine_search(images, strips, winners), "fine")
     columns = [c for c in coarse.columns if c in fine.columns]
     best = ranks.best_of_union(winners.select(*columns), fine.select(*columns), ["map_a", "map_b"], "error", "cfg_idx")
     best = best.join(winners.select("map_a", "map_b", "gap"), ["map_a", "map_b"]).withColumn("pair_key", G.F.concat_ws("_", "map_a", "map_b"))

@@ -85,7 +85,8 @@ def graphml_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     node = F.concat(F.lit('<node id="'), text("id"), F.lit('">'), data(own), F.lit("</node>")).alias("x")
     edge = F.concat(F.lit('<edge source="'), text("src"), F.lit('" target="'), text("dst"), F.lit('">'), data(of), F.lit("</edge>")).alias("x")
     n, e = nodes.groupBy("map_num").agg(listed("id", node).alias("n")), edges.groupBy("map_num").agg(listed("src", "dst", edge).alias("e"))
-    keys = "".join(f'<key id="{c}" for="{side}" attr.name="{c}" attr.type="{t}"/>' for side, names in (("node", own), ("edge", [x for x in of if x not in own])) for c, t in names)
+    sides = {**{x: "node" for x in own}, **{x: "all" if x in own else "edge" for x in of}}
+    keys = "".join(f'<key id="{c}" for="{side}" attr.name="{c}" attr.type="{t}"/>' for (c, t), side in sides.items())
     head = f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="undirected">'
     return n.join(e, "map_num", "left").select("map_num", F.concat(F.lit(head), "n", F.coalesce("e", F.lit("")), F.lit("</graph></graphml>")).alias("document"))
 
@@ -126,3 +127,30 @@ def encoded_png(images: DataFrame) -> DataFrame:
 
     made = images.select("map_num", "height", "width", "n_channels", "data").mapInPandas(run, "map_num string, png binary")
     return made.withColumn("base64", F.base64("png"))
+
+
+def write_png(images: DataFrame, folder: str, kind: str = "clean") -> DataFrame:
+    """Write each image as ``map_<map_num>_<kind>.png`` in a folder that all executors share: map_num, path, n_bytes.
+
+    A file appears whole, by a rename under a name that depends on the image only, so a repeated task leaves the same files.
+    """
+    import pandas as pd
+
+    from ..shared import open_fs
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                path = f"{folder}/map_{r.map_num}_{kind}.png"
+                fs, inner = open_fs(path)
+                body, part = png(r.height, r.width, r.n_channels, bytes(r.data)), f"{inner}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(body)
+                fs.move(part, inner)
+                rows.append((r.map_num, path, len(body)))
+            yield pd.DataFrame(rows, columns=["map_num", "path", "n_bytes"])
+
+    fs, inner = open_fs(folder)
+    fs.create_dir(inner, recursive=True)
+    return images.select("map_num", "height", "width", "n_channels", "data").mapInPandas(run, "map_num string, path string, n_bytes long")

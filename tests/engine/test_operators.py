@@ -360,3 +360,34 @@ def test_stitch(spark):
 
 def test_pandas_is_only_in_kernels():
     assert pd.__version__
+
+
+def test_nearest_and_clicked_parcels(spark):
+    """Clusters, far clicks, ties and a sheet without parcels, against all pairs."""
+    rng = np.random.default_rng(11)
+    centres = [(m, i, float(x), float(y)) for m, n in (("a", 60), ("b", 1)) for i, (x, y) in enumerate(np.r_[rng.normal(0, 5, (n, 2)), rng.normal(900, 40, (n, 2))])]
+    rows = [(m, i, x, y, [(int(x) - 2, int(y) - 2), (int(x) + 2, int(y) - 2), (int(x) + 2, int(y) + 2), (int(x) - 2, int(y) + 2)]) for m, i, x, y in centres]
+    parcels = spark.createDataFrame(rows, "map_num string, parcel_id int, cx double, cy double, polygon array<struct<x:int,y:int>>")
+    points = [(m, k, float(x), float(y)) for m in ("a", "b", "c") for k, (x, y) in enumerate([(0, 0), (905, 890), (450, 450), (-5000, 3), (1, 1), (1, 1)])]
+    clicks = spark.createDataFrame(points, "map_num string, click int, x double, y double")
+    want = {}
+    for m, k, x, y in points:
+        own = [((cx - x) ** 2 + (cy - y) ** 2, i) for n, i, cx, cy in centres if n == m]
+        if own:
+            want[m, k] = min(own)[1]
+    got = joins.nearest_parcel(clicks, parcels, ["map_num"], "click").collect()
+    assert {(r.map_num, r.click): r.parcel_id for r in got} == want and len(got) == len(want)
+    hit = joins.clicked_parcel(clicks, parcels, ["map_num"], "click").collect()
+    for r in hit:
+        inside = [i for m, i, cx, cy in centres if m == r.map_num and int(cx) - 2 <= r.x <= int(cx) + 2 and int(cy) - 2 <= r.y <= int(cy) + 2]
+        assert (r.parcel_id, r.inside) == ((min(inside), True) if inside else (want[r.map_num, r.click], False))
+    assert len(hit) == len(want)
+
+
+def test_percentiles_of_all_signs(spark):
+    rng = np.random.default_rng(12)
+    values = {"a": np.r_[rng.normal(0, 1e6, 300), np.zeros(50), [1e-9, -1e-9]], "b": np.array([3.0]), "c": np.repeat([-2.0, 7.0], 5), None: np.array([1.0, 2.0])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("a", float("nan"))]
+    got = {r.k: r for r in aggregates.percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k, v in values.items():
+        assert [got[k][f"p{p}"] for p in (10, 25, 50, 75, 90)] == pytest.approx(np.percentile(v, [10, 25, 50, 75, 90]).tolist())

@@ -267,3 +267,49 @@ def test_catalogue_runs(spark):
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     for name in ("greedy_layout", "sheet_metrics", "blended_tiles", "phase_offset"):
         assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_recognition_crops():
+    flat = np.full((40, 50), 90, np.uint8)
+    crop = raster.recognition_crop(flat, 5, 5, 10, 8)
+    assert crop.shape == (3 * 28, 3 * 30) and len(np.unique(crop)) == 1
+    assert raster.recognition_crop(flat, 70, 5, 10, 8) is None and raster.recognition_crop(flat, 63, 5, 10, 8) is None
+    for n in (4, 9):
+        weights = raster.cubic_weights(n, 3 * n)
+        assert np.allclose(weights.sum(axis=1), 1)
+        assert np.allclose(weights[1::3], np.eye(n))  # the middle one of three lies on the pixel itself
+    ramp = np.tile(np.arange(0, 200, 10, dtype=np.uint8), (6, 1))
+    middle = raster.enlarge(ramp, 3)[3:-3, 6:-6].astype(float)
+    assert np.abs(np.diff(middle, axis=1) - 10 / 3).max() < 1.5
+    assert raster.thumbnail(np.zeros((100, 50), np.uint8), 20, 20).shape == (20, 10) and raster.thumbnail(flat, 100, 100).shape == flat.shape
+
+
+def test_graph_file_with_signs(spark, tmp_path):
+    nodes = spark.createDataFrame([("45", "a&b", '<x> "y"', 1.5), ("45", "c", None, 2.5)], "map_num string, id string, label string, w double")
+    edges = spark.createDataFrame([("45", "a&b", "c", 2.0)], "map_num string, src string, dst string, w double")
+    (tmp_path / "g.graphml").write_text(writers.graphml_document(nodes, edges).first().document)
+    n, e = readers.graphml(spark, str(tmp_path / "g.graphml"))
+    assert {r.id: r.attributes for r in n.collect()} == {"a&b": {"label": '<x> "y"', "w": "1.5"}, "c": {"w": "2.5"}}
+    assert [(r.src, r.dst, r.attributes) for r in e.collect()] == [("a&b", "c", {"w": "2.0"})]
+
+
+def test_upsert_by_sequence(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], "k string, v int, seq int").write.parquet(path)
+    new = spark.createDataFrame([("b", 9, 1), ("b", 10, 0), ("c", 9, 3), ("c", 10, 3)], "k string, v int, seq int")
+    writers.upsert(spark.read.parquet(path), new, ["k"], path, "seq")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1, 0), ("b", 9, 1), ("c", 10, 3)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_cache_stream_keeps_to_touched_buckets(spark, tmp_path):
+    log, table = tmp_path / "log", tmp_path / "table"
+    log.mkdir()
+    want = {}
+    for batch in range(4):
+        rows = [{"seq": 10 * batch + k, "map_num": "45", "parcel_id": k + batch % 2, "raw": f"{batch}-{k}"} for k in range(3)]
+        (log / f"{batch}.json").write_text("\n".join(map(json.dumps, rows)))
+        want |= {r["parcel_id"]: r["raw"] for r in rows}
+        got = cache.run_cache_stream(spark, str(log), str(table), str(tmp_path / "ck"), buckets=8)
+        assert {r.parcel_id: r.raw for r in got.collect()} == want
+    assert max(len(v) for v in cache._versions(spark, str(table)).values()) <= 2
