@@ -84,9 +84,14 @@ def link_fingerprints(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
         by_node = np.argsort(node, kind="stable")
         rank = np.empty_like(by_node)
         rank[by_node] = np.arange(len(node))
-        parent = np.arange(len(node))
-        for i, j in pairs():
-            merge_links(parent, rank[i], rank[j + (0 if b is None else len(a["node"]))])
+        parent, n = np.arange(len(node)), len(a["node"])
+
+        def roots():
+            found = _roots(parent, rank)
+            return found[:n], found if b is None else found[n:]
+
+        for i, j in pairs(roots):
+            merge_links(parent, rank[i], rank[j + (0 if b is None else n)])
         root = _roots(parent, np.arange(len(node)))
         child = np.flatnonzero(root != np.arange(len(node)))
         named = node[by_node]

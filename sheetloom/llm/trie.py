@@ -52,11 +52,17 @@ def _products(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) ->
         start = stop
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, share: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _changes(root: np.ndarray) -> np.ndarray:
+    """A range of leaves has one root if this is equal at its ends."""
+    return np.concatenate([[0], np.cumsum(root[1:] != root[:-1])]) if len(root) else np.zeros(0, np.int64)
+
+
+def trie_links(a: np.ndarray, b: np.ndarray | None, share: list[int], roots: Callable[[], tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Yield arrays (i, j) with a[i] and b[j] (or a[j], i < j) at ``share[BITS]`` differing bits or fewer.
 
     All such pairs that keep to ``share`` at every depth are among them, each once. ``a`` and ``b`` are sorted uint64 arrays: the
-    leaves of two tries. A node is a range of leaves.
+    leaves of two tries. A node is a range of leaves. Where only components matter, ``roots`` tells the roots of the leaves so far: pairs of
+    nodes that are whole in one component are dropped, so a dense group costs little more than the links that join it.
     """
     same, b = b is None, a if b is None else b
     one = np.ones(1, np.int64)
@@ -68,6 +74,15 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, share: list[int]) -> Iterato
             stack.append((depth, *(x[half:] for x in (al, ah, bl, bh, diff))))
             stack.append((depth, *(x[:half] for x in (al, ah, bl, bh, diff))))
             continue
+        if roots is not None:
+            ra, rb = roots()
+            ca, cb = _changes(ra), _changes(rb)
+            joined = (ca[al] == ca[ah - 1]) & (cb[bl] == cb[bh - 1]) & (ra[al] == rb[bl])
+            joined &= (ah - al > 1) | (bh - bl > 1)  # a pair of leaves costs as much as to ask
+            if joined.any():
+                al, ah, bl, bh, diff = (x[~joined] for x in (al, ah, bl, bh, diff))
+                if not len(al):
+                    continue
         small = ((ah - al) * (bh - bl) <= LEAF) | (depth == BITS)
         if small.any():
             for i, j in _products(al[small], ah[small], bl[small], bh[small]):
@@ -202,7 +217,7 @@ def join_units(rows: DataFrame, prints: int, budget: int, most: int, work: Calla
             order = np.argsort(part["fp"], kind="stable")
             sides.append({c: x[order] for c, x in part.items()})
         a, b = sides[0], sides[1] if second.any() else None
-        return work(a, b, lambda: trie_links(a["fp"], None if b is None else b["fp"], share))
+        return work(a, b, lambda roots=None: trie_links(a["fp"], None if b is None else b["fp"], share, roots))
 
     dealt = rows.select(*[f"fp{f}" for f in range(prints)], *others).mapInArrow(deal, "unit long, second boolean, fp long, " + ", ".join(f"{c} long" for c in others))
     return dealt.groupBy("unit").applyInArrow(run, schema)
