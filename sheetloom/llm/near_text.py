@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import boxed, discard, materialize, unboxed
+from .shared import boxed, discard, materialize, unboxed, unheld
 from .trie import join_units
 
 WORDS = 5
@@ -91,6 +91,7 @@ def _prints(docs: DataFrame) -> DataFrame:
     names = [f"fp{k}" for k in range(PRINTS)]
 
     def make(batches):
+        unheld()
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
@@ -187,6 +188,7 @@ def _of_sets(docs: DataFrame, texts: DataFrame, keys: DataFrame, made, columns:
     names = ["key", *(c.split()[0] for c in columns.split(", "))]
 
     def make(batches):
+        unheld()
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 sets = [shingle_set(t) for t in whole.column(0).slice(i, 256).to_pylist()]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import boxed, materialize, unboxed
+from .shared import boxed, materialize, unboxed, unheld
 
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
@@ -66,6 +66,7 @@ def with_stats(boxes: DataFrame) -> DataFrame:
     stats = [x.split()[0] for x in STATS.split(", ")]
 
     def measure(batches):
+        unheld()
         for b in batches:
             made = np.array([text_stats(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], np.int64).reshape(-1, len(stats))
             kept = [b.column(b.schema.get_field_index(c)) for c in names]

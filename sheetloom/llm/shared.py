@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shared import discard, fresh_path, materialize, release, shared_dir, tables
 
-__all__ = ["boxed", "discard", "fresh_path", "hash_share", "held", "materialize", "release", "shared_dir", "shuffle_width", "tables", "unboxed"]
+__all__ = ["boxed", "discard", "fresh_path", "hash_share", "held", "materialize", "release", "shared_dir", "shuffle_width", "tables", "unboxed", "unheld"]
 
 _held: dict[tuple, object] = {}
 
@@ -50,3 +50,11 @@ def held(key: tuple, make: Callable[[], object]) -> object:
         pa.default_memory_pool().release_unused()
         _held[key] = make()
     return _held[key]
+
+
+def unheld() -> None:
+    """Let go of what this worker keeps, where an operator needs none of it."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
