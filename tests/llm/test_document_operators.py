@@ -55,6 +55,31 @@ def test_trie_self_join_finds_all_links(budget):
     assert sum(len(i) for i, _ in trie.trie_links(same, None, trie.shares(budget))) == 50 * 49 // 2
 
 
+def test_dense_groups_cost_few_pairs(monkeypatch):
+    """Components are the same with and without the pruning by components, and a dense group gives far fewer pairs than it has."""
+    monkeypatch.setattr(trie, "FRONTIER", 64)
+    monkeypatch.setattr(trie, "PAIRS", 256)
+    rng = np.random.default_rng(9)
+    centre = int(rng.integers(0, 1 << 63))
+    crowd = {centre ^ (1 << int(x)) ^ (1 << int(y)) for x, y in rng.integers(0, 64, (900, 2))} | {centre}
+    a = np.array(sorted(crowd | {int(v) for v in rng.integers(0, 1 << 63, 300)}), np.uint64)
+
+    def components_of(prune):
+        parent, count = np.arange(len(a)), 0
+
+        def roots():
+            found = simhash._roots(parent, np.arange(len(a)))
+            return found, found
+
+        for i, j in trie.trie_links(a, None, [3] * 65, roots if prune else None):
+            count += len(i)
+            simhash.merge_links(parent, i, j)
+        return simhash._roots(parent, np.arange(len(a))).tolist(), count
+
+    (want, every), (got, few) = components_of(False), components_of(True)
+    assert got == want and few < every / 3
+
+
 def test_fingerprints_link_across_all_units(spark, monkeypatch):
     """Small trie nodes, so that links run between units of different depth."""
     monkeypatch.setattr(simhash, "NODE_LEAST", 8)
