@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _r, _t, query
 from .functions import geometry as G
-from .operators import filters, fitting, joins, matching, ranks, raster
+from .operators import attention, filters, fitting, joins, keypoints, matching, ranks, raster
 from .shared import fresh_path
 from .sources import readers, writers
 from .streaming import cache
@@ -292,6 +292,33 @@ def view_transforms(spark, d):
     return p.select("p_partkey", F.col("w.x").alias("wx"), F.col("w.y").alias("wy"), _r(back["x"], "cx"), _r(back["y"], "cy"))
 
 
+def _blob(k: int) -> np.ndarray:
+    y, x = np.mgrid[: 60 + k, : 70 + k]
+    return np.clip(np.rint(255 - 200 * np.exp(-((y - 25 - k) ** 2 + (x - 40 + k) ** 2) / (2 * (3 + k % 3) ** 2))), 0, 255).astype(np.uint8)
+
+
+@query("SELECT n_nationkey::VARCHAR AS map_num, (40 - n_nationkey)::INT AS x, (25 + n_nationkey)::INT AS y, true AS sized FROM nation")
+def strongest_keypoints(spark, d):
+    """The strongest keypoint of a sheet with one blob lies on it and is about as large."""
+    found = keypoints.detect(_drawn(spark, d, _blob), 1)
+    spread = 3 + F.col("map_num").cast("int") % 3
+    return found.select("map_num", F.round("x").cast("int").alias("x"), F.round("y").cast("int").alias("y"), (F.col("size") / (2 * spread)).between(0.6, 1.4).alias("sized"))
+
+
+@query("SELECT (n_regionkey || '_' || n_regionkey || 'x') AS pair, n_nationkey AS a, n_nationkey AS b FROM nation")
+def attentional_self_matches(spark, d):
+    """Graphs matched with copies of themselves: each node finds itself, whatever the weights."""
+    n = _t(spark, d, "nation")
+    k = F.col("n_nationkey")
+    nodes = n.select(F.col("n_regionkey").cast("string").alias("map_num"), k.alias("id"), F.array((k % 7 / 7).cast("double"), (k * k % 11 / 11).cast("double"), (k / 25).cast("double")).alias("x"))
+    a, b = nodes.select("map_num", F.col("id").alias("src")), nodes.select("map_num", F.col("id").alias("dst"))
+    edges = a.join(b, "map_num").where("src <> dst and (src + dst) % 3 <> 0")
+    copy = lambda t: t.unionAll(t.withColumn("map_num", F.concat("map_num", F.lit("x"))))
+    pairs = nodes.select(F.col("map_num").alias("map_a"), F.concat("map_num", F.lit("x")).alias("map_b")).distinct()
+    scores = attention.attentional_scores(copy(nodes), copy(edges), pairs, attention.initial_weights(3, 16, 2, 4))
+    return matching.soft_match(scores, least=0.0).select("pair", "a", "b")
+
+
 # detections, candidates, matches
 
 
