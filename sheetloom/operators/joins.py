@@ -232,13 +232,22 @@ def flag_members(df: DataFrame, members: DataFrame, keys: list[str], name: str)
 
 
 def triangles(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Node and two of its neighbours that are linked themselves: keys, node, u, v with u before v. ``edges``: src, dst, each once."""
+    """Node and two of its neighbours that are linked themselves: keys, node, u, v with u before v. ``edges``: src, dst, each once.
+
+    Links lead from the end with fewer links to the other, so a node linked to all others makes no more pairs of its neighbours
+    than there are links among better connected ones.
+    """
     keys = keys or []
-    canon = edges.select(*keys, F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-    both = canon.select(*keys, F.col("u").alias("node"), F.col("v").alias("other")).unionAll(canon.select(*keys, F.col("v").alias("node"), F.col("u").alias("other")))
-    one = both.withColumnRenamed("other", "u")
-    two = both.withColumnRenamed("other", "v")
-    return canon.join(one, [*keys, "u"]).join(two, [*keys, "node", "v"]).select(*keys, "node", "u", "v")
+    canon = edges.select(*keys, F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).where("u <> v").distinct()
+    degree = canon.select(*keys, F.explode(F.array("u", "v")).alias("node")).groupBy(*keys, "node").agg(F.count("*").alias("n"))
+    ends = canon.join(degree.select(*keys, F.col("node").alias("u"), F.col("n").alias("_nu")), [*keys, "u"]).join(degree.select(*keys, F.col("node").alias("v"), F.col("n").alias("_nv")), [*keys, "v"])
+    at_u, at_v = F.struct(F.col("_nu").alias("n"), F.col("u").alias("id")), F.struct(F.col("_nv").alias("n"), F.col("v").alias("id"))
+    led = materialize(ends.select(*keys, F.least(at_u, at_v).alias("low"), F.greatest(at_u, at_v).alias("high")), "led-edges")
+    one, two = led.select(*keys, "low", F.col("high").alias("p")), led.select(*keys, "low", F.col("high").alias("q"))
+    closed = one.join(two, [*keys, "low"]).where("p < q").join(led.select(*keys, F.col("low").alias("p"), F.col("high").alias("q")), [*keys, "p", "q"])
+    corners = closed.select(*keys, F.array_sort(F.array("low.id", "p.id", "q.id")).alias("t"))
+    each = F.array(*[F.struct(F.col("t")[i].alias("node"), F.col("t")[j].alias("u"), F.col("t")[k].alias("v")) for i, j, k in ((0, 1, 2), (1, 0, 2), (2, 0, 1))])
+    return corners.select(*keys, F.inline(each))
 
 
 def missing_from(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

@@ -391,3 +391,12 @@ def test_percentiles_of_all_signs(spark):
     got = {r.k: r for r in aggregates.percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
     for k, v in values.items():
         assert [got[k][f"p{p}"] for p in (10, 25, 50, 75, 90)] == pytest.approx(np.percentile(v, [10, 25, 50, 75, 90]).tolist())
+
+
+def test_triangles(spark):
+    """A hub linked to all others, a dense part, and parallel keys, against all triples."""
+    rng = np.random.default_rng(13)
+    links = {("m", 0, k) for k in range(1, 40)} | {("m", *sorted(p)) for p in rng.integers(1, 15, (60, 2)).tolist() if p[0] != p[1]} | {("n", 1, 2), ("n", 2, 3)}
+    got = joins.triangles(spark.createDataFrame([(k, b, a) if a % 2 else (k, a, b) for k, a, b in links], "k string, src int, dst int"), ["k"]).collect()
+    want = sorted((k, c, a, b) for k, a, b in links for c in range(40) if (k, *sorted((a, c))) in links and (k, *sorted((b, c))) in links)
+    assert sorted(tuple(r) for r in got) == want and want
