@@ -895,7 +895,8 @@ def soft_matches(spark, d):
     return matching.soft_match(matching.embedding_scores(one(0), one(1), ["pair"]))
 
 
-@query()
+# the wrong rows mirror the points, so they lie at least 3.5 pixels off the right transform and no turn and shift fits more of them
+@query("""SELECT (l_suppkey % 50)::VARCHAR AS pair, count(*) AS n, count(*) FILTER (l_linenumber <= 4) AS n_inliers, 10.0::DOUBLE AS dx, (-5.0)::DOUBLE AS dy FROM lineitem GROUP BY 1""")
 def robust_fits(spark, d):
     k = F.col("l_linenumber")
     p = _t(spark, d, "lineitem").select((F.col("l_suppkey") % 50).cast("string").alias("pair"), (F.col("l_partkey") % 997).cast("double").alias("cx_b"), (F.col("l_orderkey") % 991).cast("double").alias("cy_b"), k)
