@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .catalog import _r, _t, query
 from .functions import geometry as G
-from .operators import attention, filters, fitting, joins, keypoints, matching, ranks, raster
+from .operators import attention, filters, fitting, joins, keypoints, matching, models, ranks, raster
+from .plans.preparation import training_splits
 from .shared import fresh_path
 from .sources import readers, writers
 from .streaming import cache
@@ -292,6 +293,70 @@ def view_transforms(spark, d):
     return p.select("p_partkey", F.col("w.x").alias("wx"), F.col("w.y").alias("wy"), _r(back["x"], "cx"), _r(back["y"], "cy"))
 
 
+@query(f"""WITH {_PX}, n AS (SELECT k, v AS i, count(*)::DOUBLE AS n, any_value(h * w) AS size FROM px GROUP BY k, v), bins AS (SELECT q.k, r.i, q.size, greatest(1, 2.0::DOUBLE * q.size / 256) AS top, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT k, size FROM n) q CROSS JOIN range(256) AS r(i) LEFT JOIN n ON n.k = q.k AND n.i = r.i),
+o AS (SELECT k, sum(greatest(n - top, 0)) AS over_top FROM bins GROUP BY k), c AS (SELECT bins.k, i, 255 * sum(least(n, top) + over_top / 256) OVER (PARTITION BY bins.k ORDER BY i) / size AS t FROM bins JOIN o ON o.k = bins.k),
+f AS (SELECT px.k, y, x, least(255, round_even(t, 0))::INT AS v FROM px JOIN c ON c.k = px.k AND c.i = px.v) SELECT {_DIGEST} FROM f GROUP BY k""")
+def equalised_images(spark, d):
+    """Contrast-limited equalisation over one tile."""
+    return _digest(raster.transformed(_drawn(spark, d, _gray), lambda a: raster.equalize_tiles(a, 2.0, 1)))
+
+
+def _page(k: int) -> np.ndarray:
+    y, x = np.mgrid[:90, :100]
+    inside = (y >= 5 + k % 4) & (y <= 80) & (x >= 8) & (x <= 70 + k)
+    return np.where(inside, 200 + (x * 3 + y * 5) % 40, 20).astype(np.uint8)
+
+
+@query(f"""WITH px AS (SELECT n_nationkey AS k, y - 5 - n_nationkey % 4 AS y, x - 8 AS x, (200 + (x * 3 + y * 5) % 40)::INT AS v FROM nation, range(90) AS r(y), range(100) AS c(x) WHERE y >= 5 + n_nationkey % 4 AND y <= 80 AND x >= 8 AND x <= 70 + n_nationkey) SELECT {_DIGEST} FROM px GROUP BY k""")
+def rectified_sheets(spark, d):
+    """Sheets on a dark ground, drawn out to their own outline."""
+    return _digest(raster.transformed(_drawn(spark, d, _page), raster.correct_perspective))
+
+
+@query("SELECT n_nationkey::VARCHAR AS map_num, 4::INT AS corners, 8::INT AS x0, (70 + n_nationkey)::INT AS x1, (5 + n_nationkey % 4)::INT AS y0, 80::INT AS y1 FROM nation")
+def mask_polygons(spark, d):
+    """Outlines of masks, simplified to their corners."""
+
+    def corners(m, a):
+        p = raster.mask_polygon(a > 100)
+        xs, ys = zip(*p, strict=True)
+        return [(m, len(p), min(xs), max(xs), min(ys), max(ys))]
+
+    return raster.map_images(_drawn(spark, d, _page), corners, "map_num string, corners int, x0 int, x1 int, y0 int, y1 int")
+
+
+@query(f"WITH {_PX}, f AS (SELECT k, y, w - 1 - x AS x, v FROM px) SELECT {_DIGEST}, (max(x) - 5)::INT AS label_x FROM f GROUP BY k")
+def mirrored_crops(spark, d):
+    """Crops and their labels mirrored together."""
+    images = _drawn(spark, d, _gray)
+    labels = raster.map_images(images, lambda m, a: [(m, raster.flip_with_labels(a, [[(5, 4)]])[1][0][0][0])], "map_num string, label_x int")
+    return _digest(raster.transformed(images, lambda a: raster.flip_with_labels(a, [])[0])).join(labels, "map_num")
+
+
+@query("""SELECT split, n_nationkey::VARCHAR AS map_num, n::BIGINT AS n, true AS whole FROM nation, (VALUES ('train', 3), ('val', 2)) AS s(split, n) WHERE n_nationkey < 6""")
+def training_crop_splits(spark, d):
+    """Seeded crops by split, each with two whole parcels at least and its own id."""
+    images = _drawn(spark, d, lambda k: np.pad(_gray(k), ((0, 150), (0, 150)), mode="wrap")).where("cast(map_num as int) < 6")
+    spot = lambda i: F.array(*[F.struct((F.lit(9 * i + x)).alias("x"), (F.lit(9 * i + y)).alias("y")) for x, y in ((0, 0), (4, 0), (4, 4), (0, 4))])
+    parcels = images.select("map_num", F.explode(F.array(*[spot(i) for i in range(20)])).alias("polygon"))
+    made = training_splits(images, parcels, {"train": 3, "val": 2}, 120)
+    within = F.forall(F.flatten("polygons"), lambda p: p["x"].between(0, 119) & p["y"].between(0, 119))
+    per = made.groupBy("split", "map_num").agg(F.countDistinct("id").alias("n"), F.min((F.col("n_parcels") >= 2) & (F.length("data") == 120 * 120) & within).alias("whole"))
+    return per
+
+
+@query("SELECT n_nationkey::VARCHAR AS map_num, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 4 END::INT AS skew FROM nation")
+def detected_skews(spark, d):
+    """The skew of ruled sheets, to a degree."""
+
+    def draw(k):
+        y, x = np.mgrid[:160, :200]
+        line = y + 3 * k - (0.0 if k % 3 == 0 else np.tan(np.radians(4.0))) * x
+        return np.where(line % 40 < 2, 0, 255).astype(np.uint8)
+
+    return raster.map_images(_drawn(spark, d, draw), lambda m, a: [(m, int(round(abs(raster.detect_skew(a)))))], "map_num string, skew int")
+
+
 def _blob(k: int) -> np.ndarray:
     y, x = np.mgrid[: 60 + k, : 70 + k]
     return np.clip(np.rint(255 - 200 * np.exp(-((y - 25 - k) ** 2 + (x - 40 + k) ** 2) / (2 * (3 + k % 3) ** 2))), 0, 255).astype(np.uint8)
@@ -319,6 +384,33 @@ def attentional_self_matches(spark, d):
     return matching.soft_match(scores, least=0.0).select("pair", "a", "b")
 
 
+@query("""SELECT s_nationkey::VARCHAR AS map_num, s_suppkey::INT AS parcel_id, CASE WHEN s_suppkey % 7 = 0 THEN 'SKIP_CROP' WHEN s_suppkey <> 3 THEN (2000 + s_suppkey % 1000)::VARCHAR END AS raw,
+ CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey <> 3 THEN (2000 + s_suppkey % 1000)::INT END AS number, CASE WHEN s_suppkey = 3 THEN 'ValueError: no crop' END AS error FROM supplier WHERE s_suppkey % 4 <> 0""")
+def recognised_crops(spark, d):
+    """A stand-in recogniser over crops without a cached record: empty crops are skipped, and a call that always fails is recorded after its retries."""
+
+    def load():
+        def read(data):
+            if data == b"2003":
+                raise ValueError("no crop")
+            return data.decode(), 0.9
+
+        return read
+
+    k = F.col("s_suppkey")
+    crops = _t(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("map_num"), k.cast("int").alias("parcel_id"), F.when(k % 7 != 0, F.when(k == 3, "2003").otherwise((2000 + k % 1000).cast("string"))).cast("binary").alias("data"))
+    read = models.recognise(crops, load, crops.where("parcel_id % 4 = 0"), "stand-in")
+    return read.select("map_num", "parcel_id", "raw", F.col("number").cast("int").alias("number"), "error")
+
+
+@query("""WITH s AS (SELECT p_brand AS pair, p_partkey AS a, p_size AS b, (p_partkey % 100) / 100.0::DOUBLE AS score FROM part) SELECT pair, round(avg(-ln(greatest(score, 1e-9))), 6) AS loss, count(*) AS n FROM s WHERE a % 3 = 0 GROUP BY pair""")
+def matching_losses(spark, d):
+    """Mean negative log probability of known matches."""
+    k = F.col("p_partkey")
+    scores = _t(spark, d, "part").select(F.col("p_brand").alias("pair"), k.alias("a"), F.col("p_size").alias("b"), (k % 100 / 100).alias("score"))
+    return models.assignment_loss(scores, scores.where("a % 3 = 0").select("pair", "a", "b"), ["pair"]).select("pair", _r("loss", "loss"), "n")
+
+
 # detections, candidates, matches
 
 
