@@ -211,6 +211,23 @@ def annotated_set(spark, d):
     return each.select("id", "file_name", F.size("a").cast("long").alias("n"), F.col("a")[0]["id"].alias("first_id"), (total > 0).alias("positive"))
 
 
+@query("""SELECT (CASE WHEN n_regionkey < 3 THEN 'train' ELSE 'val' END) AS split, n_nationkey AS id, n_name AS file_name, count(s_suppkey) AS n, coalesce(sum(s_suppkey), 0)::BIGINT AS total
+ FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey < 3 GROUP BY ALL""")
+def annotated_tables(spark, d):
+    """The training split of an annotated set kept as tables."""
+    n, s = _t(spark, d, "nation"), _t(spark, d, "supplier")
+    split = F.when(F.col("n_regionkey") < 3, "train").otherwise("val").alias("split")
+    images = n.select(split, F.col("n_nationkey").alias("id"), F.col("n_name").alias("file_name"))
+    annotations = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        split, F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("image_id"), F.lit(1).alias("category_id"), F.array(F.array(F.lit(0.0))).alias("segmentation"), F.lit(1.0).alias("area"), F.array(F.lit(1)).alias("bbox"), F.lit(0).alias("iscrowd")
+    )
+    path = fresh_path(spark, "annotated-tables")
+    writers.write_annotated(images, annotations, path)
+    grouped = readers.grouped_annotations(*readers.annotated(spark, path, "train"))
+    total = F.aggregate("annotations", F.lit(0).cast("long"), lambda t, x: t + x["id"])
+    return grouped.select("split", "id", "file_name", F.size("annotations").cast("long").alias("n"), total.alias("total"))
+
+
 @query("""SELECT n_regionkey AS root, array_to_string(list_sort(list(n_name)), ',') AS maps, (100 * max(n_nationkey) - 10 * min(n_nationkey))::INT AS width, (max(n_nationkey) + 5)::INT AS height FROM nation GROUP BY n_regionkey""")
 def canvas_manifest(spark, d):
     n, k = _t(spark, d, "nation"), F.col("n_nationkey")

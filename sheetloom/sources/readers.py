@@ -199,6 +199,12 @@ def coco(spark: SparkSession, path: str, split: str) -> tuple[DataFrame, DataFra
     return part("images"), part("annotations")
 
 
+def annotated(spark: SparkSession, path: str, split: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(images, annotations) of a set kept as tables, of one split or all; readers of a split touch its files only."""
+    both = tuple(spark.read.parquet(f"{path}/{n}") for n in ("images", "annotations"))
+    return both if split is None else tuple(t.where(F.col("split") == split) for t in both)
+
+
 def grouped_annotations(images: DataFrame, annotations: DataFrame) -> DataFrame:
     """Each image with its annotations in order; images without any keep an empty list."""
     listed = annotations.groupBy("split", "image_id").agg(F.array_sort(F.collect_list(F.struct("id", "category_id", "segmentation", "area", "bbox", "iscrowd"))).alias("annotations"))

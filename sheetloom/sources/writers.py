@@ -105,6 +105,12 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: Column)
     return met.select("split", F.to_json(F.struct("images", F.coalesce("annotations", F.array()).alias("annotations"), "categories")).alias("document"))
 
 
+def write_annotated(images: DataFrame, annotations: DataFrame, path: str) -> None:
+    """An annotated set as two tables by split, for sets too large for one document; :func:`coco_document` is for exchange."""
+    images.write.mode("overwrite").partitionBy("split").parquet(f"{path}/images")
+    annotations.write.mode("overwrite").partitionBy("split").parquet(f"{path}/annotations")
+
+
 def png(height: int, width: int, channels: int, data: bytes) -> bytes:
     """A PNG file of gray or blue-green-red bytes."""
     import numpy as np
