@@ -888,11 +888,18 @@ def shape_assignment(spark, d):
     return matching.assign_pairs(c, 1e5)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+m AS (SELECT a.label::VARCHAR AS pair, a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) / 0.1 AS s FROM e a JOIN e b ON b.label = a.label + 1),
+z AS MATERIALIZED (SELECT * FROM m UNION ALL SELECT DISTINCT pair, -1, b, 1.0 FROM m UNION ALL SELECT DISTINCT pair, a, -1, 1.0 FROM m UNION ALL SELECT DISTINCT pair, -1, -1, 1.0 FROM m),
+it AS (SELECT DISTINCT 0 AS step, pair, b, 0.0::DOUBLE AS v FROM z
+ UNION ALL SELECT step + 1, pair, b, -ln(sum(exp(s + u))) FROM (SELECT step, z.pair, a, z.b, s, -ln(sum(exp(s + v)) OVER (PARTITION BY z.pair, a)) AS u FROM it JOIN z ON z.pair = it.pair AND z.b = it.b WHERE step < 100) GROUP BY step, pair, b),
+u AS (SELECT z.pair, a, -ln(sum(exp(s + v))) AS u FROM it JOIN z ON z.pair = it.pair AND z.b = it.b WHERE step = 99 GROUP BY z.pair, a),
+p AS (SELECT z.pair, z.a, z.b, exp(s + u + v) AS score, row_number() OVER (PARTITION BY z.pair, z.a ORDER BY s + u + v DESC, z.b) AS k FROM z JOIN u ON u.pair = z.pair AND u.a = z.a JOIN it ON it.pair = z.pair AND it.b = z.b AND step = 100 WHERE z.a >= 0 AND z.b >= 0)
+SELECT pair, a, b, round(score, 6) AS score FROM p WHERE k = 1 AND score >= 0.2""")
 def soft_matches(spark, d):
     e = _t(spark, d, "embeddings")
     one = lambda k: e.select((F.col("label") - k).alias("pair"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec")).withColumn("pair", F.col("pair").cast("string"))
-    return matching.soft_match(matching.embedding_scores(one(0), one(1), ["pair"]))
+    return matching.soft_match(matching.embedding_scores(one(0), one(1), ["pair"])).select("pair", "a", "b", _r("score", "score"))
 
 
 # the wrong rows mirror the points, so they lie at least 3.5 pixels off the right transform and no turn and shift fits more of them
