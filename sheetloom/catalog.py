@@ -912,9 +912,14 @@ def robust_fits(spark, d):
     return fits.select("pair", "n", "n_inliers", _r(F.col("h")[2], "dx"), _r(F.col("h")[5], "dy"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_POINTS}, g AS MATERIALIZED (SELECT map_num, list({{'s': src, 't': dst, 'd': distance}}) AS alive FROM e GROUP BY map_num),
+n AS MATERIALIZED (SELECT map_num, node, row_number() OVER (PARTITION BY map_num ORDER BY node) AS k FROM (SELECT map_num, src AS node FROM e UNION SELECT map_num, dst FROM e)),
+it AS (SELECT map_num, 0::BIGINT AS k, alive FROM g
+ UNION ALL SELECT map_num, k, list_filter(alive, lambda x: third IS NULL OR (x.s <> node AND x.t <> node) OR x.d < third.d OR (x.d = third.d AND x.s + x.t - node <= third.o))
+ FROM (SELECT it.map_num, n.k, node, alive, list_sort(list_transform(list_filter(alive, lambda x: x.s = node OR x.t = node), lambda x: {{'d': x.d, 'o': x.s + x.t - node}}))[3] AS third FROM it JOIN n ON n.map_num = it.map_num AND n.k = it.k + 1)),
+f AS (SELECT map_num, unnest(alive) AS x FROM it WHERE (map_num, k) IN (SELECT map_num, max(k) FROM n GROUP BY map_num)) SELECT map_num, x.s AS src, x.t AS dst, round(x.d, 6) AS distance FROM f""")
 def sequential_prune(spark, d):
-    return graph.prune_neighbours(_edges(spark, d), 3)
+    return graph.prune_neighbours(_edges(spark, d), 3).select("map_num", "src", "dst", _r("distance", "distance"))
 
 
 @query()
