@@ -51,7 +51,7 @@ def test_crowds_and_short_texts(spark, monkeypatch):
     assert sorted(got) == sorted(least_of_groups((i, t or "") for i, t in enumerate(texts)))
 
 
-@pytest.mark.parametrize("changed", [0.0, 0.01, 0.02, 0.03])
+@pytest.mark.parametrize("changed", [0.01, 0.03])
 def test_recall_of_near_copies(spark, changed):
     """Of planted pairs with a similarity of four fifths nine in ten are linked, and none of less."""
     rng = np.random.default_rng(int(1000 * changed) + 1)
