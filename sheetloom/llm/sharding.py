@@ -16,6 +16,7 @@ from .shared import materialize, shuffle_width
 SHARDS = 24
 TOLERANCE = 0.01
 FIRST_BITS, MORE_BITS = 12, 8
+MOST_COUNTS = 1 << 18  # that a round brings to the driver
 LEAST, END = -(1 << 63), (1 << 63) - 1
 
 
@@ -34,7 +35,8 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]], id_bits:
     """A key for each (target bytes, tolerance): rows below it hold the target's bytes, within the tolerance.
 
     Where equal keys alone make up more, the nearer end is taken. ``keys`` has h, d (below 2**id_bits) and size.
-    Each round brings at most 2**MORE_BITS counts for each target to the driver.
+    Each round brings at most 2**MORE_BITS counts for each target to the driver, and ``MOST_COUNTS`` in all (two for each target at least):
+    with many targets the rounds take smaller steps.
     """
     found: list[tuple[int, int]] = [(LEAST, 0)] * len(targets)  # of an empty table, the first key will do
     # of each target in question: hash prefix, its bits, id prefix, its bits, bytes before this bin
@@ -45,6 +47,7 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]], id_bits:
         h_bits, d_bits = level
         by_id = h_bits == 64
         step = min(MORE_BITS, id_bits - d_bits) if by_id else min(MORE_BITS if h_bits else FIRST_BITS, 64 - h_bits)
+        step = max(1, min(step, (MOST_COUNTS // len({(v[0], v[2]) for v in now.values()})).bit_length() - 1))
         shift = id_bits - d_bits - step if by_id else 64 - h_bits - step
         p = _prefix("h", 64, h_bits)
         q = _prefix("d", id_bits, d_bits)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from brute import best_fit_bins
 from tokenizers import Tokenizer
 
@@ -146,6 +147,18 @@ def test_sharding(table, request):
         assert all(abs(n - ideal) <= largest + 2 * sharding.TOLERANCE * ideal for n in sizes.values())
 
 
+def test_splitters_by_small_steps(spark, monkeypatch):
+    """Where a round may bring few counts only, it takes more rounds and finds the same splitters' tolerance."""
+    rows = [(i, f"text {i * 7919 % 3000} " * (i % 9 + 1)) for i in range(3000)]
+    keys = sharding.sort_keys(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("d", F.col("doc_id")).cache()
+    total = sum(r["size"] for r in keys.select("size").collect())
+    targets = [(total * k / 8, total / 800) for k in range(1, 8)]
+    monkeypatch.setattr(sharding, "MOST_COUNTS", 16)
+    ordered = sorted((r.h, r.d, r["size"]) for r in keys.collect())
+    for (target, slack), (h, d) in zip(targets, sharding.find_splitters(keys, targets, 12), strict=True):
+        assert abs(sum(n for a, b, n in ordered if (a, b) < (h, d)) - target) <= slack + max(n for _, _, n in ordered)
+
+
 def test_sharding_splits_a_hot_group(spark):
     """A third of all rows has one text: the group is split, the sizes stay equal."""
     rows = [(i, "hot text" if i % 3 == 0 else f"text {i} " * (i % 5 + 1)) for i in range(6000)]
