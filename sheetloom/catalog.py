@@ -15,7 +15,7 @@ from . import dimensions
 from .functions import geometry as G
 from .functions import text as X
 from .operators import aggregates, filters, fitting, graph, joins, matching, raster, ranks, sets, signal
-from .shared import broadcast_if_small
+from .shared import broadcast_if_small, materialize
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
@@ -70,7 +70,7 @@ def _label_pairs(spark, d) -> DataFrame:
 
 
 def _shape_costs(spark, d) -> DataFrame:
-    e, pairs = _shapes(spark, d), broadcast_if_small(_label_pairs(spark, d))
+    e, pairs = _shapes(spark, d), broadcast_if_small(materialize(_label_pairs(spark, d), "label-pairs"))
     side = lambda s: e.join(pairs, F.col("label") == F.col(f"map_{s}")).drop("label")
     costs = joins.signature_costs(side("a").select("map_a", "map_b", "parcel_id", "area", "signature"), side("b").select("map_a", "map_b", "parcel_id", "area", "signature"), ["map_a", "map_b"])
     return costs.select(F.col("map_a").alias("label_a"), F.col("map_b").alias("label_b"), F.col("a.parcel_id").alias("vec_a"), F.col("b.parcel_id").alias("vec_b"), "cost")
@@ -91,7 +91,8 @@ def shape_topk_candidates(spark, d):
 
 @query(f"WITH {_COSTS} SELECT label_a, label_b, " + ", ".join(f"round(quantile_cont(cost, {p / 100}), 6) AS p{p}" for p in (10, 25, 50, 75, 90)) + " FROM c GROUP BY ALL")
 def shape_cost_percentiles(spark, d):
-    p = aggregates.percentiles(_shape_costs(spark, d), ["label_a", "label_b"], "cost")
+    largest = _t(spark, d, "embeddings").groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    p = aggregates.percentiles(_shape_costs(spark, d), ["label_a", "label_b"], "cost", bound=largest * largest)
     return p.select("label_a", "label_b", *[_r(f"p{k}", f"p{k}") for k in (10, 25, 50, 75, 90)])
 
 

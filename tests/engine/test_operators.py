@@ -384,7 +384,9 @@ def test_nearest_and_clicked_parcels(spark):
     assert len(hit) == len(want)
 
 
-def test_percentiles_of_all_signs(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_percentiles_of_all_signs(spark, monkeypatch, most):
+    monkeypatch.setattr(aggregates, "GROUP_MOST", most)
     rng = np.random.default_rng(12)
     values = {"a": np.r_[rng.normal(0, 1e6, 300), np.zeros(50), [1e-9, -1e-9]], "b": np.array([3.0]), "c": np.repeat([-2.0, 7.0], 5), None: np.array([1.0, 2.0])}
     rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("a", float("nan"))]
