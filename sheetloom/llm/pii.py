@@ -39,7 +39,7 @@ FURTHER = {
     "phone": r"(?<![0-9A-Za-z+().-])(?<![0-9]\x20)(?:(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}|00[1-9][0-9]{0,2}[.\x20-][0-9]{2,4}(?:[.\x20-]?[0-9]{2,4}){2,3})(?![0-9A-Za-z-])(?!\x20[0-9])",
     "secret": r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/=-]{0,127}[0-9])(?=[0-9_+/=-]{0,127}[A-Za-z])[A-Za-z0-9_+/=-]{20,128}+(?![A-Za-z0-9_+/=@-])",
 }
-#: What a text needs for any match; cheaper than the pattern.
+#: What a text with digits needs for any match; cheaper than the pattern. Mails alone can do without digits, but not without an @ or a bracket.
 NEEDS = {
     "email": ("@", r"[(\[](?:at|AT)[)\]]"), "ip": (r"[0-9]\.[0-9]", r"[0-9A-Fa-f]:[0-9A-Fa-f:]"), "card": (r"[0-9](?:[\x20-]?[0-9]){14}", r"[0-9](?:[\x20-]?[0-9]){14}"),
     "phone": (r"\+[0-9]", r"[0-9]{3}\)?[.\x20-][0-9]{3}[.\x20-][0-9]{4}|00[1-9][0-9]{0,2}[.\x20-]"), "secret": ("", r"[A-Za-z0-9_+/=-]{20}"),
@@ -213,8 +213,11 @@ def with_spans(rows: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
     jobs = [(k, further, (FURTHER if further else BASE)[k], NEEDS[k][further]) for further in (False, True) for k in (KINDS if further else BASE_KINDS)]
+    rows = rows.withColumn("_digits", t.rlike("[0-9]"))
+    bracket = t.contains("[") | t.contains("(")
+    may = lambda kind, further, need: (bracket & t.rlike(need) if further else t.contains("@")) if kind == "email" else F.col("_digits") & t.rlike(need)
     found = rows.select("*", *[
-        F.when(t.rlike(need), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none).alias(f"_m{i}") for i, (_, _, p, need) in enumerate(jobs)
+        F.when(may(k, further, need), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none).alias(f"_m{i}") for i, (k, further, p, need) in enumerate(jobs)
     ])
     gaps = found.select("*", *[F.when(F.size(f"_m{i}") > 0, F.split(t, p, -1)).otherwise(none).alias(f"_g{i}") for i, (_, _, p, _) in enumerate(jobs)])
     starts = gaps.select("*", *[
@@ -223,8 +226,9 @@ def with_spans(rows: DataFrame, text: str = "text") -> DataFrame:
     ])
     spans = [_candidates(kind, further, *(F.col(f"_{c}{i}") for c in "mgs")) for i, (kind, further, _, _) in enumerate(jobs)]
     n = len(BASE_KINDS)
-    both = starts.select(*rows.columns, F.concat(*spans[:n]).alias("_base"), F.concat(*spans[n:]).alias("_further"))
-    return both.select(*rows.columns, F.when((F.size("_base") > 0) & (F.size("_further") > 0), _alone(F.concat("_base", "_further"))).otherwise(F.concat("_base", "_further")).alias("spans"))
+    kept = [c for c in rows.columns if c != "_digits"]
+    both = starts.select(*kept, F.concat(*spans[:n]).alias("_base"), F.concat(*spans[n:]).alias("_further"))
+    return both.select(*kept, F.when((F.size("_base") > 0) & (F.size("_further") > 0), _alone(F.concat("_base", "_further"))).otherwise(F.concat("_base", "_further")).alias("spans"))
 
 
 def _alone(spans: Column) -> Column:
