@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import dimensions
 from .functions import geometry as G
 from .functions import text as X
-from .operators import aggregates, filters, fitting, graph, joins, matching, raster, ranks, sets, signal
+from .operators import aggregates, filters, fitting, graph, joins, matching, nearest, raster, ranks, sets, signal
 from .shared import broadcast_if_small, materialize
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,13 +130,36 @@ def per_label_candidate_rank(spark, d):
 r AS (SELECT *, row_number() OVER w AS k, lead(d) OVER w AS d2 FROM q WINDOW w AS (PARTITION BY label_a, q_id ORDER BY d, t_id))
 SELECT label_a, label_b, q_id, t_id, round(d, 6) AS d1, round(d2, 6) AS d2 FROM r WHERE k = 1 AND d < 0.95 * d2""")
 def knn_ratio_test(spark, d):
+    m = joins.ratio_matches(*_descriptor_sides(spark, d), ["label_a", "label_b"], 0.95)
+    return m.select("label_a", "label_b", "q_id", "t_id", _r("d1", "d1"), _r("d2", "d2"))
+
+
+def _descriptor_sides(spark, d) -> tuple[DataFrame, DataFrame]:
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("kp_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("descriptor"))
     q = e.select(F.col("label").alias("label_a"), (F.col("label") + 1).alias("label_b"), "kp_id", "descriptor")
-    t = e.select((F.col("label") - 1).alias("label_a"), F.col("label").alias("label_b"), "kp_id", "descriptor")
-    m = joins.ratio_matches(q, t, ["label_a", "label_b"], 0.95)
+    return q, e.select((F.col("label") - 1).alias("label_a"), F.col("label").alias("label_b"), "kp_id", "descriptor")
+
+
+@query()
+def forest_matches(spark, d):
+    """Matches by a k-d forest; how many of the nearest rows it finds is measured in forest_recall."""
+    m = nearest.forest_matches(*_descriptor_sides(spark, d), ["label_a", "label_b"], 0.95, leaf=16)
     return m.select("label_a", "label_b", "q_id", "t_id", _r("d1", "d1"), _r("d2", "d2"))
 
 
+# the embeddings vary in all directions alike, which is the hardest case for any tree: many leaves are needed
+@query("""WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT a.label AS label_a, b.label AS label_b, a.n AS n_queries, true AS reached FROM n a JOIN n b ON b.label = a.label + 1 WHERE b.n >= 2""")
+def forest_recall(spark, d):
+    """Whether the forest finds nine of ten of the two nearest rows, of all queries against the exact join."""
+    q, t = _descriptor_sides(spark, d)
+    keys = ["label_a", "label_b"]
+    forest = nearest.fit_forest(t, keys, leaf=16)
+    probes = nearest.tuned_probes(q, t, forest, 0.96) or 1 << 20
+    r = nearest.recall(nearest.forest_nearest(q, forest, probes), joins.nearest_two(q, t, keys), keys)
+    return r.select(*keys, "n_queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query("""WITH x AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
 m AS (SELECT label, min(a) la, max(a) ha, min(b) lb, max(b) hb FROM x GROUP BY label)
 SELECT vec_id, x.label, round((a - la) / greatest(ha - la, 1e-8), 6) AS a, round((b - lb) / greatest(hb - lb, 1e-8), 6) AS b FROM x JOIN m USING (label)""")

@@ -195,8 +195,8 @@ def common_clicks(clicks_a: DataFrame, clicks_b: DataFrame) -> DataFrame:
     return side(clicks_a, "a").join(side(clicks_b, "b"), ["pair", "number"])
 
 
-def ratio_matches(queries: DataFrame, train: DataFrame, keys: list[str], ratio: float = 0.75, block: int = 2048) -> DataFrame:
-    """Two-nearest-neighbour matches of descriptors under the ratio test, exact.
+def nearest_two(queries: DataFrame, train: DataFrame, keys: list[str], block: int = 2048) -> DataFrame:
+    """keys, q_id and n, the two nearest train rows (d, t_id) of every query, exact.
 
     Train descriptors are gathered in blocks of about ``block`` rows within the keys; a query meets each block once and keeps its two nearest
     there, so what is shuffled is two rows a query and block.
@@ -206,9 +206,18 @@ def ratio_matches(queries: DataFrame, train: DataFrame, keys: list[str], ratio:
     blocks = blocks.groupBy(*keys, "_block").agg(F.collect_list(F.struct("kp_id", "descriptor")).alias("held"))
     met = queries.select(*keys, F.col("kp_id").alias("q_id"), F.col("descriptor").alias("q")).join(blocks, keys)
     near = F.slice(F.array_sort(F.transform("held", lambda t: F.struct(G.vector_distance(F.col("q"), t["descriptor"]).alias("d"), t["kp_id"].alias("t_id")))), 1, 2)
-    both = met.select(*keys, "q_id", F.explode(near).alias("n")).groupBy(*keys, "q_id").agg(F.slice(F.array_sort(F.collect_list("n")), 1, 2).alias("n"))
+    return met.select(*keys, "q_id", F.explode(near).alias("n")).groupBy(*keys, "q_id").agg(F.slice(F.array_sort(F.collect_list("n")), 1, 2).alias("n"))
+
+
+def passing_ratio(nearest: DataFrame, keys: list[str], ratio: float) -> DataFrame:
+    """Of each query's two nearest rows the nearest, if its distance is below ``ratio`` of the other's."""
     first, second = F.col("n")[0], F.get("n", F.lit(1))
-    return both.where(F.size("n") == 2).where(first["d"] < ratio * second["d"]).select(*keys, "q_id", first["t_id"].alias("t_id"), first["d"].alias("d1"), second["d"].alias("d2"))
+    return nearest.where(F.size("n") == 2).where(first["d"] < ratio * second["d"]).select(*keys, "q_id", first["t_id"].alias("t_id"), first["d"].alias("d1"), second["d"].alias("d2"))
+
+
+def ratio_matches(queries: DataFrame, train: DataFrame, keys: list[str], ratio: float = 0.75, block: int = 2048) -> DataFrame:
+    """Two-nearest-neighbour matches of descriptors under the ratio test, exact."""
+    return passing_ratio(nearest_two(queries, train, keys, block), keys, ratio)
 
 
 def validate_numbers(readings: DataFrame, ranges: DataFrame, tolerance: int = 50) -> DataFrame:
