@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import dimensions
 from .functions import geometry as G
 from .functions import text as X
-from .operators import aggregates, filters, fitting, graph, joins, matching, nearest, raster, ranks, sets, signal
+from .operators import aggregates, auction, filters, fitting, graph, joins, matching, nearest, raster, ranks, sets, signal
 from .shared import broadcast_if_small, materialize
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -912,6 +912,24 @@ def shape_assignment(spark, d):
     return matching.assign_pairs(c, 1e5)
 
 
+@query(f"WITH {_COSTS} SELECT concat_ws('_', label_a, label_b) AS pair, count(DISTINCT vec_a) AS n_a, count(DISTINCT vec_b) AS n_b, true AS one_to_one, true AS optimal FROM c GROUP BY 1")
+def auction_assignment(spark, d):
+    """The auction's pairs are one to one, and cost what the prices prove to be the least."""
+    c = materialize(_shape_costs(spark, d).select(F.concat_ws("_", "label_a", "label_b").alias("pair"), F.col("vec_a").alias("parcel_a"), F.col("vec_b").alias("parcel_b"), "cost"), "shape-costs")
+    found = auction.auction(c)
+    twice = lambda side: found.pairs.groupBy("pair", side).count().where("count > 1").select("pair")
+    sizes = c.groupBy("pair").agg(F.countDistinct("parcel_a").alias("n_a"), F.countDistinct("parcel_b").alias("n_b"))
+    proven = found.certificate().join(twice("parcel_a").unionAll(twice("parcel_b")).distinct().withColumn("twice", F.lit(True)), "pair", "left")
+    return sizes.join(proven, "pair").select("pair", "n_a", "n_b", (F.col("one_to_one") & F.col("twice").isNull()).alias("one_to_one"), "optimal")
+
+
+@query()
+def auction_pairs(spark, d):
+    """The same pairs as shape_assignment, without a dense matrix."""
+    c = _shape_costs(spark, d).select(F.concat_ws("_", "label_a", "label_b").alias("pair"), F.col("vec_a").alias("parcel_a"), F.col("vec_b").alias("parcel_b"), "cost")
+    return auction.auction_pairs(materialize(c, "shape-costs"), 1e5)
+
+
 @query("""WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 m AS (SELECT a.label::VARCHAR AS pair, a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) / 0.1 AS s FROM e a JOIN e b ON b.label = a.label + 1),
 z AS MATERIALIZED (SELECT * FROM m UNION ALL SELECT DISTINCT pair, -1, b, 1.0 FROM m UNION ALL SELECT DISTINCT pair, a, -1, 1.0 FROM m UNION ALL SELECT DISTINCT pair, -1, -1, 1.0 FROM m),
@@ -936,16 +954,25 @@ def robust_fits(spark, d):
     return fits.select("pair", "n", "n_inliers", _r(F.col("h")[2], "dx"), _r(F.col("h")[5], "dy"))
 
 
-@query(f"""WITH RECURSIVE {_POINTS}, g AS MATERIALIZED (SELECT map_num, list({{'s': src, 't': dst, 'd': distance}}) AS alive FROM e GROUP BY map_num),
+_PRUNED = f"""WITH RECURSIVE {_POINTS}, g AS MATERIALIZED (SELECT map_num, list({{'s': src, 't': dst, 'd': distance}}) AS alive FROM e GROUP BY map_num),
 n AS MATERIALIZED (SELECT map_num, node, row_number() OVER (PARTITION BY map_num ORDER BY node) AS k FROM (SELECT map_num, src AS node FROM e UNION SELECT map_num, dst FROM e)),
 it AS (SELECT map_num, 0::BIGINT AS k, alive FROM g
  UNION ALL SELECT map_num, k, list_filter(alive, lambda x: third IS NULL OR (x.s <> node AND x.t <> node) OR x.d < third.d OR (x.d = third.d AND x.s + x.t - node <= third.o))
  FROM (SELECT it.map_num, n.k, node, alive, list_sort(list_transform(list_filter(alive, lambda x: x.s = node OR x.t = node), lambda x: {{'d': x.d, 'o': x.s + x.t - node}}))[3] AS third FROM it JOIN n ON n.map_num = it.map_num AND n.k = it.k + 1)),
-f AS (SELECT map_num, unnest(alive) AS x FROM it WHERE (map_num, k) IN (SELECT map_num, max(k) FROM n GROUP BY map_num)) SELECT map_num, x.s AS src, x.t AS dst, round(x.d, 6) AS distance FROM f""")
+f AS (SELECT map_num, unnest(alive) AS x FROM it WHERE (map_num, k) IN (SELECT map_num, max(k) FROM n GROUP BY map_num)) SELECT map_num, x.s AS src, x.t AS dst, round(x.d, 6) AS distance FROM f"""
+
+
+@query(_PRUNED)
 def sequential_prune(spark, d):
     return graph.prune_neighbours(_edges(spark, d), 3).select("map_num", "src", "dst", _r("distance", "distance"))
 
 
+@query(_PRUNED)
+def parallel_prune(spark, d):
+    """The rows of sequential_prune in rounds over many tasks; no task ends the work here, however few links are open."""
+    return graph.prune_in_rounds(_edges(spark, d), 3, finish=0).select("map_num", "src", "dst", _r("distance", "distance"))
+
+
 @query()
 def greedy_layout(spark, d):
     from .plans.panorama import layout
