@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import dimensions
@@ -637,19 +637,47 @@ _M = "abcdefghi"
 _MUL = ", ".join(" + ".join(f"c.{_M[3 * i + k]} * e.{_M[3 * k + j]}" for k in range(3)) + f" AS {_M[3 * i + j]}" for i in range(3) for j in range(3))
 
 
-@query(f"""WITH RECURSIVE n AS (SELECT n_nationkey AS k, n_nationkey % 2 AS q FROM nation WHERE n_nationkey > 0),
+_CHAIN = f"""WITH RECURSIVE n AS (SELECT n_nationkey AS k, n_nationkey % 2 AS q FROM nation WHERE n_nationkey > 0),
 e AS (SELECT (k - 1) // 2 AS src, k AS dst, (1 - q)::DOUBLE AS a, q::DOUBLE AS b, k::DOUBLE AS c, (-q)::DOUBLE AS d, (1 - q)::DOUBLE AS e, (q * 9 + 2 * k)::DOUBLE AS f, 0::DOUBLE AS g, 0::DOUBLE AS h, 1::DOUBLE AS i FROM n),
 c AS (SELECT 0 AS node, 0 AS hops, {', '.join(f"{float(x in 'aei')}::DOUBLE AS {x}" for x in _M)} UNION ALL SELECT e.dst, c.hops + 1, {_MUL} FROM c JOIN e ON e.src = c.node)
-SELECT node::VARCHAR AS node, hops, {', '.join(f'round({x}, 6) + 0 AS {x}' for x in _M)} FROM c""")
-def bfs_transform_chain(spark, d):
+SELECT node::VARCHAR AS node, hops, {', '.join(f'round({x}, 6) + 0 AS {x}' for x in _M)} FROM c"""
+
+
+def _nation_links(spark, d) -> DataFrame:
     k = F.col("n_nationkey")
     n = _t(spark, d, "nation").where("n_nationkey > 0")
     h = G.multiply(G.translation(k, 2 * k), G.quarter_rotation(F.when(k % 2 == 1, 90).otherwise(0), F.lit(10), F.lit(10)))
     t = n.select(F.floor((k - 1) / 2).cast("int").cast("string").alias("map_a"), k.cast("string").alias("map_b"), h.alias("h"))
-    reached = graph.transforms_to_anchor(graph.with_inverses(t), spark.createDataFrame([("0",)], "anchor string"))
+    return graph.with_inverses(t)
+
+
+def _cells(reached: DataFrame) -> DataFrame:
     return reached.select("node", "hops", *[(F.round(F.col("h")[i], 6) + 0.0).alias(x) for i, x in enumerate(_M)])
 
 
+@query(_CHAIN)
+def bfs_transform_chain(spark, d):
+    return _cells(graph.transforms_to_anchor(_nation_links(spark, d), spark.createDataFrame([("0",)], "anchor string")))
+
+
+@query(_CHAIN)
+def doubled_transform_chain(spark, d):
+    return _cells(graph.transforms_by_doubling(_nation_links(spark, d), spark.createDataFrame([("0",)], "anchor string")))
+
+
+@query("""WITH c AS (SELECT c_nationkey AS nation, c_custkey AS k, row_number() OVER w - 1 AS hops, c_custkey % 7 AS dx, c_custkey % 5 - 2 AS dy FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))
+SELECT nation::VARCHAR AS nation, k::VARCHAR AS node, hops::INT AS hops, (sum(CASE WHEN hops > 0 THEN dx ELSE 0 END) OVER w)::DOUBLE AS x, (sum(CASE WHEN hops > 0 THEN dy ELSE 0 END) OVER w)::DOUBLE AS y
+FROM c WINDOW w AS (PARTITION BY nation ORDER BY k)""")
+def long_transform_chains(spark, d):
+    """One row of sheets a nation, all composed to their first sheet in one run; rounds go with the logarithm of the longest."""
+    k, order = F.col("c_custkey"), Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    c = _t(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("nation"), k.cast("string").alias("node"), F.lag(k).over(order).cast("string").alias("before"), G.translation(k % 7, k % 5 - 2).alias("h"))
+    links = graph.with_inverses(c.where("before is not null").select(F.col("before").alias("map_a"), F.col("node").alias("map_b"), "h"))
+    first = materialize(c.where("before is null").select("nation", F.col("node").alias("anchor")), "first-sheets")
+    reached = graph.transforms_by_doubling(links, first.select("anchor")).join(first, "anchor")
+    return reached.select("nation", "node", "hops", F.round(F.col("h")[2], 6).alias("x"), F.round(F.col("h")[5], 6).alias("y"))
+
+
 @query("""WITH x AS (SELECT s_suppkey, s_suppkey * 1.5 AS a, 2.0 + s_suppkey % 3 AS b, s_acctbal AS px, s_nationkey * 10.0 AS py FROM supplier)
 SELECT s_suppkey, round(b * px + a, 6)::DOUBLE AS x, round(b * py - a, 6)::DOUBLE AS y, round(px, 6) AS back_x, round(py, 6)::DOUBLE AS back_y, true AS regular FROM x""")
 def project_and_back(spark, d):
@@ -930,18 +958,31 @@ def auction_pairs(spark, d):
     return auction.auction_pairs(materialize(c, "shape-costs"), 1e5)
 
 
-@query("""WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+_SOFT = """WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 m AS (SELECT a.label::VARCHAR AS pair, a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) / 0.1 AS s FROM e a JOIN e b ON b.label = a.label + 1),
 z AS MATERIALIZED (SELECT * FROM m UNION ALL SELECT DISTINCT pair, -1, b, 1.0 FROM m UNION ALL SELECT DISTINCT pair, a, -1, 1.0 FROM m UNION ALL SELECT DISTINCT pair, -1, -1, 1.0 FROM m),
 it AS (SELECT DISTINCT 0 AS step, pair, b, 0.0::DOUBLE AS v FROM z
  UNION ALL SELECT step + 1, pair, b, -ln(sum(exp(s + u))) FROM (SELECT step, z.pair, a, z.b, s, -ln(sum(exp(s + v)) OVER (PARTITION BY z.pair, a)) AS u FROM it JOIN z ON z.pair = it.pair AND z.b = it.b WHERE step < 100) GROUP BY step, pair, b),
 u AS (SELECT z.pair, a, -ln(sum(exp(s + v))) AS u FROM it JOIN z ON z.pair = it.pair AND z.b = it.b WHERE step = 99 GROUP BY z.pair, a),
 p AS (SELECT z.pair, z.a, z.b, exp(s + u + v) AS score, row_number() OVER (PARTITION BY z.pair, z.a ORDER BY s + u + v DESC, z.b) AS k FROM z JOIN u ON u.pair = z.pair AND u.a = z.a JOIN it ON it.pair = z.pair AND it.b = z.b AND step = 100 WHERE z.a >= 0 AND z.b >= 0)
-SELECT pair, a, b, round(score, 6) AS score FROM p WHERE k = 1 AND score >= 0.2""")
-def soft_matches(spark, d):
+SELECT pair, a, b, round(score, 6) AS score FROM p WHERE k = 1 AND score >= 0.2"""
+
+
+def _soft_scores(spark, d) -> DataFrame:
     e = _t(spark, d, "embeddings")
     one = lambda k: e.select((F.col("label") - k).alias("pair"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec")).withColumn("pair", F.col("pair").cast("string"))
-    return matching.soft_match(matching.embedding_scores(one(0), one(1), ["pair"])).select("pair", "a", "b", _r("score", "score"))
+    return matching.embedding_scores(one(0), one(1), ["pair"])
+
+
+@query(_SOFT)
+def soft_matches(spark, d):
+    return matching.soft_match(_soft_scores(spark, d)).select("pair", "a", "b", _r("score", "score"))
+
+
+@query(_SOFT)
+def soft_matches_by_tables(spark, d):
+    """The same matches from potentials as tables, without a dense matrix."""
+    return matching.soft_match_by_tables(_soft_scores(spark, d)).select("pair", "a", "b", _r("score", "score"))
 
 
 # the wrong rows mirror the points, so they lie at least 3.5 pixels off the right transform and no turn and shift fits more of them
@@ -973,17 +1014,30 @@ def parallel_prune(spark, d):
     return graph.prune_in_rounds(_edges(spark, d), 3, finish=0).select("map_num", "src", "dst", _r("distance", "distance"))
 
 
+def _fits(pairs: DataFrame) -> DataFrame:
+    seed = F.pmod(F.xxhash64("map_a", "map_b"), F.lit(1000))
+    edges = [F.get(F.array(*[F.lit(p[k]) for p in dimensions.EDGE_PAIRS]), seed % 4) for k in (0, 1)]
+    return pairs.select("map_a", "map_b", edges[0].alias("edge_a"), edges[1].alias("edge_b"), ((seed % 4) * 90.0).alias("total_rot"), (seed / 1000).alias("combined_score"))
+
+
 @query()
 def greedy_layout(spark, d):
     from .plans.panorama import layout
 
     n = F.col("n_nationkey")
     sheets = _t(spark, d, "nation").select(n.cast("string").alias("map_num"), (300 + n * 3).alias("w"), (200 + n * 5).alias("h"))
-    pairs = joins.sheet_pairs(sheets)
-    seed = F.pmod(F.xxhash64("map_a", "map_b"), F.lit(1000))
-    edges = [F.get(F.array(*[F.lit(p[k]) for p in dimensions.EDGE_PAIRS]), seed % 4) for k in (0, 1)]
-    scores = pairs.select("map_a", "map_b", edges[0].alias("edge_a"), edges[1].alias("edge_b"), ((seed % 4) * 90.0).alias("total_rot"), (seed / 1000).alias("combined_score"))
-    return layout(scores, sheets, None).select("map_num", "rot", "x", "y", "w", "h", "how", "place")
+    return layout(_fits(joins.sheet_pairs(sheets)), sheets, None).select("map_num", "rot", "x", "y", "w", "h", "how", "place")
+
+
+@query()
+def component_layouts(spark, d):
+    """A panorama for every nation: its suppliers as sheets, each with a fit to the next ones."""
+    from .plans.panorama import layouts
+
+    k, order = F.col("s_suppkey"), Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = _t(spark, d, "supplier").select(k.cast("string").alias("map_num"), (300 + k % 40).alias("w"), (200 + k % 30).alias("h"), *[F.lead(k, j).over(order).cast("string").alias(f"after{j}") for j in (1, 2)])
+    pairs = s.select(F.col("map_num").alias("map_a"), F.explode(F.array("after1", "after2")).alias("map_b")).where("map_b is not null")
+    return layouts(_fits(pairs), s).select("component", "map_num", "rot", "x", "y", "w", "h", "how", "place")
 
 
 def synthetic_sheets(spark: SparkSession, d: str) -> DataFrame:

@@ -64,14 +64,31 @@ def percentiles(df: DataFrame, keys: list[str], column: str, at: tuple[float, ..
     return met.groupBy(*[F.col(f"v.{k}").alias(k) for k in keys]).agg(*summed)
 
 
+def with_medians(df: DataFrame, keys: list[str], medians: dict[str, Column], others: list[Column]) -> DataFrame:
+    """One row a group: the medians of some values, exact and by :func:`percentiles`, so a large group is spread, and other aggregates.
+
+    ``others`` may ask for the columns of ``df`` and of ``medians``. Null and not-a-number values have no part in a median; a group without any has a null.
+    """
+    own = materialize(df.withColumns(medians), "measured")
+    whole = own.groupBy(*keys).agg(F.count("*").alias("_n"), *others)
+    most = whole.agg(F.max("_n")).first()[0] or 0
+    for name in medians:
+        mid = percentiles(own, keys, name, (0.5,), bound=most).select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("p50").alias(f"_median_{name}"))
+        whole = whole.join(mid, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]), "left").drop(*[f"_of_{k}" for k in keys])
+    return whole.drop("_n")
+
+
 def residual_stats(df: DataFrame, keys: list[str], column: str = "residual") -> DataFrame:
-    return df.groupBy(*keys).agg(F.median(column).alias("median_residual"), F.avg(column).alias("mean_residual"), F.count("*").alias("n"))
+    """Median, mean and number of residuals."""
+    s = with_medians(df, keys, {"_v": F.col(column).cast("double")}, [F.avg(column).alias("mean_residual"), F.count("*").alias("n")])
+    return s.select(*keys, F.col("_median__v").alias("median_residual"), "mean_residual", "n")
 
 
 def median_translation(points: DataFrame, keys: list[str]) -> DataFrame:
     """Median shift from B's points (in A's frame) to A's: dx, dy and the number of points."""
-    dx, dy = F.col("cx_a") - F.col("cx_b"), F.col("cy_a") - F.col("cy_b")
-    return points.groupBy(*keys).agg(F.median(dx).alias("dx"), F.median(dy).alias("dy"), F.count("*").alias("n"))
+    shift = {"_dx": F.col("cx_a") - F.col("cx_b"), "_dy": F.col("cy_a") - F.col("cy_b")}
+    s = with_medians(points, keys, shift, [F.count("*").alias("n")])
+    return s.select(*keys, F.col("_median__dx").alias("dx"), F.col("_median__dy").alias("dy"), "n")
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -221,7 +238,8 @@ def crossing_histogram(crossings: DataFrame, keys: list[str], value: str, norm:
 
 
 def size_stats(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most"), F.median(column).alias("median"))
+    s = with_medians(df, keys, {"_v": F.col(column).cast("double")}, [F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most")])
+    return s.select(*keys, "n", "least", "most", F.col("_median__v").alias("median"))
 
 
 def panorama_box(sheets: DataFrame, keys: list[str], transform: str = "t", whole: bool = True) -> DataFrame:
@@ -262,7 +280,8 @@ def coverage(pixels: DataFrame, keys: list[str], total: Column) -> DataFrame:
 
 def paper_tone(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Median tone of covered pixels, which fills interior gaps."""
-    return pixels.where(F.col("written") > 0).groupBy(*keys).agg(F.median("v").alias("tone"))
+    s = with_medians(pixels.where(F.col("written") > 0), keys, {"_v": F.col("v").cast("double")}, [])
+    return s.select(*keys, F.col("_median__v").alias("tone"))
 
 
 def split_stats(images: DataFrame, annotations: DataFrame) -> DataFrame:

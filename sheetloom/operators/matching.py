@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import discard, materialize
 from . import ranks
 
 
@@ -91,6 +92,56 @@ def soft_match(scores: DataFrame, dustbin: float = 1.0, rounds: int = 100, least
     return ranks.confident_row_best(soft, ["pair"], "a", "b", least)
 
 
+DUSTBIN = -(1 << 63)  # the id of the dustbin of either side
+
+
+def _with_dustbins(scores: DataFrame, dustbin: float) -> DataFrame:
+    known = scores.where("a is not null and b is not null and score is not null").select("pair", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("score").cast("double").alias("s"))
+    bin_, d = F.lit(DUSTBIN).cast("long"), F.lit(float(dustbin))
+    ends = lambda *c: known.select("pair", *c).distinct().withColumn("s", d).select("pair", *[F.col(x) if x in c else bin_.alias(x) for x in ("a", "b")], "s")
+    return known.unionAll(ends("a")).unionAll(ends("b")).unionAll(ends())
+
+
+def soft_potentials(scores: DataFrame, dustbin: float = 1.0, rounds: int = 100, every: int = 4, tolerance: float = 1e-10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, rows, columns): pair, a, b, s with the dustbins' cells, and the potentials u of rows and v of columns; a cell's soft assignment is exp(s + u + v).
+
+    Rows and columns are normalised in turn, each by one join with the other side's potentials and one sum a row or column; the potentials of the round before keep
+    the exponents small. It ends after ``rounds`` rounds, or when in ``every`` rounds the columns of no pair have moved apart by more than ``tolerance`` (all
+    together they may drift, as the two sides' sums differ, and the rows drift back).
+    """
+    cells = materialize(_with_dustbins(scores, dustbin), "soft-cells")
+    u = materialize(cells.groupBy("pair", "a").agg((-F.max("s")).alias("u")), "soft-rows")
+    v = materialize(cells.select("pair", "b").distinct().withColumn("v", F.lit(0.0)), "soft-columns")
+    small = u.count() + v.count() <= 100_000
+    hint = F.broadcast if small else (lambda df: df)
+
+    def normalised(u, v, at, name):
+        x = cells.join(hint(u), ["pair", "a"]).join(hint(v), ["pair", "b"])
+        return x.groupBy("pair", at).agg((F.max(name) - F.ln(F.sum(F.exp(F.col("s") + F.col("u") + F.col("v"))))).alias(name))
+
+    done = 0
+    while done < rounds:
+        before, now = v, min(every, rounds - done)
+        for k in range(now):
+            u = normalised(u, v, "a", "u")
+            if k == now - 1:
+                u = materialize(u, "soft-rows")
+            v = normalised(u, v, "b", "v")
+        v, done = materialize(v, "soft-columns"), done + now
+        moved = v.join(before.withColumnRenamed("v", "was"), ["pair", "b"]).groupBy("pair").agg((F.max(F.col("v") - F.col("was")) - F.min(F.col("v") - F.col("was"))).alias("apart"))
+        if (moved.agg(F.max("apart")).first()[0] or 0.0) <= tolerance:
+            break
+        discard(before)
+    return cells, u, v
+
+
+def soft_match_by_tables(scores: DataFrame, dustbin: float = 1.0, rounds: int = 100, least: float = 0.2) -> DataFrame:
+    """The rows of :func:`soft_match` from potentials as tables, so neither a pair's matrix nor a pair stands in one task. Repeated cells add up; cells with nulls are left out."""
+    cells, u, v = soft_potentials(scores, dustbin, rounds)
+    own = cells.where(f"a <> {DUSTBIN} and b <> {DUSTBIN}").join(u, ["pair", "a"]).join(v, ["pair", "b"])
+    return ranks.confident_row_best(own.select("pair", "a", "b", F.exp(F.col("s") + F.col("u") + F.col("v")).alias("score")), ["pair"], "a", "b", least)
+
+
 def embedding_scores(left: DataFrame, right: DataFrame, keys: list[str], temperature: float = 0.1) -> DataFrame:
     """Scores of unit vectors: dot product by temperature, for all of a pair's left and right (columns id, vec)."""
     a = left.select(*keys, F.col("id").alias("a"), F.col("vec").alias("va"))

@@ -11,22 +11,43 @@ from pyspark.sql import types as T
 from ..functions import geometry as G
 
 LEAST_OVERLAP = 20
+MOST_EXACT = 256  # lags that are summed up directly where the transform can't tell them apart
+
+
+def best_lag(a: np.ndarray, b: np.ndarray) -> int:
+    """The lag of the largest cross-correlation of two signals, from 1 - len(b) to len(a) - 1, by a zero-padded Fourier transform.
+
+    Lags that its rounding can't tell apart are summed up directly. Of equal ones the least from 0 upwards counts, then the least of the negative ones.
+    """
+    n = len(a) + len(b) - 1
+    size = 1 << (n - 1).bit_length()
+    by_lag = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size)
+    by_lag = np.concatenate([by_lag[: len(a)], by_lag[size - len(b) + 1 :]])
+    scale = float(np.sqrt((a @ a) * (b @ b)))
+    lags = np.flatnonzero(by_lag >= by_lag.max() - 1e-9 * scale)
+    lags = np.where(lags < len(a), lags, lags - n)
+    if 1 < len(lags) <= MOST_EXACT:
+        exact = np.array([_dot_at(a, b, lag) for lag in lags.tolist()])
+        lags = lags[exact >= exact.max() - 1e-13 * scale]
+    return int(lags[0])
+
+
+def _dot_at(a: np.ndarray, b: np.ndarray, lag: int) -> float:
+    x, y = a[max(lag, 0) :], b[max(-lag, 0) :]
+    common = min(len(x), len(y))
+    return float(x[:common] @ y[:common])
 
 
 def aligned_scores(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     """(score, offset): the offset of the largest plain cross-correlation, and the correlation coefficient there, brought to 0..1.
 
-    Uncorrelated signals score a half; fewer than ``LEAST_OVERLAP`` common positions, or a constant stretch, score 0. Of equal
-    correlations the least offset from 0 upwards counts, then the least of the negative ones.
+    Uncorrelated signals score a half; fewer than ``LEAST_OVERLAP`` common positions, or a constant stretch, score 0. Offsets are those of :func:`best_lag`.
     """
     a, b = (np.asarray(x, float) for x in (a, b))
     if not a.size or not b.size:
         return 0.0, 0
     a, b = a - a.mean(), b - b.mean()
-    by_lag = np.correlate(a, b, "full")  # from lag 1 - len(b) to len(a) - 1
-    behind = len(b) - 1
-    lag = int(np.argmax(np.concatenate([by_lag[behind:], by_lag[:behind]])))
-    lag -= len(by_lag) if lag >= len(a) else 0
+    lag = best_lag(a, b)
     x, y = a[max(lag, 0) :], b[max(-lag, 0) :]
     common = min(len(x), len(y))
     spread = x[:common].std() * y[:common].std() if common else 0.0

@@ -19,20 +19,50 @@ def wanted_pairs(adjacent: DataFrame, selected: DataFrame, done: DataFrame) -> t
     return needed, joins.work_list(needed, done)
 
 
+def _placed(scores: DataFrame, sizes: DataFrame, key: str, seed: tuple[str, str] | None = None) -> DataFrame:
+    """Every group's sheets placed from its scores, best fits first: one task a group, which holds the pairs and sizes of one panorama."""
+    import pandas as pd
+
+    names = [key, *[c.split()[0] for c in PLACE.split(", ")]]
+
+    def place(fits: pd.DataFrame, dims: pd.DataFrame) -> pd.DataFrame:
+        if fits.empty:
+            return pd.DataFrame(columns=names)
+        own = {m: (int(w), int(h)) for m, w, h in zip(dims["map_num"], dims["w"], dims["h"], strict=True)}
+        rows = [r for r in fits.sort_values(["map_a", "map_b"], kind="stable").to_dict("records") if r["map_a"] in own and r["map_b"] in own]
+        return pd.DataFrame([{key: fits[key].iloc[0], **p} for p in placement.layout(rows, own, seed)], columns=names)
+
+    kind = scores.schema[key].dataType.simpleString()
+    fits = scores.select(key, "map_a", "map_b", "edge_a", "edge_b", F.col("total_rot").cast("double").alias("total_rot"), F.col("combined_score").cast("double").alias("combined_score"))
+    dims = sizes.select(F.col(key).alias(f"{key}_of"), "map_num", F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h"))
+    return fits.groupBy(key).cogroup(dims.groupBy(f"{key}_of")).applyInPandas(place, f"{key} {kind}, {PLACE}")
+
+
 def layout(scores: DataFrame, sizes: DataFrame, seed: tuple[str, str] | None, exclude: list[str] | None = None, most_pairs: int = 100_000) -> DataFrame:
-    """Placement of one panorama's sheets from the ``seed`` pair on (None: the best pair); excluded sheets are filtered first. Its pairs come to the driver, as placement is one sequence.
+    """Placement of one panorama's sheets from the ``seed`` pair on (None: the best pair); excluded sheets are filtered first. It is one sequence, so one task.
 
     More than ``most_pairs`` pairs are no single panorama and raise.
     """
-    spark = scores.sparkSession
     kept = filters.without(filters.without(scores, exclude or [], "map_a"), exclude or [], "map_b")
-    rows = kept.select("map_a", "map_b", "edge_a", "edge_b", "total_rot", "combined_score").orderBy("map_a", "map_b").limit(most_pairs + 1).collect()
-    if len(rows) > most_pairs:
+    if kept.limit(most_pairs + 1).count() > most_pairs:
         raise ValueError(f"more than {most_pairs} pairs: place components one by one")
-    dims = {r.map_num: (r.w, r.h) for r in filters.without(sizes, exclude or []).collect()}
-    rows = [r.asDict() for r in rows if r.map_a in dims and r.map_b in dims]
-    made = [tuple(p[c.split()[0]] for c in PLACE.split(", ")) for p in placement.layout(rows, dims, seed)]
-    return spark.createDataFrame(made, PLACE)
+    one = F.lit(0)
+    return _placed(kept.withColumn("panorama", one), filters.without(sizes, exclude or []).withColumn("panorama", one), "panorama", seed).drop("panorama")
+
+
+def layouts(scores: DataFrame, sizes: DataFrame, exclude: list[str] | None = None) -> DataFrame:
+    """Placements of all panoramas at once, one for each component of sheets that fits connect: component (its first sheet) and its places.
+
+    A component starts with its best pair and is one task; components are spread. Sheets without a score have no place.
+    """
+    from ..shared import materialize
+
+    kept = filters.without(filters.without(scores, exclude or [], "map_a"), exclude or [], "map_b").where("map_a is not null and map_b is not null")
+    known = filters.without(sizes, exclude or []).select("map_num", "w", "h")
+    kept = materialize(kept.join(known.select(F.col("map_num").alias("map_a")), "map_a", "left_semi").join(known.select(F.col("map_num").alias("map_b")), "map_b", "left_semi"), "panorama-fits")
+    roots = graph.connected_components(kept.select(F.col("map_a").alias("src"), F.col("map_b").alias("dst"))).select("node", F.col("root").alias("component"))
+    fits = kept.join(roots.withColumnRenamed("node", "map_a"), "map_a")
+    return _placed(fits, known.join(roots.withColumnRenamed("node", "map_num"), "map_num"), "component")
 
 
 def placed_images(images: DataFrame, places: DataFrame, scale: float = 0.10) -> DataFrame:
@@ -90,7 +120,7 @@ def stitch(transforms: DataFrame, sizes: DataFrame, exclude: list[str] | None =
     links = filters.without(filters.without(filters.finite_transforms(transforms), exclude or [], "map_a"), exclude or [], "map_b")
     links = materialize(graph.with_inverses(links.select("map_a", "map_b", "h")), "transform-links")
     component = materialize(graph.connected_components(links.select("src", "dst")), "sheet-components")
-    reached = graph.transforms_to_anchor(links, graph.anchors(links, component))
+    reached = graph.transforms_by_doubling(links, materialize(graph.anchors(links, component), "anchors"))
     sheets = reached.join(sizes.select(F.col("map_num").alias("node"), "width", "height"), "node")
     boxes = aggregates.panorama_box(sheets.withColumnRenamed("h", "t"), ["anchor"])
     scale = G.pixel_scale(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"), 200e6)
