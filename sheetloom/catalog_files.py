@@ -294,11 +294,16 @@ _RANGES = ", ".join(f"('{m}', {lo}, {hi})" for m, (lo, hi) in dimensions.NUMBER_
 _NEAR = ", ".join(f"('{a}', '{b}')" for a, b in dimensions.NEIGHBOURS)
 
 
-@query(f"SELECT m AS map_num, lo::INT AS lo, hi::INT AS hi, (SELECT count(*) FROM (VALUES {_NEAR}) AS t(a, b) WHERE a = m OR b = m) AS n_near FROM (VALUES {_RANGES}) AS r(m, lo, hi)")
+@query(f"""SELECT m AS map_num, lo::INT AS lo, hi::INT AS hi, (SELECT count(*) FROM (VALUES {_NEAR}) AS t(a, b) WHERE a = m OR b = m) AS n_near,
+ (SELECT count(*) FROM part WHERE 2000 + p_partkey * 7 % 2000 BETWEEN lo AND hi) AS n_parts FROM (VALUES {_RANGES}) AS r(m, lo, hi)""")
 def dimension_tables(spark, d):
+    """Each sheet's range and neighbours, and how many parts have a number in its range."""
     near = dimensions.neighbours(spark)
     each = near.select(F.explode(F.array("map_a", "map_b")).alias("map_num")).groupBy("map_num").agg(F.count("*").alias("n_near"))
-    return dimensions.number_ranges(spark).join(each, "map_num", "left").select("map_num", "lo", "hi", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    ranges = dimensions.number_ranges(spark)
+    parts = _t(spark, d, "part").select((2000 + F.col("p_partkey") * 7 % 2000).alias("number")).join(F.broadcast(ranges), F.col("number").between(F.col("lo"), F.col("hi")))  # a row a sheet
+    counted = ranges.join(each, "map_num", "left").join(parts.groupBy("map_num").agg(F.count("*").alias("n_parts")), "map_num", "left")
+    return counted.select("map_num", "lo", "hi", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_near", "n_parts")])
 
 
 @query("SELECT event_type AS map_num, count(*) AS n FROM events WHERE event_type NOT IN ('view', 'click') AND event_id % 7 <> 0 GROUP BY event_type")

@@ -7,6 +7,7 @@ compared row by row; the exact condition decides within neighbouring bins.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,37 +123,50 @@ def with_configurations(pairs: DataFrame, configurations: DataFrame) -> DataFram
     return pairs.join(F.broadcast(configurations))
 
 
-def _cells(parcels: DataFrame, points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """For each key the side of a grid cell that holds some parcels on average, and the extent of all parcels and points."""
-    spots = parcels.select(*keys, F.col("cx").alias("_x"), F.col("cy").alias("_y"), F.lit(1).alias("_n")).unionAll(points.select(*keys, F.col(x).cast("double"), F.col(y).cast("double"), F.lit(0)))
-    boxes = spots.groupBy(*keys).agg(F.sum("_n").alias("_n"), *[f(c).alias(f"{n}{c}") for c in ("_x", "_y") for n, f in (("_lo", F.min), ("_hi", F.max))])
-    w, h = F.col("_hi_x") - F.col("_lo_x"), F.col("_hi_y") - F.col("_lo_y")
-    return boxes.where("_n > 0").select(*keys, F.greatest(F.sqrt(w * h / F.col("_n")), (w + h) / F.col("_n"), F.lit(1e-9)).alias("_side"), (w + h).alias("_extent"))
+def _finite(*columns: str) -> Column:
+    return reduce(Column.__and__, [F.col(c).cast("double").isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf")) for c in columns])
+
+
+def _cells(parcels: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key the extent of its parcels, and the side of a grid cell that holds about one of those in the middle nine tenths, so far ones don't widen it."""
+    middle = lambda c: F.percentile_approx(c, F.array(F.lit(0.05), F.lit(0.95)), F.lit(1000)).alias(f"_mid_{c}")
+    ends = [f(F.col(c)).alias(f"_{n}_{c}") for c in ("cx", "cy") for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = parcels.groupBy(*keys).agg(F.count("*").alias("_n"), middle("cx"), middle("cy"), *ends)
+    w, h = (F.col(f"_mid_{c}")[1] - F.col(f"_mid_{c}")[0] for c in ("cx", "cy"))
+    extent = F.col("_hi_cx") - F.col("_lo_cx") + F.col("_hi_cy") - F.col("_lo_cy")
+    side = F.greatest(F.sqrt(w * h / F.col("_n")), (w + h) / F.col("_n"), extent * 1e-7, F.lit(1e-9))
+    return boxes.select(*keys, side.alias("_side"), extent.alias("_extent"), *[f"_{n}_{c}" for c in ("cx", "cy") for n in ("lo", "hi")])
 
 
 def nearest_parcel(points: DataFrame, parcels: DataFrame, keys: list[str], point_id: str, x: str = "x", y: str = "y") -> DataFrame:
     """The nearest parcel centroid of each point within the same keys, the first of equals, by parcel_id; ``point_id`` names a point within its keys.
 
-    Points look in the nine cells of a grid around them; those that find none within a cell's side look again in cells four times as wide,
-    until all are settled. Each round meets by equal cells, and only the points left take part.
+    Points look in the nine cells of a grid around them, those beyond all parcels around the spot of the parcels' extent that is nearest to them; those that find none that is
+    surely nearest look again in cells four times as wide, until all are settled. Each round meets by equal cells, and only the points left take part.
+    Points and centroids without coordinates, or with infinite or not-a-number ones, are left out.
     """
-    spots = points.select(*keys, F.col(point_id).alias("_id"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).where("_px is not null and _py is not null").distinct()
-    grid = materialize(_cells(parcels, points, keys, x, y), "grid")
-    left = materialize(spots.join(grid, keys), "points")
-    spots_of = materialize(parcels.select(*keys, "parcel_id", "cx", "cy").where("cx is not null and cy is not null").join(grid.drop("_extent"), keys), "centroids")
+    spots = points.where(_finite(x, y)).select(*keys, F.col(point_id).alias("_id"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).distinct()
+    known = parcels.where(_finite("cx", "cy")).select(*keys, "parcel_id", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
+    grid = materialize(_cells(known, keys), "grid")
+    inside = lambda p, c: F.least(F.greatest(F.col(p), F.col(f"_lo_{c}")), F.col(f"_hi_{c}"))
+    left = spots.join(grid, keys).withColumns({"_nx": inside("_px", "cx"), "_ny": inside("_py", "cy")})
+    off = (F.col("_px") - F.col("_nx")) * (F.col("_px") - F.col("_nx")) + (F.col("_py") - F.col("_ny")) * (F.col("_py") - F.col("_ny"))
+    own = ["_id", "_px", "_py", "_nx", "_ny", "_off", "_side", "_extent"]
+    left = materialize(left.withColumn("_off", off).select(*keys, *own), "points")
+    spots_of = materialize(known.join(grid.select(*keys, "_side"), keys), "centroids")
     cell = lambda c, width: F.floor(F.col(c) / width).cast("long")
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     settled, times = None, 1.0
     while True:
         width = F.col("_side") * times
         held = spots_of.select(*keys, cell("cx", width).alias("_bx"), cell("cy", width).alias("_by"), "parcel_id", "cx", "cy")
-        asked = left.select("*", cell("_px", width).alias("_ox"), cell("_py", width).alias("_oy"), F.inline(around)).withColumns({"_bx": F.col("_ox") + F.col("dx"), "_by": F.col("_oy") + F.col("dy")})
+        asked = left.select("*", cell("_nx", width).alias("_ox"), cell("_ny", width).alias("_oy"), F.inline(around)).withColumns({"_bx": F.col("_ox") + F.col("dx"), "_by": F.col("_oy") + F.col("dy")})
         met = asked.join(held, [*keys, "_bx", "_by"], "left")
         d2 = (F.col("cx") - F.col("_px")) * (F.col("cx") - F.col("_px")) + (F.col("cy") - F.col("_py")) * (F.col("cy") - F.col("_py"))
-        best = met.groupBy(*keys, "_id", "_px", "_py", "_side", "_extent").agg(F.min(F.when(F.col("parcel_id").isNotNull(), F.struct(d2.alias("d2"), "parcel_id"))).alias("best"))
+        best = met.groupBy(*keys, *own).agg(F.min(F.when(F.col("parcel_id").isNotNull(), F.struct(d2.alias("d2"), "parcel_id"))).alias("best"))
         best = materialize(best, "nearest")
-        # nothing outside the nine cells is nearer than a cell's side; beyond the extent nothing is outside
-        sure = F.coalesce(F.col("best.d2") < width * width, F.lit(False)) | (width >= F.col("_extent"))
+        # what lies outside the nine cells is a cell's side off the spot at least, and further off a point beyond it; beyond the extent nothing is outside
+        sure = F.coalesce(F.col("best.d2") < F.col("_off") + width * width, F.lit(False)) | (width >= F.col("_extent"))
         found = best.where(sure).select(*keys, "_id", "_px", "_py", "best.parcel_id", "best.d2")
         settled = found if settled is None else settled.unionAll(found)
         left, times = best.where(~sure).drop("best"), 4 * times

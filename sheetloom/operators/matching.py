@@ -102,7 +102,7 @@ def _with_dustbins(scores: DataFrame, dustbin: float) -> DataFrame:
     return known.unionAll(ends("a")).unionAll(ends("b")).unionAll(ends())
 
 
-def soft_potentials(scores: DataFrame, dustbin: float = 1.0, rounds: int = 100, every: int = 4, tolerance: float = 1e-10) -> tuple[DataFrame, DataFrame, DataFrame]:
+def soft_potentials(scores: DataFrame, dustbin: float = 1.0, rounds: int = 100, every: int = 4, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells, rows, columns): pair, a, b, s with the dustbins' cells, and the potentials u of rows and v of columns; a cell's soft assignment is exp(s + u + v).
 
     Rows and columns are normalised in turn, each by one join with the other side's potentials and one sum a row or column; the potentials of the round before keep
