@@ -194,8 +194,10 @@ def read_keypoints(spark, d):
     return readers.keypoints(spark, path).select("map_num", "kp_id", _r(F.col("size").cast("double"), "size"), F.round(total, 4).alias("total"))
 
 
-@query("""SELECT s_nationkey AS id, n_name || '.png' AS file_name, count(*) AS n, min(s_suppkey) AS first_id, sum(round(s_acctbal, 2)) > 0 AS positive FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL""")
-def annotated_set(spark, d):
+_ANNOTATED = ("""SELECT s_nationkey AS id, n_name || '.png' AS file_name, count(*) AS n, min(s_suppkey) AS first_id, sum(round(s_acctbal, 2)) > 0 AS positive FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL""")
+
+
+def _annotated_document(spark, d) -> str:
     n, s = _t(spark, d, "nation"), _t(spark, d, "supplier")
     used = n.join(s.select(F.col("s_nationkey").alias("n_nationkey")).distinct(), "n_nationkey")
     images = used.select(F.lit("train").alias("split"), F.col("n_nationkey").cast("long").alias("id"), F.concat("n_name", F.lit(".png")).alias("file_name"), F.lit(5).alias("width"), F.lit(6).alias("height"))
@@ -205,12 +207,29 @@ def annotated_set(spark, d):
     )
     doc = writers.coco_document(images, annotations, F.expr("array(named_struct('id', 1, 'name', 'parcel'))"))
     path = _documents(spark, doc.select(F.col("split").alias("doc"), F.col("document").alias("value")), "annotated")
-    grouped = readers.grouped_annotations(*readers.coco(spark, path, "train"))
+    return path
+
+
+def _annotated_rows(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    grouped = readers.grouped_annotations(images, annotations)
     each = grouped.select("id", "file_name", F.col("annotations").alias("a"))
     total = F.aggregate("a", F.lit(0.0), lambda t, x: t + x["area"])
     return each.select("id", "file_name", F.size("a").cast("long").alias("n"), F.col("a")[0]["id"].alias("first_id"), (total > 0).alias("positive"))
 
 
+@query(_ANNOTATED)
+def annotated_set(spark, d):
+    return _annotated_rows(*readers.coco(spark, _annotated_document(spark, d), "train"))
+
+
+@query(_ANNOTATED)
+def annotated_elements(spark, d):
+    """The same set read by byte ranges of its one document."""
+    file = next(f for f in spark.read.text(_annotated_document(spark, d)).inputFiles())
+    return _annotated_rows(*readers.coco_elements(spark, file, "train", 1 << 14))
+
+
+
 @query("""SELECT (CASE WHEN n_regionkey < 3 THEN 'train' ELSE 'val' END) AS split, n_nationkey AS id, n_name AS file_name, count(s_suppkey) AS n, coalesce(sum(s_suppkey), 0)::BIGINT AS total
  FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey < 3 GROUP BY ALL""")
 def annotated_tables(spark, d):

@@ -13,6 +13,7 @@ from ..functions import geometry as G
 from ..functions.text import map_number
 from ..operators.filters import finite_transforms
 from ..operators.ranks import best
+from . import elements
 
 PARCEL_ITEM = (
     "parcel_id int, id int, cx double, cy double, centroid_x double, centroid_y double, bbox array<int>, area_px double, mask_area_px double, polygon array<array<double>>,"
@@ -188,17 +189,26 @@ def clicks(spark: SparkSession, path: str) -> DataFrame:
     return both.select("pair", "side", F.col("k").cast("int").alias("number"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
+COCO = {
+    "images": "id long, file_name string, width int, height int, source_map string",
+    "annotations": "id long, image_id long, category_id int, segmentation array<array<double>>, area double, bbox array<int>, iscrowd int",
+}
+
+
 def coco(spark: SparkSession, path: str, split: str) -> tuple[DataFrame, DataFrame]:
-    """(images, annotations) of an annotated set, with its split."""
-    item = (
-        "images array<struct<id:long,file_name:string,width:int,height:int,source_map:string>>,"
-        " annotations array<struct<id:long,image_id:long,category_id:int,segmentation:array<array<double>>,area:double,bbox:array<int>,iscrowd:int>>"
-    )
+    """(images, annotations) of an annotated set, with its split; a document is one task, see :func:`coco_elements` for large ones."""
+    item = ", ".join(f"{n} array<struct<{fields.replace(', ', ',').replace(' ', ':')}>>" for n, fields in COCO.items())
     doc = spark.read.option("wholetext", True).text(path).select(F.from_json("value", item).alias("d"))
     part = lambda n: doc.select(F.lit(split).alias("split"), F.inline(f"d.{n}"))
     return part("images"), part("annotations")
 
 
+def coco_elements(spark: SparkSession, path: str, split: str, chunk: int = elements.CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The tables of :func:`coco` of one large file, read by a task for each ``chunk`` bytes."""
+    part = lambda n: elements.elements(spark, path, n, chunk).select(F.lit(split).alias("split"), F.from_json("value", COCO[n]).alias("d")).select("split", "d.*")
+    return part("images"), part("annotations")
+
+
 def annotated(spark: SparkSession, path: str, split: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(images, annotations) of a set kept as tables, of one split or all; readers of a split touch its files only."""
     both = tuple(spark.read.parquet(f"{path}/{n}") for n in ("images", "annotations"))
