@@ -14,7 +14,7 @@ from .functions import geometry as G
 from .functions import text as X
 from .operators import filters, graph
 from .shared import fresh_path
-from .sources import readers, writers
+from .sources import arrays, readers, writers
 
 
 def _documents(spark, rows: DataFrame, name: str) -> str:
@@ -181,17 +181,33 @@ def graph_tensors(spark, d):
     return vectors.join(out, ["map_num", "id"], "left").select("map_num", "id", _r(F.col("x")[0], "x"), F.coalesce("n_out", F.lit(0)).cast("long").alias("n_out"))
 
 
-@query("SELECT label::VARCHAR AS map_num, vec_id::INT AS kp_id, round(embedding[1]::DOUBLE, 6) AS size, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
-def read_keypoints(spark, d):
-    path = fresh_path(spark, "keypoints")
+def _keypoint_rows(spark, d) -> DataFrame:
     e, zero = _t(spark, d, "embeddings"), F.lit(0)
-    rows = e.select(
+    return e.select(
         F.col("label").cast("string").alias("map_num"), F.lit("d").alias("detector"), F.col("vec_id").cast("int").alias("kp_id"), *[F.col("embedding")[0].cast("float").alias(c) for c in ("x", "y", "size", "angle", "response")],
         zero.alias("octave"), zero.alias("class_id"), F.transform("embedding", lambda v: v.cast("float")).alias("descriptor"),
     )
-    rows.write.parquet(path)
+
+
+def _keypoint_sums(k: DataFrame, *ids: str) -> DataFrame:
     total = F.aggregate("descriptor", F.lit(0.0), lambda s, v: s + v.cast("double"))
-    return readers.keypoints(spark, path).select("map_num", "kp_id", _r(F.col("size").cast("double"), "size"), F.round(total, 4).alias("total"))
+    return k.select("map_num", *ids, _r(F.col("size").cast("double"), "size"), F.round(total, 4).alias("total"))
+
+
+@query("SELECT label::VARCHAR AS map_num, vec_id::INT AS kp_id, round(embedding[1]::DOUBLE, 6) AS size, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def read_keypoints(spark, d):
+    path = fresh_path(spark, "keypoints")
+    _keypoint_rows(spark, d).write.parquet(path)
+    return _keypoint_sums(readers.keypoints(spark, path), "kp_id")
+
+
+@query("""WITH k AS (SELECT label::VARCHAR AS map_num, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS kp_id, embedding FROM embeddings)
+SELECT map_num, kp_id::INT AS kp_id, round(embedding[1]::DOUBLE, 6) AS size, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM k""")
+def keypoint_archives(spark, d):
+    """Written as one archive a sheet and read back; ids count from 0 in a sheet."""
+    path = fresh_path(spark, "keypoint-archives")
+    arrays.write_keypoints_npz(_keypoint_rows(spark, d), path).write.format("noop").mode("overwrite").save()
+    return _keypoint_sums(arrays.keypoints_npz(spark, path), "kp_id")
 
 
 _ANNOTATED = ("""SELECT s_nationkey AS id, n_name || '.png' AS file_name, count(*) AS n, min(s_suppkey) AS first_id, sum(round(s_acctbal, 2)) > 0 AS positive FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL""")

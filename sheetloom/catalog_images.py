@@ -529,12 +529,33 @@ def small_refinements(spark, d):
 # edits and memos
 
 
-@query("""WITH e AS (SELECT event_type AS map_num, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'delete' ELSE 'add' END AS op, user_id % 100 AS id FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY map_num, id ORDER BY seq DESC) AS k FROM e) SELECT map_num, id, seq FROM r WHERE k = 1 AND op = 'add'""")
-def edits_without_undo(spark, d):
+_EDITS = """WITH e AS (SELECT event_type AS map_num, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'delete' ELSE 'add' END AS op, user_id % 100 AS id FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY map_num, id ORDER BY seq DESC) AS k FROM e) SELECT map_num, id, seq FROM r WHERE k = 1 AND op = 'add'"""
+
+
+def _edit_events(spark, d) -> DataFrame:
     i = F.col("event_id")
-    e = _t(spark, d, "events").select(F.col("event_type").alias("map_num"), i.alias("seq"), F.when(i % 3 == 0, "delete").otherwise("add").alias("op"), (F.col("user_id") % 100).alias("id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    return cache.fold_edits(e, ["map_num"]).select("map_num", "id", "seq")
+    return _t(spark, d, "events").select(F.col("event_type").alias("map_num"), i.alias("seq"), F.when(i % 3 == 0, "delete").otherwise("add").alias("op"), (F.col("user_id") % 100).alias("id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+
+@query(_EDITS)
+def edits_without_undo(spark, d):
+    return cache.fold_edits(_edit_events(spark, d), ["map_num"]).select("map_num", "id", "seq")
+
+
+@query(_EDITS)
+def edits_streamed(spark, d):
+    """The same rows from a stream with state that is stopped after the first half of the events and started again."""
+    from .shared import fresh_path
+    from .streaming import edits
+
+    log, table, checkpoint = (fresh_path(spark, n) for n in ("edit-log", "edit-states", "edit-checkpoint"))
+    e = _edit_events(spark, d)
+    middle = e.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
+    for half in (F.col("seq") <= middle, F.col("seq") > middle):
+        e.where(half).write.mode("append").json(log)
+        edits.run_edit_stream(spark, log, table, checkpoint)
+    return edits.standing_rows(spark, table).select("map_num", "id", "seq")
 
 
 @query("SELECT a.n_name AS map_a, b.n_name AS map_b FROM nation a JOIN nation b ON a.n_name < b.n_name WHERE (a.n_nationkey + b.n_nationkey) % 3 <> 0")
