@@ -14,6 +14,7 @@ from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import open_fs
-from .shared import boxed, held, materialize, unboxed
+from .shared import boxed, fresh_path, held, materialize, unboxed
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -63,13 +64,23 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+class Corpus(NamedTuple):
+    """Of all items with at least ``LEAST_WORDS`` words: how many they are, their words, the longest one's words, and in how many each word is."""
+
+    items: int
+    words: int
+    longest: int
+    holding: dict[str, int]
+
+
 class ItemIndex:
     """Inverted index with impacts, and their maxima over blocks of items: at least ``BLOCK_ITEMS`` each, at most ``BLOCKS`` blocks.
 
-    Items of fewer than ``LEAST_WORDS`` words are no part of it; they are kept by their words, for whole sentences of a text.
+    Items of fewer than ``LEAST_WORDS`` words are no part of it; they are kept by their words, for whole sentences of a text. ``corpus`` has what all items of a benchmark
+    hold of which these are a part, so a part gives its items the scores and windows that the whole does.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], corpus: Corpus | None = None):
         split = [(i, *question_and_answer(t)) for i, t in items]
         parts = [(i, q, a) for i, q, a in split if len(q) + len(a) >= LEAST_WORDS]
         short = [(i, tuple(q + a)) for i, q, a in split if 0 < len(q) + len(a) < LEAST_WORDS]
@@ -81,9 +92,11 @@ class ItemIndex:
         words = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in q + a] for _, q, a in parts]
         self.questions = [w[: len(p[1])] for w, p in zip(words, parts, strict=True)]
         self.answers = [w[len(p[1]) :] for w, p in zip(words, parts, strict=True)]
-        self.cell = max(LEAST_CELL, -(-max(map(len, words), default=0) // (CELLS - 1)))
-        n, mean = len(words), sum(map(len, words)) / max(1, len(words))
-        df = Counter(t for w in words for t in set(w))
+        if corpus is None:
+            corpus = Corpus(len(words), sum(map(len, words)), max(map(len, words), default=0), Counter(x for _, q, a in parts for x in set(q + a)))
+        self.cell = max(LEAST_CELL, -(-corpus.longest // (CELLS - 1)))
+        n, mean = corpus.items, corpus.words / max(1, corpus.items)
+        df = {t: corpus.holding[w] for w, t in self.vocabulary.items()}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in range(len(self.vocabulary) + 1)]
         for k, w in enumerate(words):
             counts = Counter(w)
@@ -91,8 +104,8 @@ class ItemIndex:
             own = sum(raw.values())
             for t, x in raw.items():
                 self.postings[t].append((k, x / own))
-        self.block_items = max(BLOCK_ITEMS, -(-n // BLOCKS))
-        self.blocks = -(-n // self.block_items)
+        self.block_items = max(BLOCK_ITEMS, -(-len(words) // BLOCKS))
+        self.blocks = -(-len(words) // self.block_items)
         self.block_max = np.zeros((len(self.postings), max(1, self.blocks)), np.float32)
         for t, found in enumerate(self.postings):
             for k, x in found:
@@ -247,19 +260,65 @@ class Matcher:
         return [best[k] for k in sorted(best)]
 
 
-def item_slices(benchmark: DataFrame, slice_bytes: int) -> list[str]:
-    """Files in the shared folder of about ``slice_bytes`` of item text each, with columns i and t; null and empty texts are left out."""
+class Slice(NamedTuple):
+    """A part of the items: the folder of its rows, that of its words' counts over all items (None if it is the whole), and the other totals."""
+
+    items: str
+    words: str | None
+    totals: tuple[int, int, int]
+
+
+def item_slices(benchmark: DataFrame, slice_bytes: int) -> list[Slice]:
+    """Slices in the shared folder of about ``slice_bytes`` of item text each; null and empty texts are left out.
+
+    Items are dealt by their hash. Where there are several slices, all items' words are counted once, and a slice keeps the counts of its own words.
+    """
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where(F.length("t") > 0)
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // slice_bytes)
-    return sorted(materialize(items.repartition(n) if n > 1 else items.coalesce(1), "items").inputFiles()) if n else []
-
-
-def _index_of(path: str) -> ItemIndex:
-    fs, inner = open_fs(path)
-    with fs.open_input_file(inner) as file:
-        table = pq.read_table(file)
-    return ItemIndex(sorted(zip(table.column("i").to_pylist(), table.column("t").to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+    if n <= 1:
+        return [Slice(materialize(items.coalesce(1), "items").inputFiles()[0].rsplit("/", 1)[0], None, (0, 0, 0))] if n else []
+    paths = fresh_path(spark, "items"), fresh_path(spark, "item-words")
+    items.withColumn("slice", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int")).repartition(n, "slice").write.partitionBy("slice").parquet(paths[0])
+
+    def count(batches):
+        for b in batches:
+            slices, words, lengths = [], [], []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = [w for part in question_and_answer(text) for w in part]
+                if len(found) >= LEAST_WORDS:
+                    own = [None, *set(found)]
+                    slices += [k] * len(own)
+                    words += own
+                    lengths += [len(found)] + [0] * (len(own) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(words, pa.string()), pa.array(lengths, pa.int64())], ["slice", "word", "length"])
+
+    told = materialize(spark.read.parquet(paths[0]).select(F.col("slice").cast("int").alias("slice"), "t").mapInArrow(count, "slice int, word string, length long"), "item-counts")
+    whole = told.where("word is null").agg(F.count("*").alias("n"), F.sum("length").alias("words"), F.max("length").alias("longest")).first()
+    holding = told.where("word is not null").groupBy(F.col("word").alias("of_word")).agg(F.count("*").alias("holding"))
+    own = told.where("word is not null").select("slice", "word").distinct().join(holding, F.col("word") == F.col("of_word"))
+    own.select("slice", "word", "holding").repartition(n, "slice").write.partitionBy("slice").parquet(paths[1])
+    there = [r[0] for r in spark.read.parquet(paths[0]).select("slice").distinct().orderBy("slice").collect()]
+    return [Slice(f"{paths[0]}/slice={k}", f"{paths[1]}/slice={k}", (whole.n, whole.words or 0, whole.longest or 0)) for k in there]
+
+
+def _columns(folder: str, *names: str) -> list[list]:
+    from pyarrow.fs import FileSelector
+
+    files, inner = open_fs(folder)
+    found = []
+    for f in sorted(x.path for x in files.get_file_info(FileSelector(inner, allow_not_found=True)) if x.path.endswith(".parquet")):
+        with files.open_input_file(f) as file:
+            found.append(pq.read_table(file, columns=list(names)))
+    return [[x for t in found for x in t.column(c).to_pylist()] for c in names]
+
+
+def _index_of(part: Slice) -> ItemIndex:
+    items = sorted(zip(*_columns(part.items, "i", "t"), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    if part.words is None:
+        return ItemIndex(items)
+    return ItemIndex(items, Corpus(*part.totals, dict(zip(*_columns(part.words, "word", "holding"), strict=True))))
 
 
 def _stretches(batches, chars: int):

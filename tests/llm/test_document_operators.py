@@ -252,10 +252,16 @@ def test_search_equals_plain_scores():
 
 
 def test_slices_and_stretches_change_nothing(spark, small, monkeypatch):
-    want = {tuple(r) for r in decontam.contaminated(small["documents"], small["benchmark"]).select("doc_id", "item_id").collect()}
-    assert want
-    got = decontam.contaminated(small["documents"], small["benchmark"], slice_bytes=2000).select("doc_id", "item_id")
-    assert {tuple(r) for r in got.collect()} == want
+    """Not the pairs, and not their scores: also of passages that hold a part of an item's words."""
+    rng = np.random.default_rng(4)
+    parts = [(10_000 + 10 * k + j, " ".join(w for w in r.text.split() if rng.random() > 0.06 * j)) for k, r in enumerate(small["benchmark"].collect()) for j in range(4)]
+    docs = small["documents"].select("doc_id", "text").unionAll(spark.createDataFrame(parts, "doc_id long, text string"))
+    rows = lambda n: sorted((r.doc_id, r.item_id, round(r.score, 9), round(r.question_overlap, 9), round(r.answer_overlap, 9), r.first_word) for r in decontam.contaminated(docs, small["benchmark"], slice_bytes=n).collect())
+    want = rows(1 << 30)
+    assert len({r[2] for r in want}) > 50
+    assert rows(2000) == want
+    monkeypatch.setattr(decontam, "DOCS_CHARS", 1 << 12)
+    assert rows(9000) == want
 
 
 @pytest.mark.parametrize("blocks", [1, 64])
