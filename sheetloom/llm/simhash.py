@@ -106,17 +106,14 @@ def near_duplicate_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     Rows are linked if their fingerprints differ in at most ``budget`` bits; component_id is the least doc_id that
     links reach. A null text is empty; texts without words have fingerprint zero and are linked like any
     other; repeated rows are kept; rows with a null doc_id take part, and a group of only such rows has a null component_id.
-    An empty table gives an empty table. doc_ids are below 2**62.
+    An empty table gives an empty table.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
-    # fingerprints that share a stand-in for a missing id differ in their first two bits alone, so they are linked anyway
-    stand_in = F.lit((1 << 63) - 1) - F.col("fp").bitwiseAND(F.lit((1 << 62) - 1))
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", stand_in).alias("node")), "fp-classes")
-    rooted = components(link_fingerprints(classes, budget))
-    root = F.coalesce("root", "node")
-    named = materialize(
-        classes.join(rooted.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
-        .select(F.col("fp").alias("of_fp"), F.when(root < (1 << 62), root).alias("component_id")), "fp-components",
-    )
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "fp-classes")
+    rooted = components(link_fingerprints(classes.select("fp", "node"), budget))
+    root = F.coalesce("root", "node").alias("root")
+    named = materialize(classes.join(rooted.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select(F.col("fp").alias("of_fp"), root, "least"), "fp-roots")
+    least = named.groupBy(F.col("root").alias("of_root")).agg(F.min("least").alias("component_id"))
+    named = materialize(named.join(least, F.col("root") == F.col("of_root")).select("of_fp", "component_id"), "fp-components")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", hexed, "component_id")

@@ -152,14 +152,21 @@ def split_nodes(keys: DataFrame, views: int, most: int) -> list[list[tuple[int,
 
 
 def _units(nodes: list[tuple[int, int, int]], share: list[int], first: int) -> tuple[tuple[np.ndarray, ...], int]:
-    """(starts, sizes, offsets, unit, second): for each node its units from ``offsets`` on, and on which side of them it is; the next unit's number."""
+    """(starts, sizes, offsets, unit, second): for each node its units from ``offsets`` on, and on which side of them it is; the next unit's number.
+
+    Nodes cover different prefixes, so two of them meet only beyond the leading bits that must agree: a node is compared with those after it in its own stretch of these.
+    """
     prefix, bits, count = (np.array([n[k] for n in nodes], t) for k, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
     share_of, owner, unit, second = np.array(share), [], [], []
+    agreed = max(m for m in range(len(share)) if not any(share[: m + 1]))
+    lead = np.array([p >> (n - agreed) if n > agreed else -1 - k for k, (p, n, _) in enumerate(nodes)], object)
+    ends = np.append(np.flatnonzero(lead[1:] != lead[:-1]) + 1, len(nodes)) if len(nodes) else np.zeros(0, np.int64)
     for k in np.flatnonzero(count).tolist():
-        m = np.minimum(bits[k], bits[k:])
+        own = slice(k, int(ends[np.searchsorted(ends, k, "right")]))
+        m = np.minimum(bits[k], bits[own])
         mine = np.where(m > 0, prefix[k] >> (bits[k] - m).astype(np.uint64), 0).astype(np.uint64)
-        theirs = np.where(m > 0, prefix[k:] >> (bits[k:] - m).astype(np.uint64), 0).astype(np.uint64)
-        other = k + np.flatnonzero((np.bitwise_count(mine ^ theirs) <= share_of[m]) & (count[k:] > 0))
+        theirs = np.where(m > 0, prefix[own] >> (bits[own] - m).astype(np.uint64), 0).astype(np.uint64)
+        other = k + np.flatnonzero((np.bitwise_count(mine ^ theirs) <= share_of[m]) & (count[own] > 0))
         number = first + np.arange(len(other))
         first += len(other)
         owner += [np.full(len(other), k), other[1:]]  # the first is the node itself
