@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import dimensions
 from .functions import geometry as G
 from .functions import text as X
-from .operators import aggregates, auction, filters, fitting, graph, joins, matching, nearest, raster, ranks, sets, signal
+from .operators import aggregates, auction, filters, fitting, graph, joins, matching, nearest, raster, ranks, sets, signal, tiled
 from .shared import broadcast_if_small, materialize
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -795,6 +795,21 @@ def coverage_and_tone(spark, d):
     return aggregates.coverage(p, ["y"], F.lit(100)).join(aggregates.paper_tone(p, ["y"]), "y").select("y", _r("coverage", "coverage"), _r("tone", "tone"))
 
 
+_INK = """p AS (SELECT DISTINCT (l_orderkey // 3000)::VARCHAR AS map_num, ((l_partkey * 31 + l_linenumber * 17 + l_orderkey * 7) % 300)::INT AS y, ((l_suppkey * 13 + l_orderkey * 3 + l_linenumber * 29) % 300)::INT AS x FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE {_INK}, n AS MATERIALIZED (SELECT *, y * 300 + x AS id FROM p),
+e AS MATERIALIZED (SELECT a.map_num, a.id AS u, b.id AS v FROM n a, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx), n b WHERE b.map_num = a.map_num AND b.y = a.y + dy AND b.x = a.x + dx AND (dy <> 0 OR dx <> 0)),
+c AS (SELECT map_num, id AS node, id AS reach FROM n UNION SELECT c.map_num, c.node, e.v FROM c JOIN e ON e.map_num = c.map_num AND e.u = c.reach),
+l AS (SELECT map_num, node, min(reach) AS root FROM c GROUP BY ALL)
+SELECT l.map_num, (root // 300)::INT AS label_y, (root % 300)::INT AS label_x, count(*) AS area, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM l JOIN n ON n.map_num = l.map_num AND id = node GROUP BY l.map_num, root""")
+def tiled_regions(spark, d):
+    """Connected regions of pixels, found tile by tile and joined along the seams."""
+    o, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    ink = _t(spark, d, "lineitem").select(F.floor(o / 3000).cast("string").alias("map_num"), ((p * 31 + n * 17 + o * 7) % 300).cast("int").alias("y"), ((s * 13 + o * 3 + n * 29) % 300).cast("int").alias("x"))
+    return tiled.regions(ink, 64)
+
+
 # further filters and aggregates
 
 
