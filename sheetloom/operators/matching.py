@@ -119,19 +119,23 @@ def soft_potentials(scores: DataFrame, dustbin: float = 1.0, rounds: int = 100,
         x = cells.join(hint(u), ["pair", "a"]).join(hint(v), ["pair", "b"])
         return x.groupBy("pair", at).agg((F.max(name) - F.ln(F.sum(F.exp(F.col("s") + F.col("u") + F.col("v"))))).alias(name))
 
-    done = 0
-    while done < rounds:
-        before, now = v, min(every, rounds - done)
-        for k in range(now):
-            u = normalised(u, v, "a", "u")
-            if k == now - 1:
-                u = materialize(u, "soft-rows")
-            v = normalised(u, v, "b", "v")
-        v, done = materialize(v, "soft-columns"), done + now
+    before = v
+    for done in range(1, rounds + 1):
+        # each side is a table, as the next one asks for both: a plan over some rounds would hold the first ones many times
+        was_u, was_v = u, v
+        u = materialize(normalised(u, v, "a", "u"), "soft-rows")
+        discard(was_u)
+        v = materialize(normalised(u, v, "b", "v"), "soft-columns")
+        if was_v is not before:
+            discard(was_v)
+        if done % every and done < rounds:
+            continue
         moved = v.join(before.withColumnRenamed("v", "was"), ["pair", "b"]).groupBy("pair").agg((F.max(F.col("v") - F.col("was")) - F.min(F.col("v") - F.col("was"))).alias("apart"))
         if (moved.agg(F.max("apart")).first()[0] or 0.0) <= tolerance:
             break
-        discard(before)
+        if before is not v:
+            discard(before)
+        before = v
     return cells, u, v
 
 

@@ -15,7 +15,7 @@ from sheetloom.plans import panorama
 SCORES = "pair string, a long, b long, score double"
 
 
-@pytest.mark.parametrize("rounds, least", [(1, 0.0), (3, 0.0), (100, 0.2)])
+@pytest.mark.parametrize("rounds, least", [(1, 0.0), (3, 0.0), (24, 0.2)])
 def test_soft_matches_by_tables_equal_the_dense_ones(spark, rounds, least):
     rng = random.Random(rounds)
     rows = [(p, a, 5 * b, rng.uniform(-8, 8)) for p, n, m in (("p", 7, 9), ("q", 12, 4), ("r", 1, 1)) for a in range(n) for b in range(m)]
@@ -28,16 +28,16 @@ def test_soft_matches_by_tables_equal_the_dense_ones(spark, rounds, least):
 
 def test_soft_potentials_stop_when_nothing_moves(spark, monkeypatch):
     rng, made = random.Random(1), []
-    df = spark.createDataFrame([("p", a, b, rng.uniform(-3, 3)) for a in range(6) for b in range(9)], SCORES)
+    df = spark.createDataFrame([("p", a, b, rng.uniform(-0.5, 0.5)) for a in range(6) for b in range(9)], SCORES)
     real = matching.materialize
     monkeypatch.setattr(matching, "materialize", lambda x, name: made.append(name) or real(x, name))
     cells, u, v = matching.soft_potentials(df, rounds=400)
-    assert made.count("soft-columns") < 30
+    assert made.count("soft-columns") < 20
     sums = cells.join(u, ["pair", "a"]).join(v, ["pair", "b"]).groupBy("pair", "b").agg(F.sum(F.exp(F.col("s") + F.col("u") + F.col("v"))).alias("t"))
     assert all(r.t == pytest.approx(1.0) for r in sums.collect())
     assert matching.soft_match_by_tables(df.limit(0)).collect() == []
     odd = spark.createDataFrame([("p", None, 1, 1.0), ("p", 1, None, 1.0), ("p", 1, 1, None), ("p", 2, 2, 9.0)], SCORES)
-    assert [(r.a, r.b) for r in matching.soft_match_by_tables(odd).collect()] == [(2, 2)]
+    assert [(r.a, r.b) for r in matching.soft_match_by_tables(odd, rounds=8).collect()] == [(2, 2)]
 
 
 def direct_lag(a, b):
