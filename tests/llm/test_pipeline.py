@@ -57,7 +57,7 @@ def test_stages(spark, tmp_path):
 
 def test_catalog():
     names = set(catalog.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)}
     assert set(catalog.oracle_sql()) <= names
 
 
