@@ -33,7 +33,8 @@ def radius_pairs(points: DataFrame, radius: float, keys: list[str], id_col: str
     b = tagged.select(*keys, F.struct(*points.columns).alias("b"), "_bx", "_by", F.inline(half))
     b = b.select(*keys, (F.col("_bx") + F.col("dx")).alias("_bx"), (F.col("_by") + F.col("dy")).alias("_by"), "b", ((F.col("dx") == 0) & (F.col("dy") == 0)).alias("_own"))
     distance = F.hypot(F.col("a")[x] - F.col("b")[x], F.col("a")[y] - F.col("b")[y])
-    met = a.join(b, [*keys, "_bx", "_by"]).where(~F.col("_own") | (F.col("a")[id_col] < F.col("b")[id_col]))
+    # a file of points is many times as large in memory, so its size says nothing about a broadcast
+    met = a.hint("merge").join(b.hint("merge"), [*keys, "_bx", "_by"]).where(~F.col("_own") | (F.col("a")[id_col] < F.col("b")[id_col]))
     pairs = met.withColumn("distance", distance).where(F.col("distance") <= radius)
     swap = F.col("a")[id_col] > F.col("b")[id_col]
     return pairs.select(*keys, F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "distance")

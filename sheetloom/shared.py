@@ -95,6 +95,14 @@ def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread_if_large(df: DataFrame, most: int = 100_000, rows: int | None = None) -> DataFrame:
+    """``df`` with a hint to meet the other side of a join by a shuffle, if it has more than ``most`` rows, which is counted unless given.
+
+    Spark decides on broadcasts by the size of a table's files, and sorted ids take a tenth there of what they take in the driver's memory.
+    """
+    return df.hint("merge") if (df.count() if rows is None else rows) > most else df
+
+
 def open_fs(path: str):
     """The file system of a path in the shared folder and the path in it."""
     from pyarrow import fs
