@@ -91,9 +91,9 @@ def median_translation(points: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, F.col("_median__dx").alias("dx"), F.col("_median__dy").alias("dy"), "n")
 
 
-def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes, edges and average degree of each sheet and, under a null map_num, of all."""
-    counts = nodes.select("map_num", F.lit(1).alias("n"), F.lit(0).alias("e")).unionAll(edges.select("map_num", F.lit(0).alias("n"), F.lit(1).alias("e")))
+def graph_summary(nodes: DataFrame, edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """Nodes, edges and average degree of each sheet and, under a null map_num, of all. With ``weight`` a row stands for so many edges."""
+    counts = nodes.select("map_num", F.lit(1).alias("n"), F.lit(0).alias("e")).unionAll(edges.select("map_num", F.lit(0).alias("n"), (F.col(weight) if weight else F.lit(1)).alias("e")))
     return counts.rollup("map_num").agg(F.sum("n").alias("n_nodes"), F.sum("e").alias("n_edges")).withColumn(
         "avg_degree", F.when(F.col("n_nodes") > 0, 2 * F.col("n_edges") / F.col("n_nodes")).otherwise(0.0)
     )
