@@ -333,16 +333,20 @@ def _moments(polygon: Column) -> dict[tuple[int, int], Column]:
 
 def hu_moments(polygon: Column) -> Column:
     """The seven Hu invariants of a polygon; null for fewer than four vertices or no area."""
-    m = _moments(polygon)
-    sign = F.signum(m[0, 0])
-    m = {k: v * sign for k, v in m.items()}
-    cx, cy = m[1, 0] / m[0, 0], m[0, 1] / m[0, 0]
-    mu = {
-        (2, 0): m[2, 0] - cx * m[1, 0], (1, 1): m[1, 1] - cx * m[0, 1], (0, 2): m[0, 2] - cy * m[0, 1],
-        (3, 0): m[3, 0] - 3 * cx * m[2, 0] + 2 * cx * cx * m[1, 0], (0, 3): m[0, 3] - 3 * cy * m[0, 2] + 2 * cy * cy * m[0, 1],
-        (2, 1): m[2, 1] - 2 * cx * m[1, 1] - cy * m[2, 0] + 2 * cx * cx * m[0, 1], (1, 2): m[1, 2] - 2 * cy * m[1, 1] - cx * m[0, 2] + 2 * cy * cy * m[1, 0],
-    }
-    scaled = F.struct(*[(v / F.pow(m[0, 0], F.lit(1 + (p + q) / 2))).alias(f"n{p}{q}") for (p, q), v in mu.items()])
+    raw = _moments(polygon)
+    # each moment is a pass over the polygon, so they are made once and named
+    named = F.struct(*[v.alias(f"m{p}{q}") for (p, q), v in raw.items()])
+
+    def scaled(r):
+        sign = F.signum(r["m00"])
+        m = {(p, q): r[f"m{p}{q}"] * sign for p, q in raw}
+        cx, cy = m[1, 0] / m[0, 0], m[0, 1] / m[0, 0]
+        mu = {
+            (2, 0): m[2, 0] - cx * m[1, 0], (1, 1): m[1, 1] - cx * m[0, 1], (0, 2): m[0, 2] - cy * m[0, 1],
+            (3, 0): m[3, 0] - 3 * cx * m[2, 0] + 2 * cx * cx * m[1, 0], (0, 3): m[0, 3] - 3 * cy * m[0, 2] + 2 * cy * cy * m[0, 1],
+            (2, 1): m[2, 1] - 2 * cx * m[1, 1] - cy * m[2, 0] + 2 * cx * cx * m[0, 1], (1, 2): m[1, 2] - 2 * cy * m[1, 1] - cx * m[0, 2] + 2 * cy * cy * m[1, 0],
+        }
+        return F.struct(F.abs(m[0, 0]).alias("area"), *[(v / F.pow(m[0, 0], F.lit(1 + (p + q) / 2))).alias(f"n{p}{q}") for (p, q), v in mu.items()])
 
     def invariants(n):
         n20, n11, n02, n30, n03, n21, n12 = (n[f"n{k}"] for k in ("20", "11", "02", "30", "03", "21", "12"))
@@ -353,8 +357,8 @@ def hu_moments(polygon: Column) -> Column:
             d * a * (a * a - 3 * b * b) - c * b * (3 * a * a - b * b),
         )
 
-    made = F.element_at(F.transform(F.array(scaled), invariants), 1)
-    return F.when((F.size(polygon) >= 4) & (F.abs(m[0, 0]) >= 1e-6), made)
+    both = F.transform(F.transform(F.array(named), scaled), lambda n: F.when(n["area"] >= 1e-6, invariants(n)))
+    return F.when(F.size(polygon) >= 4, F.element_at(both, 1))
 
 
 def hu_signature(polygon: Column) -> Column:
