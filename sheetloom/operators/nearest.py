@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialize
+from ..shared import broadcast_if_small, materialize, spread_if_large
 from . import joins
 
 TREES, LEAF = 4, 64
@@ -24,6 +24,7 @@ SAMPLE = 1 << 16  # train rows, about, that the trees of a set are fitted on
 CHUNK = 4096  # rows that a task takes down the trees at a time
 BLOCK = 2048  # rows of a leaf, of either side, that meet at once
 TOP_AXES, PER_LEAF = 5, 8
+COPY = 48  # comparisons that cost about as much as to send a query to one leaf more
 
 
 def fit_tree(x: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +86,7 @@ class Forest:
     def place(self, packed: DataFrame, probes: int) -> DataFrame:
         """The leaves of rows (keys, id, x) in every tree of their set; rows of sets without trees are left out."""
         keys, columns = self.keys, [*self.keys, "tree", "leaf", "id", "x"]
-        chunks = packed.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
+        chunks = broadcast_if_small(materialize(packed.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks")), "chunks"))
         rows = packed.join(chunks, keys).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
         trees = self.trees.join(chunks, keys).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
         named = trees.toDF(*[f"t_{c}" for c in trees.columns])
@@ -107,7 +108,7 @@ def fit_forest(train: DataFrame, keys: list[str], trees: int = TREES, leaf: int
     """A forest over ``train`` (keys, kp_id, descriptor): as many leaves as hold about ``leaf`` rows each, with ``PER_LEAF`` rows of the sample at least."""
     packed = materialize(_packed(train, keys), "descriptors")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name in keys)
-    counts = packed.groupBy(*keys).agg(F.count("*").alias("rows"))
+    counts = broadcast_if_small(materialize(packed.groupBy(*keys).agg(F.count("*").alias("rows")), "set-sizes"))
     share = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 30)) < F.col("rows") ** -1 * float(sample) * (1 << 30)
     taken = packed.join(counts, keys).where(share).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
 
@@ -129,11 +130,12 @@ def forest_nearest(queries: DataFrame, forest: Forest, probes: int) -> DataFrame
     keys, at = forest.keys, [*forest.keys, "tree", "leaf"]
     asked = materialize(forest.place(_packed(queries, keys), probes), "forest-queries")
     parts = lambda df, name: df.groupBy(*at).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias(name))
-    split = parts(forest.placed, "train_parts").join(parts(asked, "query_parts"), at)
+    split = parts(forest.placed, "train_parts").hint("merge").join(parts(asked, "query_parts"), at)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    q = asked.join(split, at).withColumn("q_part", mine("query_parts")).withColumn("t_part", every("train_parts"))
-    t = forest.placed.join(split, at).withColumn("t_part", mine("train_parts")).withColumn("q_part", every("query_parts"))
+    # a file of vectors that stand in many leaves is a small part of what they take in memory, so its size says nothing about a broadcast
+    q = asked.hint("merge").join(split, at).withColumn("q_part", mine("query_parts")).withColumn("t_part", every("train_parts"))
+    t = forest.placed.hint("merge").join(split, at).withColumn("t_part", mine("train_parts")).withColumn("q_part", every("query_parts"))
     q = q.select(*at, "q_part", "t_part", "id", "x")
     t = t.select(*[F.col(c).alias(f"t_{c}") for c in at], F.col("q_part").alias("of_q_part"), F.col("t_part").alias("of_t_part"), F.col("id").alias("t_id"), F.col("x").alias("t_x"))
 
@@ -167,7 +169,7 @@ def recall(found: DataFrame, exact: DataFrame, keys: list[str]) -> DataFrame:
 def tuned_probes(queries: DataFrame, train: DataFrame, forest: Forest, least: float, sample: int = 256) -> int | None:
     """How many leaves of each tree a query must look in, so that ``least`` of the nearest neighbours of about ``sample`` queries a set are found.
 
-    None if that takes all leaves, where the exact join does less.
+    None if that takes so many that the exact join does less: a query is sent to each leaf it looks in, and compared with the rows there.
     """
     keys = forest.keys
     counts = queries.groupBy(*keys).agg(F.count("*").alias("_rows"))
@@ -175,12 +177,17 @@ def tuned_probes(queries: DataFrame, train: DataFrame, forest: Forest, least: fl
     some = materialize(queries.select(*keys, "kp_id", "descriptor").join(counts, keys).where(share).drop("_rows"), "tuning-queries")
     exact = materialize(joins.nearest_two(some, train, keys), "tuning-exact")
     leaves = 1 + (forest.trees.agg(F.max(F.size("axis"))).first()[0] or 0)
-    probes = 1
-    while probes < leaves:
-        reached = recall(forest_nearest(some, forest, probes), exact, keys).agg((F.sum(F.col("recall") * F.col("n_queries")) / F.sum("n_queries")).alias("r")).first().r
-        if reached is None or reached >= least:
-            return probes
-        probes *= 2
+    trees = forest.trees.select("tree").distinct().count()
+    rows = forest.placed.where("tree = 0").groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    worth = [1 << k for k in range(leaves.bit_length()) if 1 << k < leaves and (k == 0 or trees * (1 << k) * (rows / leaves + COPY) < rows + COPY)]
+
+    def reached(probes: int) -> bool:
+        share = recall(forest_nearest(some, forest, probes), exact, keys).agg((F.sum(F.col("recall") * F.col("n_queries")) / F.sum("n_queries")).alias("r")).first().r
+        return share is None or share >= least
+
+    # the most that are worth it come first, as no fewer can do where those don't
+    if worth and reached(worth[-1]):
+        return next((p for p in worth[:-1] if reached(p)), worth[-1])
     return None
 
 
@@ -206,6 +213,6 @@ def nearest_two(queries: DataFrame, train: DataFrame, keys: list[str], least_rec
     if probes is None:
         return joins.nearest_two(queries, train, keys)
     found = materialize(forest_nearest(queries, forest, probes).where("size(n) = 2"), "nearest-two")
-    left = queries.select(*keys, "kp_id", "descriptor").join(found.select(*keys, F.col("q_id").alias("kp_id")), [*keys, "kp_id"], "left_anti")
+    left = queries.select(*keys, "kp_id", "descriptor").join(spread_if_large(found.select(*keys, F.col("q_id").alias("kp_id"))), [*keys, "kp_id"], "left_anti")
     left = materialize(left, "unmet-queries")
     return found if left.isEmpty() else found.unionByName(joins.nearest_two(left, train, keys))
