@@ -375,6 +375,12 @@ def shape_distance(hu_a: Column, hu_b: Column, least: float = 1e-5) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
 
+def inverse_logs(hu: Column, least: float = 1e-5) -> Column:
+    """1/m of each invariant as :func:`shape_distance` compares them, no number for those near zero."""
+    m = lambda h: F.when(F.abs(h) > least, F.signum(h) * F.log10(F.abs(h)))
+    return F.transform(hu, lambda h: F.coalesce(1 / m(h), F.lit(float("nan"))))
+
+
 def vector_distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
