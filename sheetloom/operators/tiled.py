@@ -11,10 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import broadcast_if_small, materialize
+from ..shared import materialize
 from . import graph, raster
 
 TILE = 512
+MOST = 100_000  # roots that are broadcast
 LABEL = "struct<map_num:string,y:int,x:int>"
 
 
@@ -54,9 +55,11 @@ def labelled(pixels: DataFrame, size: int = TILE) -> DataFrame:
     asked = asked.withColumns({"ny": F.col("y") + F.col("dy"), "nx": F.col("x") + F.col("dx")})
     outside = (F.floor(F.col("ny") / size) != F.floor(F.col("y") / size)) | (F.floor(F.col("nx") / size) != F.floor(F.col("x") / size))
     halo = own.where((side("y") == 0) | (side("x") == size - 1) | (side("x") == 0)).select("map_num", F.col("y").alias("ny"), F.col("x").alias("nx"), label.alias("dst"))
-    seams = materialize(asked.where(outside).join(halo, ["map_num", "ny", "nx"]).select("src", "dst").distinct(), "seams")
+    seams = materialize(asked.where(outside).hint("merge").join(halo, ["map_num", "ny", "nx"]).select("src", "dst").distinct(), "seams")
     roots = materialize(graph.connected_components(seams), "region-roots").select(F.col("node").alias("of"), "root")
-    return own.select("map_num", "y", "x", label.alias("_own")).join(broadcast_if_small(roots), F.col("_own") == F.col("of"), "left").select("map_num", "y", "x", F.coalesce("root", "_own").alias("label"))
+    # files of sorted labels are a small part of what they take in memory, so their size says nothing about a broadcast
+    roots = F.broadcast(roots) if roots.count() <= MOST else roots.hint("merge")
+    return own.select("map_num", "y", "x", label.alias("_own")).join(roots, F.col("_own") == F.col("of"), "left").select("map_num", "y", "x", F.coalesce("root", "_own").alias("label"))
 
 
 def regions(pixels: DataFrame, size: int = TILE) -> DataFrame:
