@@ -32,6 +32,9 @@ _ITEMS = """p AS (SELECT (43 + p_partkey % 7)::VARCHAR AS map_num, p_partkey::IN
 _PARCEL = "map_num, parcel_id, round(cx, 6) AS cx, round(cy, 6) AS cy, (w * h)::DOUBLE AS area_px, confidence, detected_number, vertices::INT AS vertices"
 
 
+PAGE = 10_000  # parcels of a document, about; a sheet of more has several, as a document is one task
+
+
 def _parcel_files(spark, d) -> str:
     k, s = F.col("p_partkey"), F.col("p_size")
     corner = lambda x, y: F.array(x.cast("double"), y.cast("double"))
@@ -42,7 +45,9 @@ def _parcel_files(spark, d) -> str:
         (k * 37 % 3000).cast("double").alias("mask_area_px"), F.when(k % 5 != 0, (k % 100) / 100).alias("confidence"),
         F.slice(corners, 1, F.when(k % 3 != 0, 4).when(k % 2 == 0, 3).otherwise(2)).alias("polygon"), F.when(k % 4 == 0, (2000 + k % 1000).cast("int")).alias("detected_number"),
     )
-    items = _t(spark, d, "part").select(F.concat(F.lit("map_"), (43 + k % 7).cast("string"), F.lit("_parcels")).alias("doc"), item.alias("item"))
+    part = _t(spark, d, "part")
+    page = F.pmod(F.xxhash64(k), F.lit(part.count() // (7 * PAGE) + 1)).cast("string")
+    items = part.select(F.concat(F.lit("map_"), (43 + k % 7).cast("string"), F.lit("_parcels-"), page).alias("doc"), item.alias("item"))
     listed = items.groupBy("doc").agg(F.sort_array(F.collect_list("item")).alias("items"))
     bare = F.to_json("items")
     return _documents(spark, listed.select("doc", F.when(F.col("doc").contains("_44_"), F.concat(F.lit('{"parcels":'), bare, F.lit("}"))).otherwise(bare).alias("value")), "parcel-files")

@@ -276,8 +276,12 @@ def _edges(polygon: Column) -> Column:
     return F.transform(polygon, lambda p, i: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"), F.element_at(polygon, F.pmod(i + 1, n) + 1)["x"].cast("double").alias("u"), F.element_at(polygon, F.pmod(i + 1, n) + 1)["y"].cast("double").alias("v")))
 
 
+def _sum(edges: Column, term) -> Column:
+    return F.aggregate(edges, F.lit(0.0), lambda s, e: s + term(e))
+
+
 def _total(polygon: Column, term) -> Column:
-    return F.aggregate(_edges(polygon), F.lit(0.0), lambda s, e: s + term(e))
+    return _sum(_edges(polygon), term)
 
 
 def polygon_perimeter(polygon: Column) -> Column:
@@ -310,8 +314,8 @@ def contains_point(polygon: Column, x: Column, y: Column) -> Column:
     return F.exists(_edges(polygon), on) | inside
 
 
-def _moments(polygon: Column) -> dict[tuple[int, int], Column]:
-    """Raw moments of a polygon's area up to the third order, by Green's theorem, each up to the orientation's sign."""
+def _moments(edges: Column) -> dict[tuple[int, int], Column]:
+    """Raw moments of a polygon's area from its edges up to the third order, by Green's theorem, each up to the orientation's sign."""
     def term(p, q):
         def one(e):
             out = None
@@ -327,19 +331,18 @@ def _moments(polygon: Column) -> dict[tuple[int, int], Column]:
     for p in range(4):
         for q in range(4 - p):
             scale = (p + q + 2) * (p + q + 1) * math.comb(p + q, p)
-            made[p, q] = _total(polygon, term(p, q)) / scale
+            made[p, q] = _sum(edges, term(p, q)) / scale
     return made
 
 
 def hu_moments(polygon: Column) -> Column:
     """The seven Hu invariants of a polygon; null for fewer than four vertices or no area."""
-    raw = _moments(polygon)
-    # each moment is a pass over the polygon, so they are made once and named
-    named = F.struct(*[v.alias(f"m{p}{q}") for (p, q), v in raw.items()])
+    # each moment is a pass over the edges, so they are made once and named; the edges and the polygon are made once too
+    named = bind(bind(polygon, _edges), lambda edges: F.struct(*[v.alias(f"m{p}{q}") for (p, q), v in _moments(edges).items()]))
 
     def scaled(r):
         sign = F.signum(r["m00"])
-        m = {(p, q): r[f"m{p}{q}"] * sign for p, q in raw}
+        m = {(p, q): r[f"m{p}{q}"] * sign for p in range(4) for q in range(4 - p)}
         cx, cy = m[1, 0] / m[0, 0], m[0, 1] / m[0, 0]
         mu = {
             (2, 0): m[2, 0] - cx * m[1, 0], (1, 1): m[1, 1] - cx * m[0, 1], (0, 2): m[0, 2] - cy * m[0, 1],

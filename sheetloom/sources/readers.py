@@ -110,7 +110,8 @@ def signed_parcels(spark: SparkSession, path: str) -> DataFrame:
     """Parcels with at least four vertices, an area of 1000 pixels and a finite shape signature."""
     area = F.coalesce(F.expr("nullif(mask_area_px, 0)"), F.expr("nullif(area_px, 0)"), F.lit(1.0))
     signed = shaped_parcels(spark, path, 4, 0.0).withColumns({"area": area, "signature": G.hu_signature(F.col("polygon"))})
-    return signed.where((F.col("area") >= 1000) & F.col("signature").isNotNull() & ~F.exists("signature", lambda x: F.isnan(x)))
+    # one use of the signature, which is made again for each
+    return signed.where((F.col("area") >= 1000) & F.coalesce(~F.exists("signature", lambda x: F.isnan(x)), F.lit(False)))
 
 
 def annotated_parcels(spark: SparkSession, path: str) -> DataFrame:
